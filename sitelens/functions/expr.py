@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters a browser trims: ASCII white space, no-break space, BOM.
 SPACE = r"[\s\x{A0}\x{FEFF}]"
 
 
+def cached_columns(build: Callable) -> Callable:
+    """Keep the Columns a builder returns.
+
+    A Column is a plain expression tree that belongs to no DataFrame, and
+    building a large one takes thousands of calls into the JVM."""
+    kept: dict = {}
+
+    @wraps(build)
+    def get(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it several times inside ``body``.
 
@@ -64,3 +83,14 @@ def compact(text: Column, chars: int = 480) -> Column:
             F.length(t) > chars, F.concat(F.substring(t, 1, chars - 1), F.lit("…"))
         ).otherwise(F.coalesce(blank_to_null(t), F.lit("(empty)"))),
     )
+
+
+def computed_once(df: DataFrame, keys: list[str], columns: list[Column]) -> DataFrame:
+    """Add ``columns`` to ``keys`` so that later filters cannot re-derive them.
+
+    Spark pushes a filter on a projected column below the projection and
+    evaluates the column's expression again there.  For an expression that
+    lexes a page this costs more than the filter saves.  Filters stop at a
+    generator, so the columns come out of a one-row ``inline``; filters on
+    ``keys`` still reach the scan."""
+    return df.select(*keys, F.inline(F.array(F.struct(*columns))))

@@ -1,10 +1,9 @@
 """Pages in, one typed row of facts per page out.
 
-``page_facts`` is a single map-side projection: no shuffle, no Python.  Each
-field is a state struct (absent / empty / present / duplicate / malformed).
-Catalyst prunes the fields a job does not read, and keeps the expensive
-intermediate arrays (markup, tags) in their own projection so that they are
-computed once per page.
+``page_facts`` is one map-side pass: no shuffle, no Python.  Each field is a
+state struct (absent / empty / present / duplicate / malformed).  The element
+arrays are computed once per page behind a barrier filters cannot cross;
+Catalyst prunes the field structs a job does not read.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import html as H
-from sitelens.functions.expr import browser_trim, clip, let
+from sitelens.functions.expr import browser_trim, cached_columns, clip, computed_once, let
 from sitelens.functions.urls import is_http, parse_url, resolve_url
 from sitelens.limits import DEFAULT_CAPTURE, CaptureLimits
 
@@ -165,43 +164,40 @@ def json_value(text: Column) -> Column:
     )
 
 
-def _lex(pages: DataFrame) -> DataFrame:
+@cached_columns
+def _lex_columns() -> list[Column]:
     """Stage 1: page -> markup, script elements, parsed document URL."""
-    return pages.select(
-        "page_id",
-        "url",
+    return [
         parse_url(F.col("url")).alias("_doc"),
         H.markup_only(F.col("html")).alias("_markup"),
         H.script_elements(F.col("html")).alias("_scripts"),
         F.lower(
             F.regexp_extract(F.col("html"), r"(?is)^\s*(?:<!--.*?-->\s*)*<!doctype\s+([^\s>]+)", 1)
         ).alias("_doctype"),
-    )
+    ]
 
 
-def _structure(lexed: DataFrame) -> DataFrame:
-    """Stage 2: markup -> arrays of element structs and the base URL."""
-    tags = lexed.select(
-        "*",
+@cached_columns
+def _tag_columns() -> list[Column]:
+    """Stage 2: markup -> open tags, anchor and heading chunks, titles."""
+    return [
         H.open_tags(F.col("_markup")).alias("_tags"),
         H.chunks(F.col("_markup"), "a").alias("_a"),
         H.chunks(F.col("_markup"), "h[1-6]").alias("_h"),
         H.titles(F.col("_markup")).alias("_titles"),
-    )
+    ]
+
+
+@cached_columns
+def _element_columns() -> list[Column]:
+    """Stage 3: tags -> arrays of element structs and the base URL."""
 
     def of(name: str) -> Column:
         return F.filter(F.col("_tags"), lambda t: t["name"] == name)
 
     attr = H.attribute
     base_tags = F.filter(of("base"), lambda t: H.has_attribute(t["tag"], "href"))
-    arrays = tags.select(
-        "page_id",
-        "url",
-        "_doc",
-        "_doctype",
-        "_titles",
-        "_tags",
-        "_h",
+    return [
         F.coalesce(
             resolve_url(attr(F.try_element_at(base_tags, F.lit(1))["tag"], "href"), F.col("_doc")),
             F.col("_doc"),
@@ -248,7 +244,12 @@ def _structure(lexed: DataFrame) -> DataFrame:
             ),
             lambda s: F.regexp_extract(s, rf"(?is)^<script{H.OPEN_REST}(.*?)(?:</script\s*>|\z)", 1),
         ).alias("_jsonld"),
-    )
+    ]
+
+
+@cached_columns
+def _resolved_columns() -> list[Column]:
+    """Stage 4: anchors and link elements with their targets resolved."""
     doc, base = F.col("_doc"), F.col("_base")
 
     def anchor(a: Column) -> Column:
@@ -274,19 +275,19 @@ def _structure(lexed: DataFrame) -> DataFrame:
 
         return let(resolve_url(a["href"], base), classed)
 
-    return arrays.withColumns(
-        {
-            "_anchors": F.transform(F.col("_anchors"), anchor),
-            "_rels": F.transform(
-                F.filter(
-                    F.col("_rels"),
-                    lambda r: (r["rel"] == "canonical")
-                    | ((r["rel"] == "alternate") & r["has_hreflang"]),
-                ),
-                lambda r: r.withField("absolute", resolve_url(r["href"], base)["href"]),
+    passed = ("_doc", "_base", "_doctype", "_titles", "_tags", "_h", "_metas", "_imgs", "_jsonld")
+    return [
+        *[F.col(name).alias(name) for name in passed],
+        F.transform(F.col("_anchors"), anchor).alias("_anchors"),
+        F.transform(
+            F.filter(
+                F.col("_rels"),
+                lambda r: (r["rel"] == "canonical")
+                | ((r["rel"] == "alternate") & r["has_hreflang"]),
             ),
-        }
-    )
+            lambda r: r.withField("absolute", resolve_url(r["href"], base)["href"]),
+        ).alias("_rels"),
+    ]
 
 
 def _meta_items(selected: Column, lim: CaptureLimits, selector) -> Column:
@@ -697,12 +698,17 @@ def _json_ld(lim: CaptureLimits) -> Column:
 
 def page_structure(pages: DataFrame) -> DataFrame:
     """Element arrays of every page (whole, not clipped) before states are built."""
-    return _structure(_lex(pages))
+    keys = [c for c in pages.columns if c != "html"]
+    lexed = pages.select(*keys, *_lex_columns())
+    tags = lexed.select("*", *_tag_columns())
+    elements = tags.select(
+        *keys, "_doc", "_doctype", "_titles", "_tags", "_h", *_element_columns()
+    )
+    return computed_once(elements, keys, _resolved_columns())
 
 
-def page_facts(pages: DataFrame, limits: CaptureLimits = DEFAULT_CAPTURE) -> DataFrame:
-    """pages(page_id, url, html) -> facts, one row per page, one struct per field."""
-    s = page_structure(pages)
+@cached_columns
+def _fact_columns(limits: CaptureLimits) -> list[Column]:
     bound = limits.url_chars
     document, base = F.coalesce(F.col("_doc")["href"], F.col("url")), F.col("_base")["href"]
 
@@ -716,9 +722,7 @@ def page_facts(pages: DataFrame, limits: CaptureLimits = DEFAULT_CAPTURE) -> Dat
             ),
         )
 
-    return s.select(
-        "page_id",
-        "url",
+    return [
         clip(document, bound).alias("document_url"),
         clip(base, bound).alias("base_uri"),
         F.struct(
@@ -739,7 +743,15 @@ def page_facts(pages: DataFrame, limits: CaptureLimits = DEFAULT_CAPTURE) -> Dat
         _images(limits).alias("images"),
         _html5().alias("html5"),
         _json_ld(limits).alias("json_ld"),
-    )
+    ]
+
+
+def page_facts(pages: DataFrame, limits: CaptureLimits = DEFAULT_CAPTURE) -> DataFrame:
+    """pages(page_id, url, html, ...) -> facts, one row per page, one struct per field.
+
+    Other columns of ``pages`` (a capture role, a crawl date) are carried along."""
+    keys = [c for c in pages.columns if c != "html"]
+    return page_structure(pages).select(*keys, *_fact_columns(limits))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
