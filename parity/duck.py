@@ -173,10 +173,13 @@ def define_lexer(source: str, tag: str, keys: str = "page_id, url") -> None:
     CTES[f"ttl{t}"] = f"SELECT {keys}, pos, {trim(decode('item'))} AS text FROM (" + rows(
         f"lex{t}", f"regexp_extract_all(c, {q(rf'(?is)<title{OPEN}(.*?)</title\s*>')}, 1)", keys
     ) + ") r"
-    CTES[f"script{t}"] = f"""SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY pos) - 1 AS pos, regexp_extract(item, {q(rf'(?is)^<script{OPEN}(.*?)(?:</script\s*>|\z)')}, 1) AS raw FROM (
- {rows(f'lex{t}', f'regexp_extract_all(html, {q(SCRIPT)})', keys)}) r WHERE item NOT LIKE '<!--%' AND lower({attr('item','type')}) = 'application/ld+json'"""
+    CTES[f"scriptraw{t}"] = rows(f"lex{t}", f"regexp_extract_all(html, {q(SCRIPT)})", keys)
+    CTES[f"scriptld{t}"] = f"""SELECT {keys}, pos AS ord, regexp_extract(item, {q(rf'(?is)^<script{OPEN}(.*?)(?:</script\s*>|\z)')}, 1) AS raw
+ FROM scriptraw{t} WHERE item NOT LIKE '<!--%' AND lower({attr('item','type')}) = 'application/ld+json'"""
+    CTES[f"script{t}"] = f"SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY ord) - 1 AS pos, raw FROM scriptld{t}"
     CTES[f"jsonld{t}"] = f"""SELECT *, CASE WHEN remaining <= 0 OR length(raw) > remaining THEN 'truncated' WHEN {trim('raw')} = '' THEN 'empty' WHEN NOT json_valid({trim('raw')}) THEN 'invalid-json' ELSE 'ok' END AS status
- FROM (SELECT *, 50000 - coalesce(sum(length(raw)) OVER (PARTITION BY {keys} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM script{t} WHERE pos < 25) z"""
+ FROM (SELECT {', '.join('a.' + k for k in keys.split(', '))}, a.pos, a.raw, 50000 - coalesce(sum(length(b.raw)), 0) AS remaining FROM script{t} a LEFT JOIN script{t} b
+  ON {' AND '.join(f'a.{k} = b.{k}' for k in keys.split(', '))} AND b.pos < a.pos WHERE a.pos < 25 GROUP BY ALL) z"""
     single = lambda src, extra="": f"""SELECT l.{keys.split(', ')[0]}, {', '.join('l.' + k for k in keys.split(', ')[1:])}, CASE WHEN count(x.pos) = 0 THEN 'absent' WHEN count(x.pos) > 1 THEN 'duplicate' WHEN min(x.text) = '' THEN 'empty' ELSE 'present' END AS state,
  count(x.pos) AS n, CASE WHEN count(x.pos) = 1 THEN min(x.text) END AS text, string_agg(x.text, '|' ORDER BY x.pos) AS texts{extra} FROM lex{t} l LEFT JOIN ({src}) x USING ({keys}) GROUP BY ALL"""
     CTES[f"f_title{t}"] = single(f"SELECT {keys}, pos, text FROM ttl{t}")

@@ -36,6 +36,11 @@ class Inputs:
             self._tables[name] = df
         return self._tables[name]
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = make()
+        return self._tables[name]
+
     @cached_property
     def facts(self) -> DataFrame:
         from sitelens.operators.facts import page_facts
@@ -64,12 +69,12 @@ def with_ctes(sql: str) -> str:
     known = {**{n: f(derive.DUCK) for n, f in derive.DERIVED.items()}, **CTES}
     ordered: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, own: str = "") -> None:
         for word in dict.fromkeys(re.findall(r"\b[a-z_0-9]+\b", text)):
-            if word in known and word not in ordered and re.search(
+            if word in known and word != own and word not in ordered and re.search(
                 rf"\b(?:FROM|JOIN)\s+{word}\b", text
             ):
-                visit(known[word])
+                visit(known[word], word)
                 if word not in ordered:
                     ordered.append(word)
 
@@ -77,6 +82,11 @@ def with_ctes(sql: str) -> str:
     if not ordered:
         return sql
     recursive = "RECURSIVE " if any("UNION ALL /*recursive*/" in known[n] for n in ordered) else ""
-    # Each CTE is used several times; without the hint DuckDB may inline it.
-    body = ",\n".join(f"{n} AS MATERIALIZED ({known[n]})" if not recursive or "/*recursive*/" not in known[n] else f"{n} AS ({known[n]})" for n in ordered)
+
+    def define(name: str) -> str:
+        # Shared by several readers; DuckDB might otherwise inline it into each.
+        hint = "" if "/*recursive*/" in known[name] else "MATERIALIZED "
+        return f"{name} AS {hint}({known[name]})"
+
+    body = ",\n".join(define(name) for name in ordered)
     return f"WITH {recursive}{body}\n{sql}"

@@ -722,6 +722,22 @@ def _fact_columns(limits: CaptureLimits) -> list[Column]:
             ),
         )
 
+    fields = {
+        "title": _title(limits),
+        "meta_description": _meta_text("description", limits),
+        "meta_robots": _meta_robots(limits),
+        "canonical": _canonical(limits),
+        "alternates": _alternates(limits),
+        "open_graph": _meta_group("og:", "property", limits),
+        "twitter": _meta_group("twitter:", "name", limits),
+        "language": _language(limits),
+        "viewport": _meta_text("viewport", limits),
+        "headings": _headings(limits),
+        "links": _links(limits),
+        "images": _images(limits),
+        "html5": _html5(),
+        "json_ld": _json_ld(limits),
+    }
     return [
         clip(document, bound).alias("document_url"),
         clip(base, bound).alias("base_uri"),
@@ -729,20 +745,11 @@ def _fact_columns(limits: CaptureLimits) -> list[Column]:
             url_bound(document).alias("document_url"), url_bound(base).alias("base_uri")
         ).alias("url_bounds"),
         F.col("_doc")["origin"].alias("origin"),
-        _title(limits).alias("title"),
-        _meta_text("description", limits).alias("meta_description"),
-        _meta_robots(limits).alias("meta_robots"),
-        _canonical(limits).alias("canonical"),
-        _alternates(limits).alias("alternates"),
-        _meta_group("og:", "property", limits).alias("open_graph"),
-        _meta_group("twitter:", "name", limits).alias("twitter"),
-        _language(limits).alias("language"),
-        _meta_text("viewport", limits).alias("viewport"),
-        _headings(limits).alias("headings"),
-        _links(limits).alias("links"),
-        _images(limits).alias("images"),
-        _html5().alias("html5"),
-        _json_ld(limits).alias("json_ld"),
+        *[
+            # A page without captured HTML has no evidence, which is not "absent".
+            F.when(F.col("_tags").isNotNull(), field).alias(name)
+            for name, field in fields.items()
+        ],
     ]
 
 
