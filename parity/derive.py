@@ -152,7 +152,7 @@ SELECT concat(origin,'/sitemap.xml'), concat(origin,'/sitemap-index-',{mid},'.xm
 FROM sitemap_leaves GROUP BY origin, {mid}
 UNION ALL
 SELECT concat(origin,'/sitemap.xml'), concat(origin,'/sitemap.xml'), 200, false, NULL,
-       CASE WHEN length(origin) % 17 = 9 THEN '  ' ELSE
+       CASE WHEN length(origin) % 17 = 12 THEN '  ' ELSE
        concat('<sitemapindex>', {d.concat_rows(mid_child, 'mid')}, '<sitemap><lastmod>x</lastmod></sitemap><sitemap><loc>',
               origin, '/sitemap-missing.xml</loc></sitemap><sitemap><loc>', origin, '/sitemap.xml</loc></sitemap></sitemapindex>') END
 FROM (SELECT DISTINCT origin, {mid} AS mid FROM sitemap_leaves) m GROUP BY origin"""

@@ -19,10 +19,15 @@ CLUSTER_RULES = {
 }
 
 
+def page_keys(df: DataFrame) -> list[str]:
+    return [c for c in ("page_id", "url") if c in df.columns]
+
+
 def html_alternates(facts: DataFrame) -> DataFrame:
-    """page_id, source, pos, hreflang (lower case), href, absolute."""
-    return facts.select("page_id", F.posexplode("alternates.value").alias("pos", "a")).select(
-        "page_id",
+    """page_id, url, source, pos, hreflang (lower case), href, absolute."""
+    keys = page_keys(facts)
+    return facts.select(*keys, F.posexplode("alternates.value").alias("pos", "a")).select(
+        *keys,
         F.lit("HTML").alias("source"),
         "pos",
         F.lower("a.hreflang").alias("hreflang"),
@@ -32,10 +37,11 @@ def html_alternates(facts: DataFrame) -> DataFrame:
 
 
 def sitemap_alternates(membership: DataFrame) -> DataFrame:
+    keys = page_keys(membership)
     return membership.select(
-        "page_id", F.posexplode("sitemap_alternates").alias("pos", "a")
+        *keys, F.posexplode("sitemap_alternates").alias("pos", "a")
     ).select(
-        "page_id",
+        *keys,
         F.lit("sitemap").alias("source"),
         "pos",
         F.lower("a.hreflang").alias("hreflang"),
@@ -47,7 +53,7 @@ def sitemap_alternates(membership: DataFrame) -> DataFrame:
 def duplicates(alternates: DataFrame) -> DataFrame:
     """page_id, source, hreflang, n for codes declared more than once."""
     return (
-        alternates.groupBy("page_id", "source", "hreflang")
+        alternates.groupBy(*page_keys(alternates), "source", "hreflang")
         .agg(F.count("*").alias("n"))
         .filter("n > 1")
     )
@@ -61,7 +67,7 @@ def source_mismatches(html: DataFrame, sitemap: DataFrame) -> DataFrame:
         F.min_by("href", "pos").alias("sitemap_href")
     )
     return (
-        html.select("page_id", "pos", "hreflang", F.coalesce("absolute", "href").alias("html_href"))
+        html.select(*page_keys(html), "pos", "hreflang", F.coalesce("absolute", "href").alias("html_href"))
         .join(first, ["page_id", "hreflang"])
         .filter(grouping_url(F.col("html_href")) != grouping_url(F.col("sitemap_href")))
     )
@@ -70,17 +76,18 @@ def source_mismatches(html: DataFrame, sitemap: DataFrame) -> DataFrame:
 def directive_findings(alternates: DataFrame, mismatches: DataFrame) -> DataFrame:
     """page_id, rule_id, source, hreflang, href, detail."""
 
-    def rows(df: DataFrame, rule: Column | str, detail: Column) -> DataFrame:
-        rule_col = F.lit(rule) if isinstance(rule, str) else rule
+    keys = page_keys(alternates)
+
+    def rows(df: DataFrame, rule: str, detail: Column) -> DataFrame:
         return df.select(
-            "page_id", rule_col.alias("rule_id"), "source", "hreflang", "href", detail.alias("detail")
+            *keys, F.lit(rule).alias("rule_id"), "source", "hreflang", "href", detail.alias("detail")
         )
 
     judged = alternates.withColumn("v", hreflang_verdict(F.col("hreflang")))
     blank = browser_trim(F.col("href")) == ""
     relative = (F.col("source") == "HTML") & is_relative_href(F.col("href"))
     per_item = judged.select(
-        "page_id",
+        *keys,
         "source",
         "hreflang",
         "href",
@@ -109,7 +116,7 @@ def directive_findings(alternates: DataFrame, mismatches: DataFrame) -> DataFram
                 lambda x: x.isNotNull(),
             )
         ).alias("f"),
-    ).select("page_id", "f.rule_id", "source", "hreflang", "href", "f.detail")
+    ).select(*keys, "f.rule_id", "source", "hreflang", "href", "f.detail")
     repeated = rows(
         duplicates(alternates).withColumn("href", F.lit(None).cast("string")),
         "hreflang-duplicate-alternate",
@@ -171,7 +178,9 @@ def _label(df: DataFrame) -> Column:
     return F.coalesce("final_url", "requested_url")
 
 
-def cluster_findings(members: DataFrame, edges: DataFrame) -> DataFrame:
+def cluster_findings(
+    members: DataFrame, edges: DataFrame, list_pairs_up_to: int = 1_000
+) -> DataFrame:
     """Reciprocity among fetched members of each cluster.
 
     members(cluster_id, member_id, hreflang, requested_url, final_url) are the
@@ -181,7 +190,9 @@ def cluster_findings(members: DataFrame, edges: DataFrame) -> DataFrame:
     *are* referenced come from one equi join of declarations with members; what
     is missing is counted by comparing against the cluster's size, and only
     members that fall short are expanded, against the members they lack.  So a
-    complete cluster of n members costs n rows of aggregate, not n² pairs."""
+    complete cluster of n members costs n rows of aggregate, not n² pairs.  In a
+    cluster larger than ``list_pairs_up_to`` a member that falls short gets one
+    row with the exact number of missing returns instead of a row per pair."""
     m = members.select(
         "cluster_id",
         "member_id",
@@ -256,7 +267,16 @@ def cluster_findings(members: DataFrame, edges: DataFrame) -> DataFrame:
         .join(same, ["cluster_id", "requested_url"], "left")
         .join(held, ["cluster_id", "member_id"], "left")
         .filter(F.coalesce("held", F.lit(0)) < F.col("size") - F.coalesce("same", F.lit(0)))
-        .select("cluster_id", "member_id", "requested_url", "affected_url")
+        .withColumn("owed", F.col("size") - F.coalesce("same", F.lit(0)))
+        .select(
+            "cluster_id",
+            "member_id",
+            "requested_url",
+            "affected_url",
+            "size",
+            "owed",
+            (F.col("owed") - F.coalesce("held", F.lit(0))).alias("lacking"),
+        )
     )
     others = m.filter("norm IS NOT NULL").select(
         "cluster_id",
@@ -266,7 +286,8 @@ def cluster_findings(members: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("requested_url").alias("other_url"),
     )
     missing_return = (
-        short.join(others, "cluster_id")
+        short.filter(F.col("size") <= list_pairs_up_to)
+        .join(others, "cluster_id")
         .filter("other_url <> requested_url")
         .join(given, ["cluster_id", "member_id", "other_id"], "left_anti")
         .select(
@@ -277,6 +298,18 @@ def cluster_findings(members: DataFrame, edges: DataFrame) -> DataFrame:
             F.concat("other_lang", F.lit(" "), "other_final").alias("detail"),
         )
     )
-    found = repeated.unionByName(invalid).unionByName(missing_self).unionByName(missing_return)
+    counted_return = short.filter(F.col("size") > list_pairs_up_to).select(
+        "cluster_id",
+        "member_id",
+        F.lit("hreflang-cluster-missing-return").alias("rule_id"),
+        "affected_url",
+        F.concat(F.col("lacking").cast("string"), F.lit(" of "), F.col("owed").cast("string"), F.lit(" members")).alias("detail"),
+    )
+    found = (
+        repeated.unionByName(invalid)
+        .unionByName(missing_self)
+        .unionByName(missing_return)
+        .unionByName(counted_return)
+    )
     severity = F.create_map(*[F.lit(x) for kv in CLUSTER_RULES.items() for x in kv])
     return found.withColumn("severity", severity[F.col("rule_id")])

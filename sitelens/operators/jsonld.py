@@ -211,12 +211,6 @@ def inventory(scripts: DataFrame, limits: CaptureLimits = DEFAULT_CAPTURE) -> Da
     defined = F.transform(
         F.filter(kept, lambda n: n["id"].isNotNull() & ~n["id_only"]), lambda n: n["id"]
     )
-    repeated = let(
-        F.array_sort(defined),
-        lambda ids: F.array_distinct(
-            F.filter(ids, lambda x, i: F.coalesce(ids[i - 1] == x, F.lit(False)) & (i > 0))
-        ),
-    )
     repeated = let(
         F.array_sort(defined),
         lambda ids: F.array_distinct(
@@ -246,8 +240,9 @@ def inventory(scripts: DataFrame, limits: CaptureLimits = DEFAULT_CAPTURE) -> Da
 
 def scripts_of(facts: DataFrame) -> DataFrame:
     """facts -> page_id, entry_index, parse_status, raw: one row per script."""
-    return facts.select("page_id", F.explode("json_ld.value").alias("e")).select(
-        "page_id",
+    keys = [c for c in ("page_id", "url") if c in facts.columns]
+    return facts.select(*keys, F.explode("json_ld.value").alias("e")).select(
+        *keys,
         F.col("e.index").alias("entry_index"),
         F.col("e.parse_status").alias("parse_status"),
         F.col("e.raw").alias("raw"),
@@ -336,4 +331,5 @@ def structural_findings(inventories: DataFrame) -> DataFrame:
     )
     none = F.array().cast(FINDING_TYPE)
     rows = F.concat(single, F.coalesce(per_node, none), F.coalesce(per_id, none))
-    return inventories.select("page_id", F.inline(rows))
+    keys = [c for c in ("page_id", "url") if c in inventories.columns]
+    return inventories.select(*keys, F.inline(rows))
