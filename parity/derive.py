@@ -43,7 +43,7 @@ ORIGIN = "regexp_extract(url,'^(https?://[^/?#]+)',1)"
 def audit_pages(d: Dialect) -> str:
     pid = d.text("page_id")
     return f"""
-SELECT page_id, url, replace(replace(replace(html,'</head>', concat(
+SELECT page_id, url, replace(replace(replace(CASE WHEN page_id % 29 = 6 THEN replace(html,'<html lang=','<html data-lang=') ELSE html END,'</head>', concat(
   CASE page_id % 19 WHEN 3 THEN '<base href="/base/dir/">' ELSE '' END,
   CASE page_id % 5 WHEN 1 THEN '<meta name="description" content="A summary of the page.">'
        WHEN 2 THEN '<meta name="description" content="">'
@@ -208,7 +208,10 @@ SELECT page_id, CAST(i AS INT) AS pos,
  CASE WHEN i = 1 THEN url ELSE {hop}{d.text('i - 1')}) END AS from_url,
  CASE WHEN i = page_id % 13 AND page_id % 17 = 3 THEN url ELSE {hop}{d.text('i')}) END AS to_url,
  CASE WHEN i % 2 = 0 THEN 302 ELSE 301 END AS status
-FROM (SELECT page_id, url FROM pages WHERE page_id % 13 > 0) p {d.numbers('page_id % 13')}"""
+FROM (SELECT page_id, url FROM pages WHERE page_id % 13 > 0) p {d.numbers('page_id % 13')}
+UNION ALL
+SELECT page_id, CAST(page_id % 13 + 1 AS INT), url, CASE WHEN page_id % 13 = 1 THEN url ELSE {hop}'1') END, 301
+FROM pages WHERE page_id % 13 > 0 AND page_id % 17 = 3"""
 
 
 def captures(d: Dialect) -> str:

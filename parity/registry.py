@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from parity import derive
-from sitelens.session import configure
+from sitelens.session import configure, cut_lineage
 
 
 class Inputs:
@@ -43,9 +43,10 @@ class Inputs:
 
     @cached_property
     def facts(self) -> DataFrame:
+        """The facts table, materialised once as a job would store it."""
         from sitelens.operators.facts import page_facts
 
-        return page_facts(self.table("audit_pages"))
+        return cut_lineage(page_facts(self.table("audit_pages")))
 
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}

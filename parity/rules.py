@@ -25,11 +25,12 @@ def evidence(c):
         "evidence",
         lambda: cut_lineage(
             crawl_evidence(
-                c.table("audit_pages"),
+                c.table("audit_pages").select("page_id", "url"),
                 c.table("navigations"),
                 c.table("fetch_hops"),
                 c.table("robots_files"),
                 c.table("sitemap_files"),
+                facts=c.facts,
             )
         ),
     )

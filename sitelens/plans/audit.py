@@ -33,8 +33,11 @@ def crawl_evidence(
     sitemap_files: DataFrame | None = None,
     limits: CaptureLimits = DEFAULT_CAPTURE,
     compat: bool = False,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Facts of every page joined with whatever else was captured."""
+    """Facts of every page joined with whatever else was captured.
+
+    ``facts`` may be a stored facts table; otherwise pages are lexed here."""
     located = pages.select("page_id", "url")
     robots = sitemaps = None
     if robots_files is not None:
@@ -42,8 +45,10 @@ def crawl_evidence(
     if sitemap_files is not None:
         parsed = cut_lineage(M.parse_files(sitemap_files))
         sitemaps = M.membership(located, M.merged_entries(parsed), parsed)
+    if facts is None:
+        facts = page_facts(pages, limits)
     return page_evidence(
-        page_facts(pages, limits), navigations, hops, robots, sitemaps, compat
+        facts, navigations, hops, robots, sitemaps, compat
     )
 
 
