@@ -342,3 +342,31 @@ DERIVED = {
         run_payloads,
     )
 }
+
+
+def cluster_members(d: Dialect) -> str:
+    """Four pages per hreflang cluster; one page in eleven was not fetched."""
+    return f"""
+SELECT {d.div('page_id', 4)} AS cluster_id, page_id AS member_id,
+ CASE page_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'FR' WHEN 2 THEN 'de' ELSE 'en-uk' END AS hreflang, url AS requested_url,
+ CASE WHEN page_id % 6 = 2 AND NOT contains(url,'?') AND NOT contains(url,'#') AND NOT url LIKE '%/' THEN concat(url,'/') ELSE url END AS final_url
+FROM pages WHERE page_id % 11 <> 0"""
+
+
+def cluster_edges(d: Dialect) -> str:
+    same = f"{d.div('p.page_id', 4)} = {d.div('o.page_id', 4)}"
+    return f"""
+SELECT {d.div('p.page_id', 4)} AS cluster_id, p.page_id AS member_id,
+ CASE o.page_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'DE' ELSE 'en-uk' END AS hreflang, o.url AS href
+FROM pages p JOIN pages o ON {same}
+WHERE NOT (p.page_id % 5 = 0 AND o.page_id = p.page_id) AND NOT (p.page_id % 7 = 0 AND o.page_id % 4 = 2)
+UNION ALL
+SELECT {d.div('page_id', 4)}, page_id, 'en', concat(url, '-twice') FROM pages WHERE page_id % 9 = 1"""
+
+
+def robots_fetch_log(d: Dialect) -> str:
+    """A robots fetch per page visit; only the first per session and origin counts."""
+    return f"SELECT page_id % 7 AS session_id, {ORIGIN} AS origin, page_id, {d.time('page_id')} AS ts FROM pages"
+
+
+DERIVED.update({f.__name__: f for f in (cluster_members, cluster_edges, robots_fetch_log)})

@@ -30,13 +30,13 @@ def fetch_classification(c):
 
 
 CTES["edge"] = "SELECT from_url, min(to_url) AS to_url FROM fetch_hops GROUP BY from_url"
-CTES["chain"] = """SELECT page_id, url AS at, 0 AS n, '' AS path FROM pages
- UNION ALL /*recursive*/ SELECT c.page_id, e.to_url, c.n + 1, c.path || '|' || e.to_url FROM chain c JOIN edge e ON e.from_url = c.at WHERE c.n < 10"""
+CTES["chain"] = """SELECT page_id, url AS cur, 0 AS n, '' AS path FROM pages
+ UNION ALL /*recursive*/ SELECT c.page_id, e.to_url, c.n + 1, c.path || '|' || e.to_url FROM chain c JOIN edge e ON e.from_url = c.cur WHERE c.n < 10"""
 
 
 @query(
     "C13_redirect_chains",
-    "SELECT page_id AS request_id, at AS final_url, n AS hop_count, substring(path, 2) AS hops, n >= 10 AND at IN (SELECT from_url FROM edge) AS limit_reached FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC) AS rn FROM chain) x WHERE rn = 1",
+    "SELECT page_id AS request_id, cur AS final_url, n AS hop_count, substring(path, 2) AS hops, n >= 10 AND cur IN (SELECT from_url FROM edge) AS limit_reached FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC) AS rn FROM chain) x WHERE rn = 1",
 )
 def redirect_chains(c):
     requests = c.table("pages").select(F.col("page_id").alias("request_id"), F.col("url").alias("requested_url"))

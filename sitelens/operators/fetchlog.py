@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.functions.headers import is_redirect, mime_matches
 from sitelens.functions.urls import is_http, parse_url, resolve_url
 from sitelens.limits import DEFAULT_NETWORK, NetworkLimits
+from sitelens.operators.asof import last_before
 
 # Failures the fetcher itself logs.
 LOGGED_ERRORS = ("timeout", "aborted", "redirect-opaque", "network-error")
@@ -100,30 +101,28 @@ def resolve_chains(
     )
 
 
-def latest_navigation(requests: DataFrame, navigations: DataFrame, watched: DataFrame) -> DataFrame:
+def latest_navigation(
+    requests: DataFrame, navigations: DataFrame, watched: DataFrame, bucket_seconds: int = 3600
+) -> DataFrame:
     """As-of lookup: a tab's newest observation at audit time, if it is of that URL.
 
     requests(request_id, tab_id, requested_url, audit_time);
     navigations(tab_id, requested_url, final_url, status_code, observed_at);
     watched(tab_id).  Adds nav_status observed / unavailable and a reason code."""
-    nav = navigations.select(
-        "tab_id",
-        F.struct(
-            "observed_at",
-            F.col("requested_url").alias("nav_requested_url"),
-            F.col("final_url").alias("nav_final_url"),
-            "status_code",
-        ).alias("n"),
+    seen = F.struct(
+        F.col("requested_url").alias("nav_requested_url"),
+        F.col("final_url").alias("nav_final_url"),
+        "status_code",
     )
-    newest = (
-        requests.join(nav, "tab_id", "left")
-        .groupBy("request_id", "tab_id", "requested_url")
-        .agg(
-            F.max_by(
-                F.when(F.col("n.observed_at") <= F.col("audit_time"), F.col("n")),
-                F.when(F.col("n.observed_at") <= F.col("audit_time"), F.col("n.observed_at")),
-            ).alias("n")
-        )
+    near = last_before(
+        requests,
+        navigations,
+        "tab_id",
+        F.col("audit_time"),
+        F.col("observed_at"),
+        seen,
+        "n",
+        bucket_seconds,
     )
     armed = watched.select("tab_id").distinct().withColumn("armed", F.lit(True))
     same = (F.col("n.nav_requested_url") == F.col("requested_url")) | (
@@ -133,12 +132,15 @@ def latest_navigation(requests: DataFrame, navigations: DataFrame, watched: Data
         F.col("n").isNull(),
         F.when(F.col("armed"), "navigation-completed-before-attach").otherwise("listener-not-attached"),
     ).when(~same, "navigation-completed-before-attach")
-    return newest.join(armed, "tab_id", "left").select(
-        "request_id",
-        "tab_id",
-        "requested_url",
-        F.when(reason.isNull(), "observed").otherwise("unavailable").alias("nav_status"),
-        reason.alias("reason"),
-        F.when(reason.isNull(), F.col("n.nav_final_url")).alias("final_url"),
-        F.when(reason.isNull(), F.col("n.status_code")).alias("status_code"),
+    return (
+        near.join(armed, "tab_id", "left")
+        .select(
+            "request_id",
+            "tab_id",
+            "requested_url",
+            F.when(reason.isNull(), "observed").otherwise("unavailable").alias("nav_status"),
+            reason.alias("reason"),
+            F.when(reason.isNull(), F.col("n.nav_final_url")).alias("final_url"),
+            F.when(reason.isNull(), F.col("n.status_code")).alias("status_code"),
+        )
     )

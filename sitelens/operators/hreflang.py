@@ -142,6 +142,20 @@ def directive_finding_id(f: DataFrame) -> DataFrame:
     )
 
 
+def page_edges(structure: DataFrame) -> DataFrame:
+    """Page structure -> page_id, pos, hreflang, href: usable alternates as edges.
+
+    Blank codes or targets are skipped; a target that does not resolve stays raw."""
+    alternates = F.filter("_rels", lambda r: r["rel"] == "alternate")
+    code, href = F.lower(browser_trim(F.col("r.hreflang"))), browser_trim(F.col("r.href"))
+    return (
+        structure.select("page_id", F.posexplode(alternates).alias("pos", "r"))
+        .select("page_id", "pos", code.alias("hreflang"), F.coalesce("r.absolute", href).alias("href"), href.alias("_raw"))
+        .filter("hreflang <> '' AND _raw <> ''")
+        .drop("_raw")
+    )
+
+
 # -- clusters -----------------------------------------------------------------
 
 
