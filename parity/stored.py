@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from parity.duck import grouping, q, squeeze, url_chain
@@ -16,6 +14,7 @@ from sitelens.operators import facts as P
 from sitelens.operators import hreflang as HL
 from sitelens.operators import summary as Y
 from sitelens.sources import sessions as SS
+from sitelens.session import new_folder
 from sitelens.sources import sinks as K
 from sitelens.streaming import navigation as NV
 
@@ -342,20 +341,10 @@ NAVS = "SELECT n.tab_id, n.request_id, requested_url, final_url, status_code, ho
 NAV_COLUMNS = ("tab_id", "request_id", "requested_url", "final_url", "status_code", "hops", "headers")
 
 
-def _folder(c, name: str) -> str:
-    """A new folder beside the shared checkpoints, or a temporary one in tests."""
-    base = c.spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"sitelens-{name}-")
-    from uuid import uuid4
-
-    return f"{base.rstrip('/')}/sitelens-{name}-{uuid4().hex}"
-
-
 def _observed(c):
     def run():
         c.spark.conf.set("spark.sql.streaming.stateStore.providerClass", NV.ROCKSDB)
-        home = _folder(c, "navigation")
+        home = new_folder(c.spark, "navigation")
         c.table("nav_events").write.parquet(f"{home}/events")
         from sitelens.sources.tables import nav_event_stream
 
@@ -388,7 +377,7 @@ def latest_per_tab(c):
 
 @query("K4_robots_once", "SELECT session_id, origin, min(page_id) AS page_id FROM robots_fetch_log GROUP BY ALL")
 def robots_once(c):
-    home = _folder(c, "robots")
+    home = new_folder(c.spark, "robots")
     log = c.table("robots_fetch_log")
     log.write.parquet(f"{home}/log")
     stream = NV.robots_once(c.spark.readStream.schema(log.schema).parquet(f"{home}/log"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions.expr import let
 from sitelens.functions.headers import is_redirect, mime_matches
-from sitelens.functions.urls import is_http, parse_url, resolve_url
+from sitelens.functions.urls import parse_url, resolve_url
 from sitelens.limits import DEFAULT_NETWORK, NetworkLimits
 from sitelens.operators.asof import last_before
 
@@ -19,21 +20,29 @@ def error_code(limits: NetworkLimits = DEFAULT_NETWORK) -> Column:
 
     Reads requested_url, final_url, status, location, hop_count, content_type,
     expect_mime, logged_error."""
-    asked = parse_url(F.col("requested_url"))
-    target = resolve_url(F.col("location"), parse_url(F.col("final_url")))
     redirect = F.coalesce(is_redirect(F.col("status")), F.lit(False))
-    return (
-        F.when(asked.isNull(), "invalid-url")
-        .when(~is_http(asked), "unsupported-scheme")
-        .when(F.col("logged_error").isin(*LOGGED_ERRORS), F.col("logged_error"))
-        .when(redirect & (F.col("hop_count") >= limits.redirects), "redirect-limit")
-        .when(redirect & (F.coalesce("location", F.lit("")) == ""), "network-error")
-        .when(redirect & target.isNull(), "invalid-url")
-        .when(
-            F.col("expect_mime").isNotNull()
-            & ~mime_matches(F.col("content_type"), F.col("expect_mime")),
-            "mime-mismatch",
+
+    def judge(u: Column) -> Column:
+        return (
+            F.when(u["asked"].isNull(), "invalid-url")
+            .when(~u["asked"].isin("http", "https"), "unsupported-scheme")
+            .when(F.col("logged_error").isin(*LOGGED_ERRORS), F.col("logged_error"))
+            .when(redirect & (F.col("hop_count") >= limits.redirects), "redirect-limit")
+            .when(redirect & (F.coalesce("location", F.lit("")) == ""), "network-error")
+            .when(redirect & u["target"].isNull(), "invalid-url")
+            .when(
+                F.col("expect_mime").isNotNull()
+                & ~mime_matches(F.col("content_type"), F.col("expect_mime")),
+                "mime-mismatch",
+            )
         )
+
+    return let(
+        F.struct(
+            parse_url(F.col("requested_url"))["scheme"].alias("asked"),
+            resolve_url(F.col("location"), parse_url(F.col("final_url")))["href"].alias("target"),
+        ),
+        judge,
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,16 +43,30 @@ def local_session(cpus: str = "8", **extra: str) -> SparkSession:
     return configure(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names.
+_OWN_FOLDER: list[str] = []
 
-    The folder comes from ``spark.checkpoint.dir``; only where none is set (a
-    laptop, a test) is a temporary one used."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir"
-        )
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sitelens-checkpoint-"))
-    return df.checkpoint(eager=True)
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder the cluster names.
+
+    Only where none is named (a laptop, a test) a temporary folder is made."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="sitelens-"))
+    return _OWN_FOLDER[0]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/sitelens-{name}-{uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Computed once, safe against lost executors, and readers prune columns;
+    a checkpoint would compute the rows twice and be read whole."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
