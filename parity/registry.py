@@ -9,7 +9,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from parity import derive
-from sitelens.session import configure, cut_lineage
+from sitelens.schemas import PAGES
+from sitelens.session import configure, cut_lineage, spread
 
 
 class Inputs:
@@ -21,7 +22,7 @@ class Inputs:
         self._tables: dict[str, DataFrame] = {}
 
     def _pages(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/pages.parquet")
+        return spread(self.spark.read.schema(PAGES).parquet(f"{self.folder}/pages.parquet"))
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:

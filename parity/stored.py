@@ -375,11 +375,24 @@ def latest_per_tab(c):
     return NV.latest_per_tab(_observed(c)).select("tab_id", "request_id", "final_url")
 
 
-@query("K4_robots_once", "SELECT session_id, origin, min(page_id) AS page_id FROM robots_fetch_log GROUP BY ALL")
+@query("K4_robots_first_fetch", "SELECT session_id, origin, min(page_id) AS page_id FROM robots_fetch_log GROUP BY ALL")
+def robots_first_fetch(c):
+    return NV.first_robots_fetch(c.table("robots_fetch_log")).select("session_id", "origin", "page_id")
+
+
+@query("K4_robots_once", "SELECT DISTINCT session_id, origin FROM robots_fetch_log")
 def robots_once(c):
+    """Stream form; which row of a key arrives first is up to the files, so only keys are compared."""
     home = new_folder(c.spark, "robots")
     log = c.table("robots_fetch_log")
     log.write.parquet(f"{home}/log")
     stream = NV.robots_once(c.spark.readStream.schema(log.schema).parquet(f"{home}/log"))
-    (stream.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination())
-    return c.spark.read.parquet(f"{home}/out").select("session_id", "origin", "page_id")
+    run = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{home}/out")
+        .option("checkpointLocation", f"{home}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return c.spark.read.parquet(f"{home}/out").select("session_id", "origin")

@@ -43,6 +43,15 @@ def local_session(cpus: str = "8", **extra: str) -> SparkSession:
     return configure(spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few scan splits; larger inputs are left alone.
+
+    A file of one row group is one task.  The shuffle this adds only happens
+    where the whole input has fewer splits than the cluster has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _OWN_FOLDER: list[str] = []
 
 

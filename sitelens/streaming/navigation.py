@@ -129,10 +129,20 @@ def latest_per_tab(observations: DataFrame) -> DataFrame:
 
 
 def robots_once(fetch_log: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Stream of robots fetches -> the first per (session, origin)."""
+    """Stream of robots fetches -> the first to arrive per (session, origin)."""
     return fetch_log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "origin"])
 
 
+def first_robots_fetch(fetch_log: DataFrame) -> DataFrame:
+    """Batch form: the earliest fetch per (session, origin)."""
+    keep = [c for c in fetch_log.columns if c not in ("session_id", "origin")]
+    return (
+        fetch_log.groupBy("session_id", "origin")
+        .agg(F.min_by(F.struct(*keep), "ts").alias("r"))
+        .select("session_id", "origin", "r.*")
+    )
+
+
 # -- batch twin ---------------------------------------------------------------------
 
 
