@@ -217,7 +217,7 @@ for _key, _check, _rules in (
 
 
 def full(c):
-    return c.once("full_audit", lambda: audit(evidence(c)))
+    return c.once("full_audit", lambda: audit(evidence(c), stored=True))
 
 
 @query("J25_full_audit", f"SELECT {OUT} FROM finding")

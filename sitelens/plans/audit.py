@@ -58,12 +58,16 @@ def audit(
     catalogue: Sequence[C.Check] = C.CATALOGUE,
     capture_errors: DataFrame | None = None,
     store: str | None = None,
+    stored: bool = False,
 ) -> Audit:
     """Evidence -> findings, check selection, page summaries.
 
     The evidence is read by several branches, so it is materialised once: as a
-    table at ``store`` or in the checkpoint folder.  Pages are lexed once."""
-    if store is not None:
+    table at ``store`` or in the checkpoint folder.  Pages are lexed once.
+    ``stored`` says that it is such a table already."""
+    if stored:
+        pass
+    elif store is not None:
         evidence.write.mode("overwrite").parquet(store)
         evidence = evidence.sparkSession.read.parquet(store)
     else:
