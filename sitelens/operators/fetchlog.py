@@ -10,6 +10,7 @@ from sitelens.functions.headers import is_redirect, mime_matches
 from sitelens.functions.urls import parse_url, resolve_url
 from sitelens.limits import DEFAULT_NETWORK, NetworkLimits
 from sitelens.operators.asof import last_before
+from sitelens.session import cut_lineage
 
 # Failures the fetcher itself logs.
 LOGGED_ERRORS = ("timeout", "aborted", "redirect-opaque", "network-error")
@@ -69,7 +70,7 @@ def resolve_chains(
     Every step is an equi join on URL; a URL many requests lead to is a skewed
     key AQE splits, since the right side has one row per URL."""
     limit = limits.redirects
-    edges = hops.groupBy("from_url").agg(F.min_by("to_url", "to_url").alias("to_url"))
+    edges = cut_lineage(hops.groupBy("from_url").agg(F.min("to_url").alias("to_url")), "edges")
     step = edges.select(
         F.col("from_url").alias("src"), F.array("to_url").alias("path"), F.col("to_url").alias("dst")
     )
@@ -79,13 +80,13 @@ def resolve_chains(
         right = last.select(
             F.col("src").alias("dst"), F.col("path").alias("more"), F.col("dst").alias("end")
         )
-        powers.append(
-            last.join(right, "dst", "left").select(
-                "src",
-                F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path"),
-                F.coalesce("end", "dst").alias("dst"),
-            )
+        doubled = last.join(right, "dst", "left").select(
+            "src",
+            F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path"),
+            F.coalesce("end", "dst").alias("dst"),
         )
+        # Each power is read by the next one and by the requests: store it.
+        powers.append(cut_lineage(doubled, "hops"))
     # limit = sum of powers of two: apply each of its bits once.
     current = requests.select(
         "request_id",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.functions.codes import hreflang_verdict
 from sitelens.functions.expr import browser_trim, slug
 from sitelens.functions.urls import grouping_url, is_relative_href, parse_url
+from sitelens.session import cut_lineage
 
 # Rule -> severity.
 CLUSTER_RULES = {
@@ -207,7 +208,8 @@ def cluster_findings(
     complete cluster of n members costs n rows of aggregate, not n² pairs.  In a
     cluster larger than ``list_pairs_up_to`` a member that falls short gets one
     row with the exact number of missing returns instead of a row per pair."""
-    m = members.select(
+    # Both are read by every rule below, so they are stored normalised.
+    normal = members.select(
         "cluster_id",
         "member_id",
         F.lower("hreflang").alias("hreflang"),
@@ -216,9 +218,11 @@ def cluster_findings(
         grouping_url(F.col("final_url")).alias("norm"),
         _label(members).alias("affected_url"),
     )
-    e = edges.select(
+    m = cut_lineage(normal, "members")
+    declared_links = edges.select(
         "cluster_id", "member_id", F.lower("hreflang").alias("hreflang"), grouping_url(F.col("href")).alias("norm")
     )
+    e = cut_lineage(declared_links, "edges")
     codes = e.groupBy("cluster_id", "member_id", "hreflang").agg(F.count("*").alias("n"))
     label = m.select("cluster_id", "member_id", "affected_url")
     repeated = (
@@ -248,13 +252,14 @@ def cluster_findings(
         )
     )
     declared = e.select("cluster_id", "member_id", "hreflang", "norm").distinct()
-    returns = declared.join(
+    met = declared.join(
         m.filter("norm IS NOT NULL").select(
             "cluster_id", F.col("member_id").alias("other_id"), "hreflang", "norm",
             F.col("requested_url").alias("other_url"),
         ),
         ["cluster_id", "hreflang", "norm"],
     ).select("cluster_id", "member_id", "other_id", "other_url").distinct()
+    returns = cut_lineage(met, "returns")
     own = returns.filter("member_id = other_id").select("cluster_id", "member_id")
     missing_self = (
         m.filter("norm IS NOT NULL")
