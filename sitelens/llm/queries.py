@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import mixing, url_rules
+from sitelens.llm import cross_parsing, exact_topk, huffman, mixing, multi_index, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cross_parsing": cross_parsing.query,
+    "op3_token_ids": huffman.query,
     "op5_mix_sources": mixing.query,
+    "op6_multi_index": multi_index.query,
+    "op7_exact_topk": exact_topk.query,
     "op8_url_rules": url_rules.query,
 }
 
 ORACLE: dict[str, str] = {
     "op5_mix_sources": mixing.SQL,
+    "op7_exact_topk": exact_topk.SQL,
     "op8_url_rules": url_rules.SQL,
 }
