@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+from types import ModuleType
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,3 +46,13 @@ def n_words(text: Column) -> Column:
 def fold(column: Column, modulus: int) -> Column:
     """crc32 of a column as text, modulo ``modulus``."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker: code shipped by value has new
+    module variables in every task."""
+    name = "sitelens_llm_worker_cache"
+    if name not in sys.modules:
+        sys.modules[name] = ModuleType(name)
+        sys.modules[name].held = {}
+    return sys.modules[name].held

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import fold, table
+from sitelens.llm.common import fold, table, worker_cache
 
 #: Characters of labelled text learned per language, at most.
 SAMPLE_CHARS = 60_000
@@ -31,8 +31,6 @@ KEPT_WORDS = 400_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
-_PARSERS: dict[tuple, "Parser"] = {}
-
 
 class SuffixAutomaton:
     """Smallest automaton of all substrings of a text; transitions in one dictionary."""
@@ -172,10 +170,10 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Dat
 
     @F.pandas_udf("lang_pred string, score double, bits_per_letter double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if known not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[known] = Parser(dict(known))
-        decide = _PARSERS[known].decide
+        cache = worker_cache()
+        if cache.get("parser", (None,))[0] != known:
+            cache["parser"] = known, Parser(dict(known))
+        decide = cache["parser"][1].decide
         for batch in batches:
             yield pd.DataFrame(list(map(decide, batch)), columns=["lang_pred", "score", "bits_per_letter"])
 

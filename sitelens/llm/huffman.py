@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import shared_folder, stored, table
+from sitelens.llm.common import shared_folder, stored, table, worker_cache
 
 #: Longest code in bits; the decoding table has 2 to this power entries.
 LIMIT = 20
@@ -33,8 +33,6 @@ TOKENIZER = "word_bpe_49k.json"
 KEPT_CHUNKS = 400_000
 SIDE_BY_SIDE = 1_000_000
 
-_ENCODERS: dict[str, "Encoder"] = {}
-
 
 def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
     """Optimal code lengths of at most ``limit`` bits, by package-merge; one lone id gets 1 bit."""
@@ -142,10 +140,10 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    cache = worker_cache()
+    if cache.get("encoder", (None,))[0] != path:
+        cache["encoder"] = path, Encoder(path)
+    return cache["encoder"][1]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
