@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import cross_parsing, exact_topk, huffman, mixing, multi_index, url_rules
+from sitelens.llm import cross_parsing, exact_topk, huffman, mixing, multi_index, order_minhash, recurrent_lm, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_parsing": cross_parsing.query,
     "op3_token_ids": huffman.query,
+    "op4_order_minhash": order_minhash.query,
     "op5_mix_sources": mixing.query,
     "op6_multi_index": multi_index.query,
     "op7_exact_topk": exact_topk.query,
     "op8_url_rules": url_rules.query,
+    "op9_recurrent_lm": recurrent_lm.query,
 }
 
 ORACLE: dict[str, str] = {
