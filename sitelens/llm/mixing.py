@@ -144,6 +144,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's stage: each document as often as the mix takes it, not at all if never.
+
+    A document without words has no share in the mix and stays once."""
+    taken = mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1)).cast("int").alias("times"))
+    known = docs.withColumn("its", F.col("doc_id")).join(taken.withColumnRenamed("doc_id", "other"), F.col("its").eqNullSafe(F.col("other")))
+    copies = known.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def mix_sql(docs: str = "documents", seed: str = "mix") -> str:
     """CTEs whose last, ``mixed``, has a row per document with taken words."""
     return rf"""

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import cross_parsing, exact_topk, huffman, mixing, multi_index, order_minhash, recurrent_lm, url_rules
+from sitelens.llm import cross_parsing, exact_topk, huffman, mixing, multi_index, order_minhash, piece_lattice, recurrent_lm, url_rules, wrapper_induction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_parsing": cross_parsing.query,
+    "op2_wrapper_induction": wrapper_induction.query,
     "op3_token_ids": huffman.query,
     "op4_order_minhash": order_minhash.query,
     "op5_mix_sources": mixing.query,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_topk": exact_topk.query,
     "op8_url_rules": url_rules.query,
     "op9_recurrent_lm": recurrent_lm.query,
+    "op10_piece_lattice": piece_lattice.query,
 }
 
 ORACLE: dict[str, str] = {
