@@ -12,6 +12,7 @@ Spark's committed writer and any shared store hold them and a lost task is simpl
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -30,7 +31,9 @@ BLOCK = 256
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks (between blanks) whose ids a worker keeps, and ids decoded side by side, about.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 700_000
+#: Documents whose new words are encoded in one call.
+LEARNED = 500
 SIDE_BY_SIDE = 1_000_000
 
 
@@ -116,6 +119,10 @@ class Code:
         return out
 
 
+#: A run of letters and what may end it: two words to the tokenizer, whose case it drops.
+_PLAIN = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|)]*)")
+
+
 class Encoder(dict):
     """Ids, as bytes, of a chunk between blanks: the tokenizer drops white space and joins
     nothing across it, so each chunk is encoded once per worker and kept."""
@@ -125,18 +132,36 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def __missing__(self, chunk: str) -> bytes:
+    def learn(self, texts: list[str | None]) -> None:
+        """Encode the new plain words of texts in one call."""
         if len(self) > KEPT_CHUNKS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        new = {c for t in texts for c in self.chunks(t)} - self.keys()
+        plain = {c: m for c in new if (m := _PLAIN.fullmatch(c))}
+        words = sorted({m[1].lower() for m in plain.values()} - self.keys())
+        if words:
+            done = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ids, of = np.array(done.ids, dtype=self.kind), np.array(done.word_ids)
+            starts = np.searchsorted(of, np.arange(len(words) + 1))
+            if of[-1] == len(words) - 1:
+                self.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, starts[:-1], starts[1:], strict=True))
+        for c, m in plain.items():
+            self[c] = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
+
+    @staticmethod
+    def chunks(text: str | None) -> list[str]:
+        return (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         self[chunk] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids of a whole text, with the end id."""
-        chunks = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        return b"".join(map(self.__getitem__, chunks)) + np.array([END], dtype="<u4").tobytes()
+        """Little-endian ids (of ``kind``) of a whole text, with the end id."""
+        return b"".join(map(self.__getitem__, self.chunks(text))) + np.array([END], dtype=self.kind).tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -152,43 +177,58 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def id_counts(docs: DataFrame, path: str) -> dict[int, int]:
+def tokenise(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and ids (binary, two or four bytes each as the vocabulary needs) of each document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = encoder(path)
+        for batch in batches:
+            for start in range(0, len(batch), LEARNED):
+                part = batch.iloc[start : start + LEARNED]
+                own.learn(part["text"].tolist())
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": list(map(own.ids, part["text"]))})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary")
+
+
+def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
     """How often each id occurs in all documents; bounded by the vocabulary."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, totals = encoder(path), np.zeros(0, dtype=np.int64)
+        totals = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                seen = np.bincount(np.frombuffer(own.ids(text), dtype="<u4"))
-                if len(seen) > len(totals):
-                    totals = np.pad(totals, (0, len(seen) - len(totals)))
-                totals[: len(seen)] += seen
+            for ids in batch["ids"]:
+                own = np.frombuffer(ids, dtype=kind)
+                if own.max() >= len(totals):
+                    totals = np.pad(totals, (0, int(own.max()) + 1 - len(totals)))
+                found, n = np.unique(own, return_counts=True)
+                totals[found] += n
         found = np.flatnonzero(totals)
         yield pd.DataFrame({"id": found.astype(np.int64), "n": totals[found]})
 
-    rows = docs.select("text").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in rows.collect()}
 
 
 RECORD = "doc_id long, n_tokens long, checkpoints binary, bits binary"
 
 
-def encode_documents(docs: DataFrame, lengths: dict[int, int], path: str) -> DataFrame:
-    """doc_id and record of each document of (doc_id, text)."""
+def code_documents(tokens: DataFrame, lengths: dict[int, int], kind: str) -> DataFrame:
+    """The record of each document of (doc_id, ids)."""
     few = sorted(lengths.items())
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, code = encoder(path), Code(dict(few))
+        code = Code(dict(few))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.frombuffer(own.ids(text), dtype="<u4")
+            for doc_id, held in zip(batch["doc_id"], batch["ids"], strict=True):
+                ids = np.frombuffer(held, dtype=kind)
                 bits, offsets = code.encode(ids, np.arange(0, len(ids), BLOCK))
-                rows.append((None if pd.isna(doc_id) else int(doc_id), len(ids), offsets.astype("<u4" if len(ids) < 2**27 else "<u8").tobytes(), bits.tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "checkpoints", "bits"])
-            yield out.astype({"doc_id": "Int64"})
+                width = "<u4" if len(ids) < 2**27 else "<u8"
+                rows.append((None if pd.isna(doc_id) else int(doc_id), len(ids), offsets.astype(width).tobytes(), bits.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "checkpoints", "bits"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encode, RECORD)
+    return tokens.mapInPandas(encode, RECORD)
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> dict[int, int]:
@@ -197,11 +237,13 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> dict[int
     docs: doc_id, text; other columns are left out.  A null text is empty and has the end id
     only.  A null doc_id comes first; rows of one doc_id are ordered by their bits' hash, so
     repeated rows are equal records next to each other.  An empty table writes no rows.
-    The texts are encoded twice (to count, then to code) rather than stored in between: the
-    coded form is what is dealt out by ranges of doc_id, and that is the smallest."""
+    Texts are tokenised once, into a compressed table; the coded form, the smallest, is what is
+    dealt out by ranges of doc_id."""
     path = path or tokenizer_path()
-    lengths = code_lengths(id_counts(docs, path))
-    coded = stored(encode_documents(docs, lengths, path), "records", compression="none")
+    kind = encoder(path).kind
+    tokens = stored(tokenise(docs, path), "tokens", compression="zstd")
+    lengths = code_lengths(id_counts(tokens, kind))
+    coded = code_documents(tokens, lengths, kind)
     n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # The second key splits an id that many rows have.
     order = F.col("doc_id").asc_nulls_first(), F.xxhash64("bits"), F.col("bits")
