@@ -4,7 +4,7 @@ A text is the sequence of its five-word shingles, each labelled with its occurre
 A sketch is the hash of the KEEP labelled shingles with the smallest hashes under one seed,
 written in text order: equal sketches speak for a small edit distance, not just for shared
 words.  Texts that share a sketch are candidates; a pair is near if the longest common
-subsequence L of its shingle sequences has L / (n1 + n2 - L) >= 0.8, found by an alignment
+subsequence L of its word sequences has L / (n1 + n2 - L) >= 0.8, found by an alignment
 within the band which that similarity allows.
 
 Equal word sequences collapse first.  In a group of candidates the members are compared
@@ -26,9 +26,10 @@ from sitelens.llm.common import stored, table, worker_cache
 
 #: Words of a shingle and the least similarity.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Sketches of a text, labelled shingles of a sketch.  A pair of similarity 0.8 shares a
-#: sketch with about 0.8 ** KEEP (0.33): it is missed with 0.67 ** SKETCHES (3e-6).
-SKETCHES, KEEP = 32, 5
+#: Sketches of a text, labelled shingles of a sketch.  Texts that have a share j of their
+#: shingles in common share a sketch with about j ** KEEP: 0.41 at 0.8, 0.2 at 0.67 (one word
+#: in 25 changed), and are missed with (1 - j ** KEEP) ** SKETCHES: 5e-8 and 8e-4.
+SKETCHES, KEEP = 32, 4
 #: Leaders of one round that members left over are compared with, about.
 LEADERS = 8
 #: Words whose hashes a worker keeps.
@@ -53,14 +54,19 @@ class _Words(dict):
         return value
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's shingles in order; one for all its words if they are fewer
-    than SHINGLE; none without words."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words in order."""
     words = (text or "").split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
     cache = worker_cache().setdefault("words", _Words())
-    h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of a text's shingles in order; one for all its words if they are fewer than
+    SHINGLE; none without words."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
     size = min(SHINGLE, len(h))
     total = np.zeros(len(h) - size + 1, dtype=np.uint64)
     for k in range(size):
@@ -147,7 +153,7 @@ def common_subsequence(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float | None:
-    """L / (n1 + n2 - L) of two shingle sequences if it is at least ``least``, else None."""
+    """L / (n1 + n2 - L) of two word sequences if it is at least ``least``, else None."""
     n = len(a) + len(b)
     if not len(a) or not len(b):
         return None
@@ -155,7 +161,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     need = int(np.ceil(n * least / (1 + least) - 1e-9))
     if min(len(a), len(b)) < need:
         return None
-    # The shingles in common, with their multiplicity, are at least as many as can be aligned.
+    # The words in common, with their multiplicity, are at least as many as can be aligned.
     if len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < need:
         return None
     length = common_subsequence(a, b, n - 2 * need)
@@ -205,8 +211,8 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             for a, b, a_text, b_text in zip(batch["a"], batch["b"], batch["a_text"], batch["b_text"], strict=True):
                 if len(held) > 256:
                     held.clear()
-                x = held[a] if a in held else held.setdefault(a, shingles(a_text))
-                y = held[b] if b in held else held.setdefault(b, shingles(b_text))
+                x = held[a] if a in held else held.setdefault(a, word_hashes(a_text))
+                y = held[b] if b in held else held.setdefault(b, word_hashes(b_text))
                 s = similarity(x, y)
                 if s is not None:
                     rows.append((a, b, s))
@@ -218,9 +224,11 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def near_pairs(reps: DataFrame) -> DataFrame:
     """Near pairs (a, b, similarity), a < b, which connect whatever is connected by candidates
     that are near."""
-    entries = _sketched(reps)
+    entries = stored(_sketched(reps), "sketches")
     groups = entries.groupBy("sketch").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     left = stored(entries.join(groups, "sketch").select("sketch", "rep", "leader", "n"), "candidates")
+    # Only candidates are read from here on.
+    reps = stored(reps.join(left.select("rep").distinct(), "rep", "left_semi"), "candidate-texts", compression="zstd")
     tried = left.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     near = stored(_near(tried, reps), "near")
     # Whoever isn't near its group's leader leads in turn: over all of the group.
