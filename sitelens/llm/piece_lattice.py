@@ -14,6 +14,7 @@ joined to the documents that hold them."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from uuid import uuid4
@@ -28,12 +29,17 @@ from sitelens.llm.recurrent_lm import frequent
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-#: Units whose cuts travel to the tasks; distinct units a task counts before it hands them on.
-HEAD, HELD_UNITS = 200_000, 400_000
+#: Units whose cuts travel to the tasks; distinct words a task counts before it hands them on.
+HEAD, HELD_WORDS = 150_000, 200_000
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 200_000
 #: Most pieces of a table that is sent to all tasks.
-MOST_PIECES = 500_000
+MOST_PIECES = 1 << 15
 #: Characters of a unit whose boundaries fit a long.
 SHORT = 62
+#: Bits of a character's place in a unit, in an edge written as one long.
+PLACE = 24
+_WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
 class Pieces:
@@ -54,35 +60,19 @@ class Pieces:
         self.special = special - set(self.byte.values())
         self.bytes_of = {k: b for b, k in self.byte.items()}
 
-    def units(self, text: str) -> list[str]:
-        """Cuts a text (blanks marked, one put in front) where no piece holds both neighbours."""
-        if not text:
-            return []
-        marked = BLANK + text.replace(" ", BLANK)
-        known = worker_cache().setdefault("units", {})
-        if len(known) > HELD_UNITS:
-            known.clear()
-        out: list[str] = []
-        # Words with their blanks in front; runs of blanks stay together.
-        start = 0
-        while start < len(marked):
-            end = start
-            while end < len(marked) and marked[end] == BLANK:
-                end += 1
-            stop = marked.find(BLANK, end)
-            word = marked[start : stop if stop >= 0 else len(marked)]
-            start += len(word)
-            cut = known.get(word)
-            if cut is None:
-                at, cut = 0, []
-                for k in range(1, len(word)):
-                    if word[k - 1 : k + 1] not in self.pairs:
-                        cut.append(word[at:k])
-                        at = k
-                cut.append(word[at:])
-                known[word] = cut
-            out += cut
-        return out
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """Words with the blanks in front of them; the text has one more in front."""
+        return _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
+
+    def units(self, word: str) -> list[str]:
+        """Cuts a word where no piece holds both neighbours."""
+        at, out = 0, []
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in self.pairs:
+                out.append(word[at:k])
+                at = k
+        return [*out, word[at:]]
 
     def ids(self, unit: str, cuts: list[int]) -> list[int]:
         """Ids of a unit's parts; a character without a piece is its bytes."""
@@ -127,17 +117,31 @@ def unit_counts(docs: DataFrame, path: str) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, held = pieces(path), Counter()
+
+        def handed_on() -> pd.DataFrame:
+            units: Counter[str] = Counter()
+            for word, n in held.items():
+                for u in own.units(word):
+                    units[u] += n
+            held.clear()
+            return pd.DataFrame({"unit": list(units), "n": list(units.values())}).astype({"unit": "object", "n": "int64"})
+
         for batch in batches:
             for text in batch["text"]:
-                held.update(own.units(text or ""))
-                if len(held) > HELD_UNITS:
-                    yield pd.DataFrame({"unit": list(held), "n": list(held.values())})
-                    held.clear()
-        yield pd.DataFrame({"unit": list(held), "n": list(held.values())}).astype({"unit": "object", "n": "int64"})
+                held.update(own.words(text or ""))
+                if len(held) > HELD_WORDS:
+                    yield handed_on()
+        yield handed_on()
 
     return docs.select("text").mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def _ends(edge: Column) -> dict[str, Column]:
+    """Begin and end of an edge written as a long."""
+    mask = F.lit((1 << PLACE) - 1).cast("long")
+    return {"a": F.shiftright(edge, PLACE).bitwiseAND(mask).cast("int"), "b": edge.bitwiseAND(mask).cast("int")}
+
+
 def _short_cuts(edges: Column, size: Column) -> Column:
     """Cuts of a unit of at most SHORT characters; bit k of the state: a boundary before character k."""
 
@@ -147,7 +151,8 @@ def _short_cuts(edges: Column, size: Column) -> Column:
     def bit(state: Column, k: Column) -> Column:
         return F.call_function("shiftright", state, k.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
-    def take(state: Column, e: Column) -> Column:
+    def take(state: Column, edge: Column) -> Column:
+        e = _ends(edge)
         inner = state.bitwiseAND(below(e["b"])).bitwiseAND(F.bitwise_not(below(e["a"] + 1)))
         fits = bit(state, e["a"]) & bit(state, e["b"]) & (F.bit_count(inner) == 1)
         return F.when(fits, state.bitwiseAND(F.bitwise_not(inner))).otherwise(state)
@@ -161,7 +166,8 @@ def _short_cuts(edges: Column, size: Column) -> Column:
 def _long_cuts(edges: Column, size: Column) -> Column:
     """The same with an array of boundaries, for units of any length."""
 
-    def take(state: Column, e: Column) -> Column:
+    def take(state: Column, edge: Column) -> Column:
+        e = _ends(edge)
         inner = F.filter(state, lambda k: (k > e["a"]) & (k < e["b"]))
         fits = F.array_contains(state, e["a"]) & F.array_contains(state, e["b"]) & (F.size(inner) == 1)
         return F.when(fits, F.array_except(state, inner)).otherwise(state)
@@ -176,10 +182,10 @@ def unit_cuts(units: DataFrame, path: str) -> DataFrame:
     The units must be dealt out by unit already, as ``unit_counts`` gives them: then edges
     meet their unit without another shuffle."""
     spark, own = units.sparkSession, pieces(path)
-    several = [(p, r) for p, r in own.rank.items() if len(p) > 1]
+    several = [(p, k) for k, p in enumerate(sorted((p for p in own.id if len(p) > 1), key=lambda p: (own.rank[p], own.id[p])))]
     if len(several) > MOST_PIECES:
         raise ValueError(f"{len(several)} pieces are too many to be sent to all tasks")
-    piece = spark.createDataFrame(several, "piece string, rank double")
+    piece = spark.createDataFrame(several, "piece string, rank long")
     size = F.char_length("unit")
     starts = F.explode_outer(F.when(size > 1, F.sequence(F.lit(0), (size - 2).cast("int"))))
     begun = units.select("unit", "n", starts.alias("a"))
@@ -189,7 +195,8 @@ def unit_cuts(units: DataFrame, path: str) -> DataFrame:
         "piece", F.substring("unit", F.col("a") + 1, F.col("b") - F.col("a"))
     )
     found = spans.join(F.broadcast(piece), "piece", "left")
-    edge = F.when(F.col("rank").isNotNull(), F.struct("rank", "a", "b"))
+    # Rank, begin and end as one long: a third of a struct's memory, and its order is theirs.
+    edge = F.shiftleft(F.shiftleft(F.col("rank"), PLACE) + F.col("a"), PLACE) + F.col("b")
     grouped = found.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
     cuts = F.when(size <= SHORT, _short_cuts(F.col("edges"), size)).otherwise(_long_cuts(F.col("edges"), size))
     return grouped.select("unit", "n", cuts.alias("cuts"))
@@ -213,23 +220,34 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, cache = pieces(path), worker_cache()
         if cache.get("head", (None,))[0] != run_id:
-            cache["head"] = run_id, {u: own.ids(u, list(c)) for u, c in shipped.value.items()}
+            cache["head"] = run_id, {u: np.array(own.ids(u, list(c)), dtype="<i4").tobytes() for u, c in shipped.value.items()}
         known = cache["head"][1]
+        hole = np.array([-1], dtype="<i4").tobytes()
+        closed_words: dict[str, bytes] = {}
+
+        def written(words: list[str], open_units: list[str]) -> Iterator[bytes]:
+            for w in words:
+                ids = closed_words.get(w)
+                if ids is not None:
+                    yield ids
+                    continue
+                units = own.units(w)
+                missing = [u for u in units if u not in known]
+                ids = b"".join(known.get(u, hole) for u in units)
+                if missing:
+                    open_units += missing
+                elif len(closed_words) < KEPT_WORDS:
+                    closed_words[w] = ids
+                yield ids
+
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.iloc[start : start + 500]
                 rows = []
                 for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                    ids: list[int] = []
                     open_units: list[str] = []
-                    for u in own.units(text or ""):
-                        k = known.get(u)
-                        if k is None:
-                            ids.append(-1)
-                            open_units.append(u)
-                        else:
-                            ids += k
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), np.array(ids, dtype="<i4").tobytes(), open_units))
+                    ids = b"".join(written(own.words(text or ""), open_units))
+                    rows.append((None if pd.isna(doc_id) else int(doc_id), ids, open_units))
                 out = pd.DataFrame(rows, columns=["doc_id", "ids", "open_units"])
                 yield out.astype({"doc_id": "Int64"})
 
