@@ -126,7 +126,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     queued = stored(summed.withColumn("so_far", F.col("so_far") + F.col("offset")).drop("offset", "part"), "queue")
 
     def finish(p: int) -> Column:
-        return (F.col("source_size") * p + F.col("so_far")) / F.col("target")
+        return F.try_divide(F.col("source_size") * p + F.col("so_far"), F.col("target"))
 
     real = queued.where("size > 0")
     passed = F.explode(F.array(*(finish(p) for p in range(passes))))
@@ -148,7 +148,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: each document as often as the mix takes it, not at all if never.
 
     A document without words has no share in the mix and stays once."""
-    taken = mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1)).cast("int").alias("times"))
+    taken = mix(docs).groupBy("doc_id").agg(F.max(F.coalesce(F.try_divide("taken", "size"), F.lit(1))).cast("int").alias("times"))
     known = docs.withColumn("its", F.col("doc_id")).join(taken.withColumnRenamed("doc_id", "other"), F.col("its").eqNullSafe(F.col("other")))
     copies = known.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
