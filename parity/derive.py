@@ -220,8 +220,8 @@ def captures(d: Dialect) -> str:
 SELECT page_id AS pair_id, 'audited' AS role, url AS requested_url, url AS final_url, 200 AS status,
   CASE WHEN page_id % 37 = 5 THEN 'timeout' ELSE NULL END AS fetch_error, html AS body, length(html) AS body_bytes FROM pages
 UNION ALL
-SELECT page_id, 'probe', CASE WHEN page_id % 23 = 1 THEN 'https://elsewhere.example.test/p' ELSE concat({ORIGIN}, '/seo-audit-probe-', {pid}) END,
-  CASE WHEN page_id % 6 = 3 THEN concat({ORIGIN}, '/') ELSE concat({ORIGIN}, '/seo-audit-probe-', {pid}) END,
+SELECT page_id, 'probe', CASE WHEN page_id % 23 = 1 THEN 'https://elsewhere.example.test/p' ELSE concat({ORIGIN}, '/missing-page-probe-', {pid}) END,
+  CASE WHEN page_id % 6 = 3 THEN concat({ORIGIN}, '/') ELSE concat({ORIGIN}, '/missing-page-probe-', {pid}) END,
   CASE WHEN page_id % 6 = 0 THEN 404 ELSE 200 END, CASE WHEN page_id % 19 = 2 THEN 'timeout' ELSE NULL END, body, length(body)
 FROM (SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN html WHEN 1 THEN html
         WHEN 2 THEN '<html><head><title>Page not  found</title></head><body>Nothing here</body></html>'

@@ -158,7 +158,7 @@ CTES["cltarget"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pa
 
 @query(
     "H7_probe_url",
-    f"SELECT page_id, u_origin || '/seo-audit-probe-' || left(sha256(url), 16) AS probe FROM u__pages WHERE {http('u')}",
+    f"SELECT page_id, u_origin || '/missing-page-probe-' || left(sha256(url), 16) AS probe FROM u__pages WHERE {http('u')}",
 )
 def probe(c):
     return c.table("pages").select("page_id", U.probe_url(F.col("url")).alias("probe"))

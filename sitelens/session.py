@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -58,10 +59,13 @@ _OWN_FOLDER: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: the folder the cluster names.
 
-    Only where none is named (a laptop, a test) a temporary folder is made."""
+    A local master without one gets a temporary folder; a cluster must name one, as its
+    executors don't share the driver's disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="sitelens-"))
     return _OWN_FOLDER[0]
