@@ -32,6 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEEP = 32, 4
 #: Leaders of one round that members left over are compared with, about.
 LEADERS = 8
+#: Ranks held at a time while a text is sketched.
+MOST_RANKS = 1 << 21
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 1_000_000
 
@@ -94,10 +96,12 @@ def sketches(h: np.ndarray) -> np.ndarray:
     own = labelled(h)
     keep = min(KEEP, len(own))
     at = np.empty((SKETCHES, keep), dtype=np.int64)
-    for n, seed in enumerate(_SEEDS):
-        under = own * seed
-        under ^= under >> np.uint64(31)
-        at[n] = np.argpartition(under, keep - 1)[:keep]
+    # So many seeds at a time that the ranks of a very long text stay small.
+    step = max(1, MOST_RANKS // len(own))
+    for n in range(0, SKETCHES, step):
+        ranks = own * _SEEDS[n : n + step, None]
+        ranks ^= ranks >> np.uint64(31)
+        at[n : n + step] = np.argpartition(ranks, keep - 1, axis=1)[:, :keep]
     at.sort(axis=1)
     total = np.arange(SKETCHES, dtype=np.uint64)
     for k in range(keep):
@@ -107,49 +111,33 @@ def sketches(h: np.ndarray) -> np.ndarray:
 
 def common_subsequence(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Length of the longest common subsequence if at most ``most`` elements of both are outside
-    it, else None.  Furthest-reaching paths on diagonals within the band of ``most``."""
+    it, else None.  A row of the alignment is one number, a bit for each element of ``a``
+    (a zero where the length grows); matches outside the band of ``most`` don't count."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-    start = 0
     short = min(n, m)
-    same = np.flatnonzero(a[:short] != b[:short])
-    start = int(same[0]) if len(same) else short
+    other = np.flatnonzero(a[:short] != b[:short])
+    start = int(other[0]) if len(other) else short
     a, b = a[start:], b[start:]
     tail = min(len(a), len(b))
     if tail:
-        same = np.flatnonzero(a[::-1][:tail] != b[::-1][:tail])
-        tail = int(same[0]) if len(same) else tail
+        other = np.flatnonzero(a[::-1][:tail] != b[::-1][:tail])
+        tail = int(other[0]) if len(other) else tail
         a, b = a[: len(a) - tail], b[: len(b) - tail]
-    n2, m2 = len(a), len(b)
-    if not n2 or not m2:
-        return start + tail if n2 + m2 <= most else None
-    # reach[k]: furthest place in a on diagonal k (place in a - place in b) after d differences.
-    off = most + 1
-    reach = np.full(2 * most + 3, -1, dtype=np.int64)
-    for d in range(most + 1):
-        k = np.arange(-d, d + 1, 2)
-        k = k[(k >= -m2) & (k <= n2)]
-        if d == 0:
-            x = np.zeros(1, dtype=np.int64)
-        else:
-            x = np.maximum(reach[k - 1 + off] + 1, reach[k + 1 + off])
-        x = np.minimum(x, n2)
-        live = np.flatnonzero((x >= 0) & (x - k <= m2) & (x - k >= 0))
-        k, x = k[live], x[live]
-        moving = np.arange(len(k))
-        while len(moving):
-            at = x[moving]
-            to = at - k[moving]
-            inside = (at < n2) & (to < m2)
-            moving, at, to = moving[inside], at[inside], to[inside]
-            hit = a[at] == b[to]
-            moving = moving[hit]
-            x[moving] += 1
-        reach[k + off] = x
-        if len(k) and ((x >= n2) & (x - k >= m2)).any():
-            return start + tail + (n2 + m2 - d) // 2
-    return None
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    row = every = (1 << len(a)) - 1
+    width = (1 << 2 * most + 1) - 1
+    for j, word in enumerate(b.tolist()):
+        match = places.get(word, 0)
+        if match:
+            match &= width << j - most if j > most else width >> most - j
+            both = row & match
+            row = (row + both | row - both) & every
+    length = start + tail + len(a) - row.bit_count()
+    return length if n + m - 2 * length <= most else None
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float | None:
@@ -168,67 +156,55 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return None if length is None or length < need else length / (n - length)
 
 
-def _representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of documents with words, and (rep, text, words) of one document for
-    each word sequence; rep is its smallest doc_id."""
-    words = F.regexp_replace(F.trim(F.regexp_replace("text", r"\s+", " ")), "^ | $", "")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(words, 256).alias("same")).where(
-        F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")
-    )
-    member = read.select("doc_id", "same")
-    first = stored(member.groupBy("same").agg(F.min("doc_id").alias("rep")), "same")
-    return member.join(first, "same").select("doc_id", "rep"), read.join(
-        first.withColumnRenamed("rep", "doc_id"), ["same", "doc_id"]
-    ).select(F.col("doc_id").alias("rep"), "text")
-
+def _sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, same (a digest of the word sequence) and sketches of documents with words: the
+    one pass over all texts."""
 
-def _sketched(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            reps_, keys = [], []
-            for rep, text in zip(batch["rep"], batch["text"], strict=True):
+            ids, same, keys = [], [], []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 h = shingles(text)
                 if len(h):
-                    keys.append(np.unique(sketches(h)))
-                    reps_.append(np.full(len(keys[-1]), rep, dtype=np.int64))
-            if keys:
-                yield pd.DataFrame({"rep": np.concatenate(reps_), "sketch": np.concatenate(keys).view(np.int64)})
+                    ids.append(doc_id)
+                    same.append(xxh3_128_digest(" ".join(text.split()).encode("utf-8", "surrogatepass")))
+                    keys.append(np.unique(sketches(h)).view(np.int64))
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "same": same, "sketches": keys})
 
-    return reps.mapInPandas(run, "rep long, sketch long")
+    return docs.where("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, same binary, sketches array<long>")
 
 
-def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The near ones of (a, b), with their similarity."""
-    texts = reps.select(F.col("rep"), F.col("text"))
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The near ones of (a, b), with their similarity; texts has (rep, text)."""
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text")), "a").join(
         texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text")), "b"
     )
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
         for batch in batches:
             rows = []
             for a, b, a_text, b_text in zip(batch["a"], batch["b"], batch["a_text"], batch["b_text"], strict=True):
-                if len(held) > 256:
-                    held.clear()
-                x = held[a] if a in held else held.setdefault(a, word_hashes(a_text))
-                y = held[b] if b in held else held.setdefault(b, word_hashes(b_text))
-                s = similarity(x, y)
+                s = similarity(word_hashes(a_text), word_hashes(b_text))
                 if s is not None:
                     rows.append((a, b, s))
             yield pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
-    return both.select("a", "b", "a_text", "b_text").mapInPandas(verify, "a long, b long, similarity double")
+    found = both.select("a", "b", "a_text", "b_text").mapInPandas(verify, "a long, b long, similarity double")
+    # An id with several texts is near where one of them is.
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def near_pairs(reps: DataFrame) -> DataFrame:
+def near_pairs(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """Near pairs (a, b, similarity), a < b, which connect whatever is connected by candidates
-    that are near."""
-    entries = stored(_sketched(reps), "sketches")
+    that are near.  entries has (rep, sketch), docs the texts (doc_id, text)."""
     groups = entries.groupBy("sketch").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     left = stored(entries.join(groups, "sketch").select("sketch", "rep", "leader", "n"), "candidates")
-    # Only candidates are read from here on.
-    reps = stored(reps.join(left.select("rep").distinct(), "rep", "left_semi"), "candidate-texts", compression="zstd")
+    # Only candidates' texts are read from here on.
+    reps = docs.withColumnRenamed("doc_id", "rep").join(left.select("rep").distinct(), "rep", "left_semi")
+    reps = stored(reps.where("text IS NOT NULL").distinct(), "candidate-texts", compression="zstd")
     tried = left.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     near = stored(_near(tried, reps), "near")
     # Whoever isn't near its group's leader leads in turn: over all of the group.
@@ -300,12 +276,17 @@ def classes(docs: DataFrame) -> DataFrame:
     document's word sequence) of every row.
 
     A text that is null or has no words is a class of its own; a null doc_id has a null
-    class; repeated rows are equal rows of one class.  Texts that differ in white space only
+    class; repeated rows are equal rows of one class; rows of one id with several texts are one
+    document, near what one of the texts is near.  Texts that differ in white space only
     are equal.  Other columns are left out; an empty table gives an empty table."""
-    member, reps = _representatives(docs)
-    reps = stored(reps.dropDuplicates(["rep"]), "texts")
-    member = stored(member.distinct(), "members")
-    near = stored(near_pairs(reps), "pairs")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    read = stored(_sketched(texts), "sketched", compression="zstd")
+    first = stored(read.groupBy("same").agg(F.min("doc_id").alias("rep")), "same")
+    member = stored(read.select("doc_id", "same").join(first, "same").select("doc_id", "rep").distinct(), "members")
+    own = read.join(first.withColumnRenamed("rep", "doc_id"), ["same", "doc_id"], "left_semi")
+    own = own.dropDuplicates(["same", "doc_id"])
+    entries = stored(own.select(F.col("doc_id").alias("rep"), F.explode("sketches").alias("sketch")), "entries")
+    near = stored(near_pairs(entries, texts), "pairs")
     rooted = components(near)
     links = near.select("a", "b").union(near.select("b", "a")).toDF("rep", "other").groupBy("rep").agg(F.count("*").alias("n_links"))
     known = (
