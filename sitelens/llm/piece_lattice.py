@@ -57,8 +57,9 @@ class Pieces:
         self.rank = {p: -model.get_score(k) for p, k in self.id.items()}
         self.longest = max(map(len, self.id))
         self.pairs = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.special = special - set(self.byte.values())
         self.bytes_of = {k: b for b, k in self.byte.items()}
+        self.is_byte = np.array([k in self.bytes_of for k in every])
+        self.shown = ["" if k in special else self.text[k] for k in every]
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -82,20 +83,15 @@ class Pieces:
             out += [k] if k is not None else [self.byte[x] for x in unit[a:b].encode("utf-8", "replace")]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of ids: bytes are joined, the blank put in front is taken off again."""
-        out, held = [], bytearray()
-        for k in ids:
-            if k in self.bytes_of:
-                held.append(self.bytes_of[k])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if k not in self.special:
-                out.append(self.text[k])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
+        runs = np.flatnonzero(np.diff(self.is_byte[ids])) + 1
+        out = []
+        for run in np.split(ids, runs):
+            if len(run) and self.is_byte[run[0]]:
+                out.append(bytes(map(self.bytes_of.__getitem__, run.tolist())).decode("utf-8", "replace"))
+            else:
+                out += map(self.shown.__getitem__, run.tolist())
         return "".join(out).replace(BLANK, " ")[1:]
 
 
@@ -187,14 +183,14 @@ def unit_cuts(units: DataFrame, path: str) -> DataFrame:
         raise ValueError(f"{len(several)} pieces are too many to be sent to all tasks")
     piece = spark.createDataFrame(several, "piece string, rank long")
     size = F.char_length("unit")
-    starts = F.explode_outer(F.when(size > 1, F.sequence(F.lit(0), (size - 2).cast("int"))))
-    begun = units.select("unit", "n", starts.alias("a"))
-    last = F.least(F.col("a") + own.longest, size)
-    ends = F.explode_outer(F.when(F.col("a").isNotNull(), F.sequence((F.col("a") + 2).cast("int"), last.cast("int"))))
+    # Place -1 is a row for the unit itself, which stays if no piece is found in it.
+    begun = units.select("unit", "n", F.explode(F.sequence(F.lit(-1), (size - 2).cast("int"))).alias("a"))
+    last = F.when(F.col("a") >= 0, F.least(F.col("a") + own.longest, size)).otherwise(F.lit(1))
+    ends = F.explode(F.sequence((F.col("a") + 2).cast("int"), last.cast("int")))
     spans = begun.select("unit", "n", "a", ends.alias("b")).withColumn(
-        "piece", F.substring("unit", F.col("a") + 1, F.col("b") - F.col("a"))
+        "piece", F.when(F.col("a") >= 0, F.substring("unit", F.col("a") + 1, F.col("b") - F.col("a")))
     )
-    found = spans.join(F.broadcast(piece), "piece", "left")
+    found = spans.join(F.broadcast(piece), "piece", "left").where("a < 0 OR rank IS NOT NULL")
     # Rank, begin and end as one long: a third of a struct's memory, and its order is theirs.
     edge = F.shiftleft(F.shiftleft(F.col("rank"), PLACE) + F.col("a"), PLACE) + F.col("b")
     grouped = found.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
@@ -263,15 +259,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for ids, closed_units in zip(batch["ids"], batch["closed"], strict=True):
                 have = np.frombuffer(ids, dtype="<i4")
                 holes = np.flatnonzero(have < 0)
-                if not len(holes):
-                    out.append(have.tolist())
-                    continue
                 full, at = [], 0
-                for hole, c in zip(holes, closed_units, strict=True):
-                    full += have[at:hole].tolist()
-                    full += own.ids(c["unit"], list(c["cuts"]))
+                for hole, c in zip(holes.tolist(), closed_units if len(holes) else [], strict=True):
+                    full += [have[at:hole], np.array(own.ids(c["unit"], c["cuts"]), dtype="<i4")]
                     at = hole + 1
-                out.append(full + have[at:].tolist())
+                out.append(np.concatenate([*full, have[at:]]))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": out, "n_pieces": list(map(len, out))})
 
     joined = begun.drop("open_units").join(closed, "row", "left").select("doc_id", "ids", "closed")
@@ -286,7 +278,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = pieces(path)
         for batch in batches:
-            yield batch.map(lambda ids: None if ids is None else own.decode(list(ids)))
+            yield batch.map(lambda ids: None if ids is None else own.decode(np.asarray(ids, dtype=np.int64)))
 
     return encoded.withColumn("decoded", text("ids"))
 
