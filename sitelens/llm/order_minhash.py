@@ -33,11 +33,12 @@ SKETCHES, KEEP = 32, 4
 #: Leaders of one round that members left over are compared with, about.
 LEADERS = 8
 #: Ranks held at a time while a text is sketched.
-MOST_RANKS = 1 << 21
+MOST_RANKS = 1 << 16
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LAST = np.uint64(2**64 - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -101,7 +102,10 @@ def sketches(h: np.ndarray) -> np.ndarray:
     for n in range(0, SKETCHES, step):
         ranks = own * _SEEDS[n : n + step, None]
         ranks ^= ranks >> np.uint64(31)
-        at[n : n + step] = np.argpartition(ranks, keep - 1, axis=1)[:, :keep]
+        rows = np.arange(len(ranks))
+        for k in range(keep):
+            least = at[n : n + step, k] = ranks.argmin(axis=1)
+            ranks[rows, least] = _LAST
     at.sort(axis=1)
     total = np.arange(SKETCHES, dtype=np.uint64)
     for k in range(keep):
