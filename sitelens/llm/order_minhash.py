@@ -7,11 +7,11 @@ words.  Texts that share a sketch are candidates; a pair is near if the longest
 subsequence L of its word sequences has L / (n1 + n2 - L) >= 0.8, found by an alignment
 within the band which that similarity allows.
 
-Equal word sequences collapse first.  In a group of candidates the members are compared
-with a leader only; whoever isn't near it is compared with further leaders, taken from those
-left over until none is, so that no link between different texts is missed and a group of
-thousands of copies costs one comparison for each.  Classes are the connected components
-of the near pairs."""
+Equal word sequences collapse first.  The members of a group of candidates are compared with
+its smallest, so that thousands of near copies cost one comparison each; then candidates whose
+components still differ are compared in blocks of bounded size, where shared words, counted
+for a whole block at once, decide who is aligned.  No link between components is missed.
+Classes are the connected components of the near pairs."""
 
 from __future__ import annotations
 
@@ -30,8 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: shingles in common share a sketch with about j ** KEEP: 0.41 at 0.8, 0.2 at 0.67 (one word
 #: in 25 changed), and are missed with (1 - j ** KEEP) ** SKETCHES: 5e-8 and 8e-4.
 SKETCHES, KEEP = 32, 4
-#: Leaders of one round that members left over are compared with, about.
-LEADERS = 8
+#: Characters of a chunk of candidates, about; a longer text is a chunk of its own.
+CHUNK_CHARS = 4_000_000
 #: Ranks held at a time while a text is sketched.
 MOST_RANKS = 1 << 16
 #: Words whose hashes a worker keeps.
@@ -201,49 +201,103 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def near_pairs(entries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Near pairs (a, b, similarity), a < b, which connect whatever is connected by candidates
-    that are near.  entries has (rep, sketch), docs the texts (doc_id, text)."""
+def blocks(members: DataFrame) -> DataFrame:
+    """(sketch, i, j, rep, component): the pairs of candidates in different components, dealt out.
+
+    members has (sketch, rep, component, chars).  In a group, the component with most members is
+    apart from the rest; both are split by a hash into chunks of about CHUNK_CHARS.  Each pair
+    of chunks is a block, but for two of the greatest component: all its pairs are connected."""
+    counts = members.groupBy("sketch", "component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    most = F.max(F.struct("n", "component"))
+    groups = counts.groupBy("sketch").agg(most["component"].alias("main"), F.sum("chars").alias("all"), F.max(F.struct("n", "component", "chars"))["chars"].alias("inside"), F.count("*").alias("parts"))
+    groups = groups.where("parts > 1").select(
+        "sketch",
+        "main",
+        F.ceil(F.col("inside") / CHUNK_CHARS).alias("k_main"),
+        F.ceil((F.col("all") - F.col("inside")) / CHUNK_CHARS).alias("k_rest"),
+    )
+    salt = F.xxhash64("rep", "sketch")
+    placed = members.join(groups, "sketch").withColumn("is_main", F.col("component") == F.col("main"))
+    # Chunks of the rest come first: 0 to k_rest - 1, then those of the main component.
+    chunk = F.when(F.col("is_main"), F.col("k_rest") + F.pmod(salt, F.col("k_main"))).otherwise(F.pmod(salt, F.col("k_rest")))
+    placed = placed.withColumn("chunk", chunk)
+    partners = F.when(F.col("is_main"), F.sequence(F.lit(0).cast("long"), F.col("k_rest") - 1)).otherwise(
+        F.sequence(F.lit(0).cast("long"), F.col("k_rest") + F.col("k_main") - 1)
+    )
+    dealt = placed.withColumn("partner", F.explode(partners))
+    return dealt.select(
+        "sketch", F.least("chunk", "partner").alias("i"), F.greatest("chunk", "partner").alias("j"), "chunk", "rep", "component"
+    )
+
+
+def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """Near pairs of the blocks that connect different components: (a, b, similarity, a_component,
+    b_component).  Pairs that a block has connected already are passed over."""
+
+    def verify(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["rep", "component"], ignore_index=True)
+        words = [word_hashes(t) for t in block["text"]]
+        rep, chunk = block["rep"].to_numpy(), block["chunk"].to_numpy()
+        sizes = np.array([len(w) for w in words])
+        names, place = np.unique(np.concatenate([labelled(w) for w in words]), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        component = np.unique(block["component"].to_numpy(), return_inverse=True)[1]
+        named = block["component"].to_numpy()
+        held = np.zeros(len(names), dtype=np.int32)
+        two, rows = key[1] != key[2], []
+        for x in np.flatnonzero(chunk == key[1]):
+            other = component != component[x]
+            other &= (chunk == key[2]) if two else (np.arange(len(rep)) > x)
+            need = np.ceil((sizes + sizes[x]) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+            other &= np.minimum(sizes, sizes[x]) >= need
+            if not other.any():
+                continue
+            own = place[begin[x] : begin[x] + sizes[x]]
+            held[own] = 1
+            shared = np.add.reduceat(held[place], begin)
+            held[own] = 0
+            for y in np.flatnonzero(other & (shared >= need)):
+                if component[x] != component[y] and rep[x] != rep[y]:
+                    s = similarity(words[x], words[y])
+                    if s is not None:
+                        rows.append((min(rep[x], rep[y]), max(rep[x], rep[y]), s, named[x], named[y]))
+                        component[component == component[y]] = component[x]
+        columns = ["a", "b", "similarity", "a_component", "b_component"]
+        return pd.DataFrame(rows, columns=columns).astype(dict.fromkeys(columns, "int64") | {"similarity": "float64"})
+
+    # Work per byte is high: as many tasks as the session deals out, not merged by their bytes.
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = dealt.join(texts, "rep").select("sketch", "i", "j", "chunk", "rep", "component", "text").repartition(n, "sketch", "i", "j")
+    schema = "a long, b long, similarity double, a_component long, b_component long"
+    return both.groupBy("sketch", "i", "j").applyInPandas(verify, schema)
+
+
+def near_pairs(entries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Near pairs (a, b, similarity), a < b, and the (node, root) of their components, which
+    are those of all near candidates.  entries has (rep, sketch), docs the texts (doc_id, text).
+
+    First each group's members are compared with its smallest; then all candidates whose
+    components differ still."""
     groups = entries.groupBy("sketch").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    left = stored(entries.join(groups, "sketch").select("sketch", "rep", "leader", "n"), "candidates")
+    left = stored(entries.join(groups, "sketch").select("sketch", "rep", "leader"), "candidates")
     # Only candidates' texts are read from here on.
     reps = docs.withColumnRenamed("doc_id", "rep").join(left.select("rep").distinct(), "rep", "left_semi")
     reps = stored(reps.where("text IS NOT NULL").distinct(), "candidate-texts", compression="zstd")
     tried = left.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     near = stored(_near(tried, reps), "near")
-    # Whoever isn't near its group's leader leads in turn: over all of the group.
-    members = left.select("sketch", "rep", "leader", "n")
-    done = near.select(F.col("a").alias("leader"), F.col("b").alias("rep"))
-    rest = members.where("rep <> leader").join(done, ["leader", "rep"], "left_anti").select("sketch", "rep")
-    rest = stored(rest, "left")
-    found, tried = [near], stored(tried, "tried")
-    while not rest.isEmpty():
-        sizes = rest.groupBy("sketch").agg(F.count("*").alias("open"), F.min("rep").alias("first"))
-        salted = rest.join(sizes, "sketch").withColumn(
-            "leads", (F.col("rep") == F.col("first")) | (F.pmod(F.xxhash64("rep", "sketch"), F.col("open")) < LEADERS - 1)
-        )
-        leaders = salted.where("leads").select("sketch", F.col("rep").alias("lead"))
-        pairs = (
-            leaders.join(members.select("sketch", "rep"), "sketch")
-            .where("lead <> rep")
-            .select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        pairs = stored(pairs, "pairs")
-        more = stored(_near(pairs, reps), "near")
-        found.append(more)
-        tried = stored(tried.unionByName(pairs), "tried")
-        # Done with: this round's leaders, and who is near one of them in its group.
-        either = more.select("a", "b").union(more.select("b", "a")).toDF("lead", "rep")
-        near_one = leaders.join(either, "lead").select("sketch", "rep")
-        rest = stored(
-            salted.where(~F.col("leads")).select("sketch", "rep").join(near_one, ["sketch", "rep"], "left_anti"), "left"
-        )
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    rooted = components(near)
+    sizes = reps.groupBy("rep").agg(F.sum(F.length("text") + 1).alias("chars"))
+    known = sizes.join(rooted.withColumnRenamed("node", "rep"), "rep", "left")
+    members = left.select("sketch", "rep").join(known.select("rep", "chars", F.coalesce("root", "rep").alias("component")), "rep")
+    across = stored(_across(blocks(stored(members, "members")), reps), "near")
+    above = components(across.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    # A component that another one joins: its own nodes follow, and it may be a single node.
+    own = across.select(F.explode(F.array("a_component", "b_component")).alias("node")).distinct().withColumn("root", F.col("node"))
+    every = rooted.unionByName(own).distinct()
+    up = above.select(F.col("node").alias("root"), F.col("root").alias("further"))
+    rooted = every.join(up, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    pairs = near.unionByName(across.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    return stored(pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "pairs"), stored(rooted, "roots")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,8 +344,7 @@ def classes(docs: DataFrame) -> DataFrame:
     own = read.join(first.withColumnRenamed("rep", "doc_id"), ["same", "doc_id"], "left_semi")
     own = own.dropDuplicates(["same", "doc_id"])
     entries = stored(own.select(F.col("doc_id").alias("rep"), F.explode("sketches").alias("sketch")), "entries")
-    near = stored(near_pairs(entries, texts), "pairs")
-    rooted = components(near)
+    near, rooted = near_pairs(entries, texts)
     links = near.select("a", "b").union(near.select("b", "a")).toDF("rep", "other").groupBy("rep").agg(F.count("*").alias("n_links"))
     known = (
         member.join(rooted.withColumnRenamed("node", "rep"), "rep", "left")
