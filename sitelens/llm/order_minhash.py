@@ -34,8 +34,6 @@ SKETCHES, KEEP = 32, 4
 CHUNK_CHARS = 4_000_000
 #: Ranks held at a time while a text is sketched.
 MOST_RANKS = 1 << 16
-#: Words whose hashes a worker keeps.
-KEPT_WORDS = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(2**64 - 1)
@@ -47,21 +45,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_STEP = np.uint64(0xD1342543DE82EF95)
+_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        self[word] = value = xxh64_intdigest(word.encode())
-        return value
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _STEP and of its inverse, ``size`` at least; a worker keeps them."""
+    cache = worker_cache()
+    if len(cache.get("powers", ((),))[0]) < size:
+        factors = np.full((2, 2 * size), [[_STEP], [_BACK]], dtype=np.uint64)
+        factors[:, 0] = 1
+        cache["powers"] = tuple(np.cumprod(factors, axis=1, dtype=np.uint64))
+    return cache["powers"]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words in order."""
-    words = (text or "").split()
-    cache = worker_cache().setdefault("words", _Words())
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+    """64-bit hashes of a text's words in order.
+
+    A word's hash is a polynomial of its bytes modulo 2 ** 64: a difference of sums over the
+    whole text, moved back by the word's place."""
+    raw = np.frombuffer(" ".join((text or "").split()).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    if not len(raw):
+        return np.empty(0, dtype=np.uint64)
+    power, back = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
+    gaps = np.flatnonzero(raw == ord(" "))
+    begin, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
+    return _mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * _ODD)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -258,9 +270,11 @@ def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
             held[own] = 0
             for y in np.flatnonzero(other & (shared >= need)):
                 if component[x] != component[y] and rep[x] != rep[y]:
-                    s = similarity(words[x], words[y])
-                    if s is not None:
-                        rows.append((min(rep[x], rep[y]), max(rep[x], rep[y]), s, named[x], named[y]))
+                    total = int(sizes[x] + sizes[y])
+                    length = common_subsequence(words[x], words[y], total - 2 * int(need[y]))
+                    if length is not None and length >= need[y]:
+                        pair = sorted((rep[x], rep[y]))
+                        rows.append((*pair, length / (total - length), named[x], named[y]))
                         component[component == component[y]] = component[x]
         columns = ["a", "b", "similarity", "a_component", "b_component"]
         return pd.DataFrame(rows, columns=columns).astype(dict.fromkeys(columns, "int64") | {"similarity": "float64"})
