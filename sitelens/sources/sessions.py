@@ -207,8 +207,10 @@ def holds_raw_body(payload: Column) -> Column:
     """Does a JSON payload hold a forbidden key at any depth?
 
     A key is a string followed by a colon outside of other strings; escaped
-    quotes inside string values cannot start one."""
-    strings_gone = F.regexp_replace(payload, r'"((?:[^"\\]|\\.)*+)"(\s*:)?', "\x02$1\x03$2")
+    quotes inside string values cannot start one.  Valid JSON is written anew first, so that
+    escaped letters of a key are plain."""
+    plain = F.coalesce(F.to_json(F.try_parse_json(payload)), payload)
+    strings_gone = F.regexp_replace(plain, r'"((?:[^"\\]|\\.)*+)"(\s*:)?', "\x02$1\x03$2")
     keys = "|".join(RAW_BODY_KEYS)
     return strings_gone.rlike(f"\x02(?:{keys})\x03\\s*:")
 

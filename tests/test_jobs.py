@@ -47,7 +47,7 @@ def test_session_migration_and_quarantine(spark, raw, ok, note):
 
 @pytest.mark.parametrize(
     "payload,found",
-    [('{"a":{"bodyText":1}}', True), ('{"a":"bodyText: x"}', False), ('{"a":"\\"html\\": x"}', False), ('{"html" : 1}', True), ('[{"x":[{"body":""}]}]', True), ('{"bodyHash":1}', False)],
+    [('{"a":{"bodyText":1}}', True), ('{"a":"bodyText: x"}', False), ('{"a":"\\"html\\": x"}', False), ('{"html" : 1}', True), ('[{"x":[{"body":""}]}]', True), ('{"bodyHash":1}', False), ('{"bod\\u0079Text":1}', True)],
 )
 def test_raw_body_keys_at_any_depth(spark, payload, found):
     df = spark.createDataFrame([(payload,)], "p string")
