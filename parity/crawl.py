@@ -127,7 +127,7 @@ CTES["smentry"] = f"""SELECT *, row_number() OVER (PARTITION BY root_url, file_u
 CTES["smchild"] = f"""SELECT root_url, file_url, pos, {trim(UNX)} AS child_url FROM (SELECT root_url, file_url, unnest(range(len(l))) AS pos, unnest(l) AS item
   FROM (SELECT root_url, file_url, regexp_extract_all(body, '(?s)<sitemap>.*?</sitemap>') AS l FROM smp WHERE error_code IS NULL AND root = 'sitemapindex') a) b WHERE item LIKE '%<loc>%'"""
 CTES["smwalk"] = """SELECT root_url, root_url AS file_url, 0 AS depth, '00000' AS visit_key FROM (SELECT DISTINCT root_url FROM sitemap_files) r
- UNION ALL /*recursive*/ SELECT w.root_url, c.child_url, w.depth + 1, w.visit_key || '.' || lpad(CAST(c.pos AS VARCHAR), 5, '0') FROM smwalk w JOIN smchild c ON c.root_url = w.root_url AND c.file_url = w.file_url WHERE w.depth < 10 AND c.child_url <> w.root_url"""
+ UNION ALL /*recursive*/ SELECT w.root_url, c.child_url, w.depth + 1, w.visit_key || '.' || lpad(CAST(c.pos AS VARCHAR), 10, '0') FROM smwalk w JOIN smchild c ON c.root_url = w.root_url AND c.file_url = w.file_url WHERE w.depth < 10 AND c.child_url <> w.root_url"""
 CTES["smfile"] = "SELECT root_url, file_url, min(depth) AS depth, min(visit_key) AS visit_key FROM smwalk GROUP BY ALL"
 CTES["smmerged"] = """SELECT * EXCLUDE (rn) FROM (SELECT e.*, f.depth, f.visit_key, row_number() OVER (PARTITION BY e.root_url, e.loc ORDER BY f.depth, f.visit_key, e.pos) AS rn FROM smentry e JOIN smfile f USING (root_url, file_url)) z WHERE rn = 1"""
 CTES["smalt"] = """SELECT root_url, file_url, loc, pos, k, lower(regexp_extract(a, 'hreflang="([^"]*)"', 1)) AS hreflang, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM

@@ -78,7 +78,7 @@ def _step(state: Column, limits: CaptureLimits) -> Column:
     """Open every frontier value once: record its node, queue its children."""
 
     def pad(i: Column) -> Column:
-        return F.lpad(i.cast("string"), 6, "0")
+        return F.lpad(i.cast("string"), 10, "0")
 
     def children(item: Column) -> Column:
         of_array = F.transform(
@@ -155,7 +155,7 @@ def _inventory_columns(limits: CaptureLimits) -> tuple[list[Column], ...]:
     frontier = F.transform(
         roots,
         lambda x, i: F.struct(
-            F.lpad(i.cast("string"), 6, "0").alias("sort"),
+            F.lpad(i.cast("string"), 10, "0").alias("sort"),
             F.concat(F.lit("$["), i.cast("string"), F.lit("]")).alias("path"),
             x.alias("v"),
             F.lit(0).alias("depth"),
