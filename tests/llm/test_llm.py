@@ -275,3 +275,12 @@ def test_pipeline_stages(spark, docs):
 def test_checksums_are_unsigned_and_little_endian(spark):
     row = spark.range(1).select(F.crc32(F.unhex(F.lit("0200000001000000"))).alias("x")).first()
     assert row["x"] == zlib.crc32(np.array([2, 1], dtype="<u4").tobytes())
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    hashes = order_minhash.word_hashes
+    a, b = hashes("ab  cd\tab é\n"), hashes("x" * 5000 + " ab é")
+    assert a[0] == a[2] == b[1] and a[3] == b[2] and len({*a.tolist()}) == 3
+    assert len(hashes(None)) == len(hashes(" \n")) == 0
+    words = sorted({f"{x:x}" for x in range(50_000)})
+    assert len({*hashes(" ".join(words)).tolist()}) == len(words)
