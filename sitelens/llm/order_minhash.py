@@ -4,12 +4,12 @@ A text is the sequence of its five-word shingles, each labelled with its occurre
 A sketch is the hash of the KEEP labelled shingles with the smallest hashes under one seed,
 written in text order: equal sketches speak for a small edit distance, not just for shared
 words.  Texts that share a sketch are candidates; a pair is near if the longest common
-subsequence L of its word sequences has L / (n1 + n2 - L) >= 0.8, found by an alignment
-within the band which that similarity allows.
+subsequence L of its labelled shingle sequences has L / (n1 + n2 - L) >= 0.8, found by an
+alignment within the band which that similarity allows.
 
 Equal word sequences collapse first.  The members of a group of candidates are compared with
 its smallest, so that thousands of near copies cost one comparison each; then candidates whose
-components still differ are compared in blocks of bounded size, where shared words, counted
+components still differ are compared in blocks of bounded size, where shared shingles, counted
 for a whole block at once, decide who is aligned.  No link between components is missed.
 Classes are the connected components of the near pairs."""
 
@@ -26,9 +26,8 @@ from sitelens.llm.common import stored, table, worker_cache
 
 #: Words of a shingle and the least similarity.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Sketches of a text, labelled shingles of a sketch.  Texts that have a share j of their
-#: shingles in common share a sketch with about j ** KEEP: 0.41 at 0.8, 0.2 at 0.67 (one word
-#: in 25 changed), and are missed with (1 - j ** KEEP) ** SKETCHES: 5e-8 and 8e-4.
+#: Sketches of a text, labelled shingles of a sketch.  Texts of similarity j share a sketch
+#: with about j ** KEEP, 0.41 at 0.8, and are missed with (1 - j ** KEEP) ** SKETCHES: 5e-8.
 SKETCHES, KEEP = 32, 4
 #: Characters of a chunk of candidates, about; a longer text is a chunk of its own.
 CHUNK_CHARS = 4_000_000
@@ -79,7 +78,11 @@ def word_hashes(text: str | None) -> np.ndarray:
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of a text's shingles in order; one for all its words if they are fewer than
     SHINGLE; none without words."""
-    h = word_hashes(text)
+    return _shingled(word_hashes(text))
+
+
+def _shingled(h: np.ndarray) -> np.ndarray:
+    """Shingles of a sequence of word hashes."""
     if not len(h):
         return h
     size = min(SHINGLE, len(h))
@@ -157,7 +160,13 @@ def common_subsequence(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float | None:
-    """L / (n1 + n2 - L) of two word sequences if it is at least ``least``, else None."""
+    """L / (n1 + n2 - L) of two texts, given by their word hashes, if it is at least ``least``,
+    else None.  L counts the labelled shingles that can be aligned."""
+    return aligned(labelled(_shingled(a)), labelled(_shingled(b)), least)
+
+
+def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float | None:
+    """``similarity`` of two sequences of labelled shingles."""
     n = len(a) + len(b)
     if not len(a) or not len(b):
         return None
@@ -165,8 +174,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     need = int(np.ceil(n * least / (1 + least) - 1e-9))
     if min(len(a), len(b)) < need:
         return None
-    # The words in common, with their multiplicity, are at least as many as can be aligned.
-    if len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < need:
+    # The shingles in common are at least as many as can be aligned.
+    if len(np.intersect1d(a, b, assume_unique=True)) < need:
         return None
     length = common_subsequence(a, b, n - 2 * need)
     return None if length is None or length < need else length / (n - length)
@@ -203,7 +212,7 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for a, b, a_text, b_text in zip(batch["a"], batch["b"], batch["a_text"], batch["b_text"], strict=True):
-                s = similarity(word_hashes(a_text), word_hashes(b_text))
+                s = aligned(labelled(shingles(a_text)), labelled(shingles(b_text)))
                 if s is not None:
                     rows.append((a, b, s))
             yield pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
@@ -248,10 +257,10 @@ def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
 
     def verify(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["rep", "component"], ignore_index=True)
-        words = [word_hashes(t) for t in block["text"]]
+        parts = [labelled(shingles(t)) for t in block["text"]]
         rep, chunk = block["rep"].to_numpy(), block["chunk"].to_numpy()
-        sizes = np.array([len(w) for w in words])
-        names, place = np.unique(np.concatenate([labelled(w) for w in words]), return_inverse=True)
+        sizes = np.array([len(p) for p in parts])
+        names, place = np.unique(np.concatenate(parts), return_inverse=True)
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         component = np.unique(block["component"].to_numpy(), return_inverse=True)[1]
         named = block["component"].to_numpy()
@@ -271,7 +280,7 @@ def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
             for y in np.flatnonzero(other & (shared >= need)):
                 if component[x] != component[y] and rep[x] != rep[y]:
                     total = int(sizes[x] + sizes[y])
-                    length = common_subsequence(words[x], words[y], total - 2 * int(need[y]))
+                    length = common_subsequence(parts[x], parts[y], total - 2 * int(need[y]))
                     if length is not None and length >= need[y]:
                         pair = sorted((rep[x], rep[y]))
                         rows.append((*pair, length / (total - length), named[x], named[y]))

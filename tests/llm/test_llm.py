@@ -284,3 +284,18 @@ def test_word_hashes_depend_on_the_word_alone():
     assert len(hashes(None)) == len(hashes(" \n")) == 0
     words = sorted({f"{x:x}" for x in range(50_000)})
     assert len({*hashes(" ".join(words)).tolist()}) == len(words)
+
+
+def test_scattered_edits_are_near_by_shingles_only(spark):
+    words = [f"w{k}" for k in range(500)]
+    seldom = [f"x{k}" if k % 100 == 50 else w for k, w in enumerate(words)]
+    often = [f"x{k}" if k % 25 == 12 else w for k, w in enumerate(words)]
+    more = [f"y{k}" if k % 9 == 4 else w for k, w in enumerate(words)]
+    rows = [(k, " ".join(x)) for k, x in enumerate([words, seldom, often, more])]
+    got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {0: 0, 1: 0, 2: 2, 3: 3}
+    a, b, c, _ = (order_minhash.word_hashes(text) for _, text in rows)
+    assert order_minhash.similarity(a, b) == pytest.approx(471 / 521)
+    assert order_minhash.similarity(a, c) is None
+    # A passage moved past the rest is shared but can't be aligned.
+    assert order_minhash.similarity(a, order_minhash.word_hashes(" ".join(words[250:] + words[:250]))) is None
