@@ -1,10 +1,13 @@
 """Capture limits.
 
-Every limit is a parameter.  The ones below shape *what a facts row stores*
-(display strings, inventories kept inside the row, the JSON-LD text budget);
-whatever is clipped is reported in the field's ``limits`` struct.  Counts,
-exploded tables (links, images, hreflang edges), text hashes and similarity
-always use the whole page.
+Every limit is a parameter.  Those of a page shape *what a facts row stores*;
+whatever is clipped is reported in the field's ``limits`` struct.  Checks read
+the stored meta texts, alternates and JSON-LD, so these are whole unless a limit
+is asked for; heading samples, inventories and URLs of display are bounded.
+Links, images, counts, text hashes and similarity always use the whole page.
+
+Limits of robots files, sitemaps and redirects are on: what is past them is lost
+to the checks.
 """
 
 from __future__ import annotations
@@ -17,18 +20,18 @@ UNLIMITED = 2_147_483_647
 
 @dataclass(frozen=True)
 class CaptureLimits:
-    string_chars: int = 2_000
+    string_chars: int = UNLIMITED
     url_chars: int = 8_192
-    meta_items: int = 40
-    alternate_items: int = 50
-    jsonld_chars: int = 50_000
-    jsonld_scripts: int = 25
+    meta_items: int = UNLIMITED
+    alternate_items: int = UNLIMITED
+    jsonld_chars: int = UNLIMITED
+    jsonld_scripts: int = UNLIMITED
     heading_samples: int = 5
     link_inventory: int = 200
     image_inventory: int = 100
-    snapshot_chars: int = 400_000
+    snapshot_chars: int = UNLIMITED
     session_chars: int = 1_500_000
-    jsonld_nodes: int = 200
+    jsonld_nodes: int = UNLIMITED
     jsonld_depth: int = 20
 
 

@@ -81,3 +81,25 @@ def test_facts_need_no_shuffle_and_lex_once(spark):
     df = spark.createDataFrame([(1, URL, "<title>x</title>")], "page_id long, url string, html string")
     plan = page_facts(df).filter("canonical.state = 'absent'")._jdf.queryExecution().optimizedPlan().toString()
     assert "Exchange" not in plan and plan.count("<!--.*?(?:-->|\\z)|<script") <= 2
+
+
+def test_checks_see_what_is_past_the_old_limits(facts, spark):
+    from sitelens.operators.hreflang import html_alternates
+    from sitelens.operators.jsonld import inventory, scripts_of
+
+    late = "noindex"
+    html = (
+        "".join(f'<link rel="alternate" hreflang="en" href="/{k}">' for k in range(60))
+        + '<meta name="robots" content="all">' * 44
+        + f'<meta name="robots" content="{"x" * 3000}, {late}">'
+        + '<script type="application/ld+json">{}</script>'.format('{"@type":"T"}') * 30
+        + '<script type="application/ld+json">{}</script>'.format("[" + ",".join(['{"@type":"T"}'] * 5000) + "]")
+    )
+    df = spark.createDataFrame([(1, URL, html)], "page_id long, url string, html string")
+    page = page_facts(df)
+    assert html_alternates(page).count() == 60
+    robots = page.first().meta_robots
+    assert len(robots["values"]) == 45 and robots["values"][-1].content.endswith(late)
+    nodes = inventory(scripts_of(page)).collect()
+    assert len(nodes) == 31 and max(r.node_count for r in nodes) == 5000
+    assert {r.status for r in nodes} == {"complete"}
