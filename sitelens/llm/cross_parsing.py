@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import fold, table, worker_cache
+from sitelens.llm.common import fold, stored, table, worker_cache
 
 #: Characters of labelled text learned per language, at most.
 SAMPLE_CHARS = 60_000
@@ -29,7 +29,11 @@ DRAWN = 400
 #: Words whose phrase counts a worker keeps.
 KEPT_WORDS = 400_000
 UNDETERMINED = "und"
+#: The stage rejects what takes over MARGIN times the bits per letter that this share of the
+#: labelled held-out texts of the winning language stays within.
+WITHIN, MARGIN = 0.99, 1.5
 _LETTERS = re.compile(r"[^\W\d_]+")
+LETTER = r"\p{L}"
 
 
 class SuffixAutomaton:
@@ -193,7 +197,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: documents whose language can't be told (no letters) go."""
+    """The pipeline's stage: documents without letters go, and those that the winning language
+    explains worse than its own held-out texts, by MARGIN.
+
+    A language without labelled held-out texts has no measure and keeps its documents; so do all
+    documents with letters if no language could be learned."""
     samples = training_samples(docs.where(~held_out()))
-    return predict(docs, samples).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    if not samples:
+        return docs.where(F.col("text").rlike(LETTER))
+    judged = stored(predict(docs, samples).where(F.col("lang_pred") != UNDETERMINED), "judged", compression="zstd")
+    own = judged.where(held_out() & (F.col("lang") == F.col("lang_pred")))
+    reached = own.groupBy("lang_pred").agg((F.percentile_approx("bits_per_letter", WITHIN, 10_000) * MARGIN).alias("most"))
+    kept = judged.join(reached, "lang_pred", "left").where(F.col("most").isNull() | (F.col("bits_per_letter") <= F.col("most")))
+    return kept.select(*docs.columns)
 

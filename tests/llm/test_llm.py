@@ -299,3 +299,15 @@ def test_scattered_edits_are_near_by_shingles_only(spark):
     assert order_minhash.similarity(a, c) is None
     # A passage moved past the rest is shared but can't be aligned.
     assert order_minhash.similarity(a, order_minhash.word_hashes(" ".join(words[250:] + words[:250]))) is None
+
+
+def test_language_stage_rejects_by_its_measure(spark, docs):
+    rng = np.random.default_rng(5)
+    gibberish = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(80))
+    foreign = "съешь же ещё этих мягких французских булок да выпей чаю " * 5
+    odd = spark.createDataFrame([(10_000_001, gibberish), (10_000_002, foreign), (10_000_003, "12 34")], "doc_id long, text string")
+    every = docs.unionByName(odd, allowMissingColumns=True)
+    assert cross_parsing.stage(spark, every, SMALL).where("doc_id > 10000000").count() == 0
+    unlabelled = every.withColumn("lang", F.lit(None).cast("string"))
+    kept = cross_parsing.stage(spark, unlabelled, SMALL).where("doc_id > 10000000").collect()
+    assert {r["doc_id"] for r in kept} == {10_000_001, 10_000_002}
