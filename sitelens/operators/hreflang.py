@@ -194,7 +194,7 @@ def _label(df: DataFrame) -> Column:
 
 
 def cluster_findings(
-    members: DataFrame, edges: DataFrame, list_pairs_up_to: int = 1_000
+    members: DataFrame, edges: DataFrame, list_pairs_up_to: int | None = None
 ) -> DataFrame:
     """Reciprocity among fetched members of each cluster.
 
@@ -205,9 +205,9 @@ def cluster_findings(
     *are* referenced come from one equi join of declarations with members; what
     is missing is counted by comparing against the cluster's size, and only
     members that fall short are expanded, against the members they lack.  So a
-    complete cluster of n members costs n rows of aggregate, not n² pairs.  In a
-    cluster larger than ``list_pairs_up_to`` a member that falls short gets one
-    row with the exact number of missing returns instead of a row per pair."""
+    complete cluster of n members costs n rows of aggregate, not n² pairs.  Every
+    missing return is named, at every size; only if ``list_pairs_up_to`` is given, a
+    member that falls short in a larger cluster gets one row with their exact number."""
     # Both are read by every rule below, so they are stored normalised.
     normal = members.select(
         "cluster_id",
@@ -305,7 +305,7 @@ def cluster_findings(
         F.col("requested_url").alias("other_url"),
     )
     missing_return = (
-        short.filter(F.col("size") <= list_pairs_up_to)
+        (short if list_pairs_up_to is None else short.filter(F.col("size") <= list_pairs_up_to))
         .join(others, "cluster_id")
         .filter("other_url <> requested_url")
         .join(given, ["cluster_id", "member_id", "other_id"], "left_anti")
@@ -317,18 +317,15 @@ def cluster_findings(
             F.concat("other_lang", F.lit(" "), "other_final").alias("detail"),
         )
     )
-    counted_return = short.filter(F.col("size") > list_pairs_up_to).select(
-        "cluster_id",
-        "member_id",
-        F.lit("hreflang-cluster-missing-return").alias("rule_id"),
-        "affected_url",
-        F.concat(F.col("lacking").cast("string"), F.lit(" of "), F.col("owed").cast("string"), F.lit(" members")).alias("detail"),
-    )
-    found = (
-        repeated.unionByName(invalid)
-        .unionByName(missing_self)
-        .unionByName(missing_return)
-        .unionByName(counted_return)
-    )
+    found = repeated.unionByName(invalid).unionByName(missing_self).unionByName(missing_return)
+    if list_pairs_up_to is not None:
+        counted_return = short.filter(F.col("size") > list_pairs_up_to).select(
+            "cluster_id",
+            "member_id",
+            F.lit("hreflang-cluster-missing-return").alias("rule_id"),
+            "affected_url",
+            F.concat(F.col("lacking").cast("string"), F.lit(" of "), F.col("owed").cast("string"), F.lit(" members")).alias("detail"),
+        )
+        found = found.unionByName(counted_return)
     severity = F.create_map(*[F.lit(x) for kv in CLUSTER_RULES.items() for x in kv])
     return found.withColumn("severity", severity[F.col("rule_id")])

@@ -127,3 +127,11 @@ def test_cluster_reciprocity_against_brute_force(spark):
     assert got == want_return
     counted = HL.cluster_findings(m, e, list_pairs_up_to=3).filter("rule_id LIKE '%missing-return'").collect()
     assert sum(int(r.detail.split()[0]) for r in counted) == len(want_return)
+
+
+def test_large_clusters_name_their_missing_returns(spark):
+    n = 1_010
+    m = spark.createDataFrame([(1, i, f"l{i}", f"https://s/{i}", f"https://s/{i}/") for i in range(n)], "cluster_id int, member_id int, hreflang string, requested_url string, final_url string")
+    e = m.crossJoin(m.selectExpr("member_id AS other", "hreflang AS l", "requested_url AS href")).filter("NOT (member_id = 3 AND other IN (7, 1009))")
+    rows = HL.cluster_findings(m, e.select("cluster_id", "member_id", F.col("l").alias("hreflang"), "href")).filter("rule_id LIKE '%missing%'").collect()
+    assert {(r.member_id, r.detail) for r in rows} == {(3, "l7 https://s/7/"), (3, "l1009 https://s/1009/")}
