@@ -39,7 +39,7 @@ class CaptureLimits:
 class NetworkLimits:
     redirects: int = 10
     body_bytes: int = 512_000
-    header_chars: int = 2_000
+    header_chars: int = UNLIMITED
     url_chars: int = 8_192
 
 

@@ -36,10 +36,10 @@ class TabNavigation(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("tab", "watched boolean, pending string")
+        self._state = handle.getValueState("tab", "watched boolean, pending string, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watched, pending = self._state.get() if self._state.exists() else (False, "")
+        watched, pending, timer = self._state.get() if self._state.exists() else (False, "", 0)
         nav = json.loads(pending) if pending else None
         done = []
         # One micro-batch of one tab; a batch is bounded by maxFilesPerTrigger.
@@ -62,15 +62,21 @@ class TabNavigation(StatefulProcessor):
             elif e.kind == "completed":
                 done.append(_observation(key[0], nav, e))
                 nav = None
-        self._state.update((watched, json.dumps(nav) if nav else ""))
-        self._handle.registerTimer(timerValues.getCurrentWatermarkInMs() + IDLE_MILLIS)
+        # Event time, not the watermark (0 in the first batch), tells how long a navigation idles.
+        idle = max(timer, int(events["ts"].max().timestamp() * 1000) + IDLE_MILLIS) if nav else 0
+        if timer != idle:
+            if timer:
+                self._handle.deleteTimer(timer)
+            if idle:
+                self._handle.registerTimer(idle)
+        self._state.update((watched, json.dumps(nav) if nav else "", idle))
         yield pd.DataFrame(done, columns=[c.split()[0] for c in OBSERVATION.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A navigation that never completed is given up; the tab stays watched.
         if self._state.exists():
-            watched, _ = self._state.get()
-            self._state.update((watched, ""))
+            watched, _, _ = self._state.get()
+            self._state.update((watched, "", 0))
         yield pd.DataFrame(columns=[c.split()[0] for c in OBSERVATION.split(", ")])
 
     def close(self) -> None:

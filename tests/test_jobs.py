@@ -169,3 +169,22 @@ def test_navigation_stream(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     _check(out.collect())
     assert N.latest_per_tab(out).count() == 3
+
+
+def test_navigation_stream_over_micro_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", N.ROCKSDB)
+    long = "x" * 3_000
+    parts = [
+        [ev(0, "watch")],
+        [ev(1, "headers", headers=[("Link", long)], status=301), ev(2, "redirect", redirect="https://s/b", status=301)],
+        [ev(3, "headers", url="https://s/b", headers=[("vary", "a")])],
+        [ev(4, "completed", url="https://s/b")],
+    ]
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(NAV_EVENTS).parquet(str(tmp_path / "in"))
+    for part in parts:
+        spark.createDataFrame(part, NAV_EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        N.write_observations(N.navigation_stream(source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    want = N.assemble(spark.createDataFrame(sum(parts, []), NAV_EVENTS))
+    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns).collect()
+    assert got == want.collect() and got[0].hops == "https://s/a>https://s/b>301" and long in got[0].headers
