@@ -29,9 +29,9 @@ from sitelens.llm.common import fold, stored, table, worker_cache
 PLACES, CLASSES, EMBEDDING, STATE = 1_022, 32, 16, 24
 #: Words whose counts travel to the tasks; the counts of others are joined.
 HEAD = 200_000
-#: Share of the training documents that fits the weights, rounds over disjoint parts of it,
+#: Rounds over disjoint parts of the training documents, words of a task in a round, about,
 #: and tasks' models that are averaged at once on the driver, at most.
-FIT_SHARE, ROUNDS, AVERAGED = 1 / 8, 3, 32
+ROUNDS, TASK_WORDS, AVERAGED = 3, 400_000, 32
 #: Words between two updates; documents side by side; step size.
 WINDOW, LANES, RATE = 24, 64, 0.05
 #: Distinct words a task counts before it hands them on; words scored side by side.
@@ -198,11 +198,11 @@ class Trainer:
         self.seen = 0
 
     def window(self, targets: np.ndarray) -> None:
-        """targets: [lanes, steps] places."""
-        model, steps = self.model, targets.shape[1]
+        """targets: [lanes, steps] places of the first lanes."""
+        model, (n, steps) = self.model, targets.shape
         given_of = model.inputs()
-        previous = np.concatenate([self.last[:, None], targets[:, :-1]], axis=1)
-        state, kept, outputs = self.state, [], []
+        previous = np.concatenate([self.last[:n, None], targets[:, :-1]], axis=1)
+        state, kept, outputs = self.state[:n], [], []
         for t in range(steps):
             # The end of a document clears the state: documents don't know of each other.
             state = state * (previous[:, t] != END_AT)[:, None]
@@ -236,13 +236,16 @@ class Trainer:
         slope = np.clip(grad.flat / targets.size, -1, 1)
         self.squares += slope * slope
         model.flat += RATE * slope / np.sqrt(self.squares)
-        self.state, self.last = state, targets[:, -1]
+        self.state[:n], self.last[:n] = state, targets[:, -1]
         self.seen += targets.size
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Weights fitted on (text, key) in ROUNDS; key spreads the documents over the rounds."""
+def fit(docs: DataFrame, vocabulary: Vocabulary, n_all: int) -> np.ndarray:
+    """Weights fitted on all ``n_all`` words of (text, key) in ROUNDS; key spreads the documents
+    over rounds and tasks, whose number follows from the words: how the table is partitioned
+    doesn't matter."""
     flat = Model(vocabulary).flat
+    tasks = math.ceil(n_all / (ROUNDS * TASK_WORDS)) or 1
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trainer = Trainer(Model(vocabulary, flat.copy()))
@@ -250,10 +253,15 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         n = 0
 
         def run(places: np.ndarray) -> None:
-            steps = len(places) // LANES
-            lanes = places[: steps * LANES].reshape(LANES, steps).astype(np.int64)
-            for start in range(0, steps - WINDOW + 1, WINDOW):
+            # The first lanes have one word more where the words don't come out even.
+            steps, more = divmod(len(places), LANES)
+            cut = more * (steps + 1)
+            longer = places[:cut].reshape(more, steps + 1).astype(np.int64)
+            lanes = np.concatenate([longer[:, :steps], places[cut:].reshape(LANES - more, steps).astype(np.int64)])
+            for start in range(0, steps, WINDOW):
                 trainer.window(lanes[:, start : start + WINDOW])
+            if more:
+                trainer.window(longer[:, steps:])
 
         for batch in batches:
             for text in batch["text"]:
@@ -277,8 +285,8 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             yield pd.DataFrame({"seen": [seen], "flat": [(total / seen).astype(np.float32).tobytes()]})
 
     for k in range(ROUNDS):
-        own = docs.where(F.pmod("key", F.lit(ROUNDS)) == k).select("text")
-        models = own.mapInPandas(train, "seen long, flat binary").repartition(AVERAGED)
+        own = docs.where(F.pmod("key", F.lit(ROUNDS)) == k).repartition(tasks, "key").sortWithinPartitions("key", "text")
+        models = own.select("text").mapInPandas(train, "seen long, flat binary").repartition(AVERAGED)
         rows = models.mapInPandas(average, "seen long, flat binary").collect()
         if rows:
             rows.sort(key=lambda r: (r["seen"], r["flat"]))
@@ -336,9 +344,8 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     n_in = sum(1 for w, _ in head if w in vocabulary.place)
     # OTHER's share is divided among its words and one unknown, as the base is.
     other_total = math.log10(vocabulary.n_other + 0.5 * (n_types - n_in + 1))
-    drawn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(10_007)) < int(10_007 * FIT_SHARE)
-    share = docs.where(F.col("training") & drawn).select("text", F.xxhash64("doc_id", "text").alias("key"))
-    flat = fit(share, vocabulary) if n_all else Model(vocabulary).flat
+    learned = docs.where("training").select("text", F.xxhash64("doc_id", "text").alias("key"))
+    flat = fit(learned, vocabulary, n_all) if n_all else Model(vocabulary).flat
     shipped = spark.sparkContext.broadcast((head, flat))
     run_id = uuid4().hex
 

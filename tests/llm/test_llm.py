@@ -301,6 +301,16 @@ def test_scattered_edits_are_near_by_shingles_only(spark):
     assert order_minhash.similarity(a, order_minhash.word_hashes(" ".join(words[250:] + words[:250]))) is None
 
 
+def test_short_texts_fit_the_model_and_partitions_do_not_matter(spark):
+    rows = [(k, "the cat sat on the mat " * (k % 4 + 1)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "key long, text string")
+    n_all = sum(len(recurrent_lm.words(text)) for _, text in rows)
+    vocabulary = recurrent_lm.Vocabulary(recurrent_lm.frequent(recurrent_lm.word_counts(docs)), n_all)
+    one, many = (recurrent_lm.fit(docs.repartition(n), vocabulary, n_all) for n in (1, 20))
+    assert not np.array_equal(one, recurrent_lm.Model(vocabulary).flat)
+    assert np.array_equal(one, many)
+
+
 def test_language_stage_rejects_by_its_measure(spark, docs):
     rng = np.random.default_rng(5)
     gibberish = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(80))
