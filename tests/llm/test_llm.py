@@ -321,3 +321,11 @@ def test_language_stage_rejects_by_its_measure(spark, docs):
     unlabelled = every.withColumn("lang", F.lit(None).cast("string"))
     kept = cross_parsing.stage(spark, unlabelled, SMALL).where("doc_id > 10000000").collect()
     assert {r["doc_id"] for r in kept} == {10_000_001, 10_000_002}
+
+
+def test_copies_do_not_use_up_the_pages_of_a_wrapper(spark):
+    page = "<body><p>Our menu</p><p>Story {0}</p><p>All rights</p></body>"
+    texts = [page.format(k) for k in range(5) for _ in range(30)]
+    pages = spark.createDataFrame([(k, "http://a.b/", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r["text"] for r in wrapper_induction.main_texts(pages).collect()}
+    assert got == {f"Story {k}" for k in range(5)}
