@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import cross_parsing, exact_topk, huffman, mixing, multi_index, order_minhash, piece_lattice, recurrent_lm, url_rules, wrapper_induction
+from sitelens.llm import (
+    code_bounds,
+    cross_parsing,
+    deletion_signatures,
+    exact_topk,
+    huffman,
+    merkle,
+    mixing,
+    multi_index,
+    order_minhash,
+    piece_lattice,
+    recurrent_lm,
+    url_rules,
+    wrapper_induction,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_parsing": cross_parsing.query,
@@ -19,10 +33,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": url_rules.query,
     "op9_recurrent_lm": recurrent_lm.query,
     "op10_piece_lattice": piece_lattice.query,
+    "op11_deletion_signatures": deletion_signatures.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_code_bounds": code_bounds.query,
 }
 
 ORACLE: dict[str, str] = {
     "op5_mix_sources": mixing.SQL,
     "op7_exact_topk": exact_topk.SQL,
     "op8_url_rules": url_rules.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_code_bounds": code_bounds.SQL,
 }
