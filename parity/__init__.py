@@ -4,7 +4,7 @@ from importlib import import_module
 
 from parity.registry import ORACLE, QUERIES, Inputs, with_ctes
 
-for _module in ("duck", "pages", "crawl", "structured", "rules", "network", "stored"):
+for _module in ("duck", "pages", "references", "crawl", "structured", "rules", "network", "stored"):
     import_module(f"parity.{_module}")
 
 __all__ = ["ORACLE", "QUERIES", "Inputs", "with_ctes"]

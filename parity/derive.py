@@ -7,6 +7,7 @@ query.  ``{gen(n)}``-style differences are resolved by the dialect helpers.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html.entities import html5
 
 
 @dataclass(frozen=True)
@@ -322,6 +323,35 @@ FROM pages WHERE page_id % 3 = 0""".replace("{{", "{").replace("}}", "}")
 
 
 #: name -> builder; later tables may read earlier ones.
+def reference_texts(d: Dialect) -> str:
+    """A text and an attribute value with references: names in turn, with and without their
+    semicolon and what may follow one, and numbers of all ranges."""
+    names = f"{'split' if d.name == 'spark' else 'string_split'}('{' '.join(html5)}', ' ')"
+    lower = "lower(hex(code))" if d.name == "spark" else "lower(to_hex(code))"
+    code = d.text("code")
+
+    def name(k: int) -> str:
+        return f"names[{'' if d.name == 'spark' else '1 + '}(page_id * 9 + {k}) % {len(html5)}]"
+
+    def made(first: int) -> str:
+        n = [name(first + k) for k in range(3)]
+        return (
+            f"concat('x &', {n[0]}, ' y &', replace({n[0]}, ';', ''), 'z &', {n[1]}, '=1 &', {n[2]}, '&', {n[2]}, 'amp; & &;&amp;lt; &#', {code}, "
+            f"';&#x', {lower}, ' &&#0', {code}, '&num;65;&#99999999999;&#x80;&#', {d.text('128 + page_id % 32')}, '&#;&#x; q')"
+        )
+
+    return f"""
+SELECT page_id, {made(0)} AS t, {made(4)} AS a FROM (
+ SELECT page_id, page_id * 7919 % CASE WHEN page_id % 2 = 0 THEN 1300000 ELSE 700 END AS code, {names} AS names FROM pages) n"""
+
+
+def reference_pages(d: Dialect) -> str:
+    return """
+SELECT page_id, 'https://references.example.test/' AS url, concat('<html><head><title>', t, '</title><meta name="description" content="', a,
+ '"><link rel="canonical" href="', a, '"></head><body><h1>', t, '</h1><img src="/i" alt="', a, '"><a href="', a, '">', t, '</a></body></html>') AS html
+FROM reference_texts"""
+
+
 DERIVED = {
     f.__name__: f
     for f in (
@@ -340,6 +370,8 @@ DERIVED = {
         nav_events,
         stored_sessions,
         run_payloads,
+        reference_texts,
+        reference_pages,
     )
 }
 

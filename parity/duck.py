@@ -25,7 +25,7 @@ def squeeze(expr: str) -> str:
 
 
 def decode(expr: str) -> str:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         expr = f"replace({expr}, {q(a)}, {q(b)})"
     return expr
 
