@@ -126,10 +126,12 @@ def _named(part: Column) -> Column:
 
 
 def _split_at_ampersands(text: Column, resolve) -> Column:
-    pieces = F.split(text, "&")
-    tail = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), resolve)
-    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
-    return F.when(text.contains("&"), whole).otherwise(text)
+    def whole(t: Column) -> Column:
+        pieces = F.split(t, "&")
+        tail = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), resolve)
+        return F.when(t.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))).otherwise(t)
+
+    return let(text, whole)
 
 
 def canonical_references(markup: Column) -> Column:
@@ -151,10 +153,14 @@ def canonical_references(markup: Column) -> Column:
 
 def resolved(text: Column) -> Column:
     """The canonical references of a value as their characters."""
-    out = text
-    for character, reference in CANONICAL.items():
-        out = F.replace(out, F.lit(reference), F.lit(character))
-    return F.when(text.contains("&"), out).otherwise(text)
+
+    def whole(t: Column) -> Column:
+        out = t
+        for character, reference in CANONICAL.items():
+            out = F.replace(out, F.lit(reference), F.lit(character))
+        return F.when(t.contains("&"), out).otherwise(t)
+
+    return let(text, whole)
 
 
 def text_of(text: Column) -> Column:
