@@ -215,6 +215,33 @@ SELECT page_id, CAST(page_id % 13 + 1 AS INT), url, CASE WHEN page_id % 13 = 1 T
 FROM pages WHERE page_id % 13 > 0 AND page_id % 17 = 3"""
 
 
+def hop_log(d: Dialect) -> str:
+    """Hops with the time they were seen: those of fetch_hops, chains of 200 hops, loops that only
+    close later, and URLs that lead elsewhere from some time on."""
+    pid = d.text("page_id")
+    step = f"concat({ORIGIN}, '/long/', {pid}, '/', "
+    return f"""
+SELECT from_url, to_url, status, {d.time('page_id * 10')} AS observed_at FROM fetch_hops
+UNION ALL
+SELECT CASE WHEN i = 1 THEN concat(url, '#long') ELSE {step}{d.text('i - 1')}) END, {step}{d.text('i')}), 301, {d.time('page_id * 10 + i')}
+FROM (SELECT page_id, url FROM pages WHERE page_id % 50 = 7) p {d.numbers('200')}
+UNION ALL
+SELECT {step}'150'), {step}'40'), 302, {d.time('page_id * 10 + 5000')} FROM pages WHERE page_id % 50 = 7
+UNION ALL
+SELECT url, concat({ORIGIN}, '/moved/', {pid}), 301, {d.time('page_id * 10 + 1000')} FROM pages WHERE page_id % 5 = 2
+UNION ALL
+SELECT concat({ORIGIN}, '/moved/', {pid}), CASE WHEN page_id % 10 = 2 THEN url ELSE concat(url, '#end') END, 302, {d.time('page_id * 10 + 1500')} FROM pages WHERE page_id % 5 = 2"""
+
+
+def hop_requests(d: Dialect) -> str:
+    """Three requests a page, before and after what changes; some without a time."""
+    asked = d.time("page_id * 10 + (i - 1) * 1200 - 2")
+    return f"""
+SELECT page_id * 4 + i AS request_id, CASE WHEN page_id % 50 = 7 THEN concat(url, '#long') ELSE url END AS requested_url,
+ CASE WHEN page_id % 4 = 3 AND i = 3 THEN NULL WHEN page_id % 50 = 7 AND i = 3 THEN {d.time('page_id * 10 + 9000')} ELSE {asked} END AS requested_at
+FROM pages {d.numbers('3')}"""
+
+
 def captures(d: Dialect) -> str:
     pid = d.text("page_id")
     return f"""
@@ -364,6 +391,8 @@ DERIVED = {
         response_headers,
         navigations,
         fetch_hops,
+        hop_log,
+        hop_requests,
         captures,
         variant_results,
         renders,

@@ -29,19 +29,31 @@ def fetch_classification(c):
     return N.classify(c.table("fetches")).select("page_id", "error_code", "body_truncated")
 
 
-CTES["edge"] = "SELECT from_url, min(to_url) AS to_url FROM fetch_hops GROUP BY from_url"
-CTES["chain"] = """SELECT page_id, url AS cur, 0 AS n, '' AS path FROM pages
- UNION ALL /*recursive*/ SELECT c.page_id, e.to_url, c.n + 1, c.path || '|' || e.to_url FROM chain c JOIN edge e ON e.from_url = c.cur WHERE c.n < 10"""
+CTES["edge"] = """SELECT from_url, to_url, observed_at AS since, lead(observed_at) OVER (PARTITION BY from_url ORDER BY observed_at) AS until
+ FROM (SELECT from_url, observed_at, min(to_url) AS to_url FROM hop_log GROUP BY ALL) t"""
+CTES["timed_chain"] = """SELECT request_id, requested_at AS asked, requested_url AS cur, 0 AS n, [requested_url] AS seen, false AS looped FROM hop_requests
+ UNION ALL /*recursive*/ SELECT c.request_id, c.asked, e.to_url, c.n + 1, list_append(c.seen, e.to_url), list_contains(c.seen, e.to_url) FROM timed_chain c JOIN edge e
+ ON e.from_url = c.cur AND (c.asked IS NULL OR e.since <= c.asked) AND (e.until IS NULL OR e.until > c.asked) WHERE NOT c.looped"""
+CTES["only_edge"] = "SELECT from_url, min(to_url) AS to_url FROM fetch_hops GROUP BY from_url"
+CTES["chain"] = """SELECT page_id AS request_id, url AS cur, 0 AS n, [url] AS seen, false AS looped FROM pages
+ UNION ALL /*recursive*/ SELECT c.request_id, e.to_url, c.n + 1, list_append(c.seen, e.to_url), list_contains(c.seen, e.to_url)
+ FROM chain c JOIN only_edge e ON e.from_url = c.cur WHERE NOT c.looped"""
+CHAINS = "SELECT request_id, cur AS final_url, n AS hop_count, array_to_string(seen[2:], '|') AS hops, looped FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n DESC) AS rn FROM {}) x WHERE rn = 1"
 
 
-@query(
-    "C13_redirect_chains",
-    "SELECT page_id AS request_id, cur AS final_url, n AS hop_count, substring(path, 2) AS hops, n >= 10 AND cur IN (SELECT from_url FROM edge) AS limit_reached FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC) AS rn FROM chain) x WHERE rn = 1",
-)
+def _chains(requests, hops):
+    out = N.resolve_chains(requests, hops)
+    return out.select("request_id", "final_url", "hop_count", F.array_join("hop_urls", "|").alias("hops"), "looped")
+
+
+@query("C13_redirect_chains", CHAINS.format("chain"))
 def redirect_chains(c):
-    requests = c.table("pages").select(F.col("page_id").alias("request_id"), F.col("url").alias("requested_url"))
-    out = N.resolve_chains(requests, c.table("fetch_hops"))
-    return out.select("request_id", "final_url", "hop_count", F.array_join("hop_urls", "|").alias("hops"), "limit_reached")
+    return _chains(c.table("pages").select(F.col("page_id").alias("request_id"), F.col("url").alias("requested_url")), c.table("fetch_hops"))
+
+
+@query("C13_chains_as_of", CHAINS.format("timed_chain"))
+def chains_as_of(c):
+    return _chains(c.table("hop_requests"), c.table("hop_log"))
 
 
 AT = 1700000000

@@ -15,6 +15,7 @@ def last_before(
     payload: Column,
     name: str,
     bucket_seconds: int = 3600,
+    right_key: str | None = None,
 ) -> DataFrame:
     """``left`` + column ``name``: the newest ``payload`` of ``right`` at or before its time.
 
@@ -30,7 +31,7 @@ def last_before(
         F.col(key).alias("_k"), left_time.alias("_t"), bucket(left_time).alias("_b"), row.alias("_row")
     ).withColumn("_ask", F.lit(1))
     seen = right.select(
-        F.col(key).alias("_k"), right_time.alias("_t"), bucket(right_time).alias("_b"), payload.alias("_p")
+        F.col(right_key or key).alias("_k"), right_time.alias("_t"), bucket(right_time).alias("_b"), payload.alias("_p")
     ).withColumn("_ask", F.lit(0))
     rows = asks.unionByName(seen, allowMissingColumns=True)
     last = F.last("_p", ignorenulls=True)

@@ -57,57 +57,144 @@ def classify(fetches: DataFrame, limits: NetworkLimits = DEFAULT_NETWORK) -> Dat
     )
 
 
-def resolve_chains(
-    requests: DataFrame, hops: DataFrame, limits: NetworkLimits = DEFAULT_NETWORK
-) -> DataFrame:
-    """Follow every request through the hop log.
-
-    requests(request_id, requested_url), hops(from_url, to_url, status) ->
-    request_id, final_url, hop_count, hop_urls, limit_reached.
-
-    Chains are composed by doubling: paths of 1, 2, 4, 8 hops are joined, so
-    ten hops take four joins instead of ten, and the last edge test one more.
-    Every step is an equi join on URL; a URL many requests lead to is a skewed
-    key AQE splits, since the right side has one row per URL."""
-    limit = limits.redirects
-    edges = cut_lineage(hops.groupBy("from_url").agg(F.min("to_url").alias("to_url")), "edges")
-    step = edges.select(
-        F.col("from_url").alias("src"), F.array("to_url").alias("path"), F.col("to_url").alias("dst")
+#: Stands for the time of a hop that was always in force, and of a request that sees the latest.
+ALWAYS, LATEST = "1900-01-01", "9999-01-01"
+POSITION = ("request_id", "asked", "url", "place")
+#: Doublings after which chains that are still going on are looked at for circles.
+LOOK = 4
+
+
+def _edges(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, since) of URLs that only ever led to one URL, and (src, since, dst) of the others.
+
+    Counted with partial sums first: a URL logged millions of times is no large group.  Of two
+    targets at one time the smaller counts."""
+    time = F.col("observed_at") if "observed_at" in hops.columns else F.lit(None)
+    log = (
+        hops.where("from_url IS NOT NULL AND to_url IS NOT NULL")
+        .groupBy(F.col("from_url").alias("src"), F.coalesce(time.cast("timestamp"), F.lit(ALWAYS).cast("timestamp")).alias("since"))
+        .agg(F.min("to_url").alias("dst"))
     )
-    powers = [step]
-    while 2 ** len(powers) <= limit:
-        last = powers[-1]
-        right = last.select(
-            F.col("src").alias("dst"), F.col("path").alias("more"), F.col("dst").alias("end")
-        )
-        doubled = last.join(right, "dst", "left").select(
-            "src",
-            F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path"),
-            F.coalesce("end", "dst").alias("dst"),
+    known = log.groupBy("src").agg(F.min("dst").alias("dst"), F.max("dst").alias("most"), F.min("since").alias("since"))
+    known = cut_lineage(known, "hops")
+    return known.where("dst = most").select("src", "dst", "since"), log.join(known.where("dst <> most").select("src"), "src", "left_semi")
+
+
+def _repeats(positions: DataFrame) -> DataFrame:
+    """request_id and the place where a chain first comes to a URL it has been to."""
+    first = positions.groupBy("request_id", "url").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = positions.join(first, ["request_id", "url"]).where("place > first")
+    return again.groupBy("request_id").agg(F.min("place").alias("repeat"))
+
+
+class _Jumps:
+    """Jumps of 1, 2, 4 ... hops over URLs that led to one URL only; a longer one is made when asked for.
+
+    A jump is in force since its youngest hop is.  A URL whose chain is shorter has no row, so
+    the tables get smaller."""
+
+    def __init__(self, stable: DataFrame):
+        self.tables = [stable]
+
+    def __getitem__(self, k: int) -> DataFrame:
+        while len(self.tables) <= k:
+            last = self.tables[-1]
+            further = last.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("since").alias("too"))
+            joined = last.join(further, "dst").select("src", F.col("end").alias("dst"), F.greatest("since", "too").alias("since"))
+            self.tables.append(cut_lineage(joined, "hops"))
+        return self.tables[k]
+
+
+def _along(start: DataFrame, jumps: _Jumps) -> DataFrame:
+    """All positions reached from the start positions over jumps, the start included.
+
+    Positions at distances below 2^k give those below 2^(k+1) with one join, so a chain of n hops
+    takes log n joins; one that has ended has no longer jump.  A chain that has come round in a circle
+    is taken out; what it repeats is cut off afterwards."""
+    every = going = start
+    k = 0
+    while True:
+        jump = jumps[k].withColumnsRenamed({"src": "url", "dst": "next"})
+        reached = going.join(jump, "url").where("asked >= since").select(
+            "request_id", "asked", F.col("next").alias("url"), (F.col("place") + 2**k).alias("place")
         )
-        # Each power is read by the next one and by the requests: store it.
-        powers.append(cut_lineage(doubled, "hops"))
-    # limit = sum of powers of two: apply each of its bits once.
-    current = requests.select(
-        "request_id",
-        F.col("requested_url").alias("at"),
-        F.array().cast("array<string>").alias("hop_urls"),
+        reached = cut_lineage(reached, "chains")
+        if reached.isEmpty():
+            return every
+        every, going = every.unionByName(reached), going.unionByName(reached)
+        k += 1
+        if k >= LOOK:
+            round_again = cut_lineage(_repeats(going.join(reached.select("request_id").distinct(), "request_id", "left_semi")), "circles")
+            if not round_again.isEmpty():
+                going = going.join(round_again, "request_id", "left_anti")
+
+
+def resolve_chains(requests: DataFrame, hops: DataFrame, limit: int | None = None) -> DataFrame:
+    """Follow every request through the hop log to its end, as the log stood when it was made.
+
+    requests(request_id, requested_url[, requested_at]),
+    hops(from_url, to_url, status[, observed_at]) ->
+    request_id, final_url, hop_count, hop_urls, looped, limit_reached.
+
+    A hop is in force from its time until the URL is logged with another target; without times
+    it always is, and a request without one sees the latest.  A chain that comes to a URL again ends
+    there and is looped.  ``limit`` cuts chains after so many hops, if one is asked for.
+
+    Hops of URLs that led to one URL only are followed by doubling; one of a URL whose target
+    changed is looked up as of the request, by time buckets, and the chain goes on from there.  Every
+    step is an equi join on a URL whose right side has one row a URL, or such a lookup."""
+    stable, moving = _edges(hops)
+    jumps = _Jumps(stable)
+    time = F.col("requested_at").cast("timestamp") if "requested_at" in requests.columns else F.lit(None).cast("timestamp")
+    start = cut_lineage(
+        requests.select(
+            "request_id",
+            F.coalesce(time, F.lit(LATEST).cast("timestamp")).alias("asked"),
+            F.col("requested_url").alias("url"),
+            F.lit(0).cast("long").alias("place"),
+        ),
+        "chains",
     )
-    for bit, table in reversed(list(enumerate(powers))):
-        if limit & (1 << bit):
-            hop = table.withColumnsRenamed({"src": "at", "path": "more"})
-            current = current.join(hop, "at", "left").select(
-                "request_id",
-                F.coalesce("dst", "at").alias("at"),
-                F.concat("hop_urls", F.coalesce("more", F.array().cast("array<string>"))).alias("hop_urls"),
-            )
-    further = edges.select(F.col("from_url").alias("at"), F.lit(True).alias("goes_on"))
-    return current.join(further, "at", "left").select(
+    total = _along(start, jumps)
+    moving = cut_lineage(moving, "hops")
+    if not moving.isEmpty():
+        changing = moving.select(F.col("src").alias("url")).distinct()
+        found, been = total, None
+        while True:
+            # Chains that stand at a URL whose target changed, and haven't stood there before, go on.
+            ends = found.groupBy("request_id").agg(F.max_by(F.struct("asked", "url", "place"), "place").alias("end")).select("request_id", "end.*")
+            waiting = ends.join(changing, "url", "left_semi").select(*POSITION)
+            if been is not None:
+                waiting = waiting.join(been, ["request_id", "url"], "left_anti")
+            waiting = cut_lineage(waiting, "chains")
+            asked = last_before(waiting, moving, "url", F.col("asked"), F.col("since"), F.col("dst"), "next", right_key="src")
+            start = asked.where("next IS NOT NULL").select("request_id", "asked", F.col("next").alias("url"), (F.col("place") + 1).alias("place"))
+            start = cut_lineage(start, "chains")
+            if start.isEmpty():
+                break
+            own = waiting.select("request_id", "url")
+            been = own if been is None else been.unionByName(own)
+            found = _along(start, jumps)
+            total = total.unionByName(found)
+        total = cut_lineage(total, "chains")
+    kept = total.join(_repeats(total), "request_id", "left").where("repeat IS NULL OR place <= repeat")
+    out = kept.groupBy("request_id").agg(
+        F.max_by("url", "place").alias("final_url"),
+        F.max("place").cast("int").alias("hop_count"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("place") > 0, F.struct("place", "url")))), lambda x: x["url"]).alias("hop_urls"),
+        F.max("repeat").isNotNull().alias("looped"),
+    )
+    if limit is None:
+        return out.withColumn("limit_reached", F.lit(False))
+    over = F.col("hop_count") > limit
+    last = F.when(over, F.element_at("hop_urls", limit)).otherwise(F.col("final_url"))
+    return out.select(
         "request_id",
-        F.col("at").alias("final_url"),
-        F.size("hop_urls").alias("hop_count"),
-        "hop_urls",
-        (F.coalesce("goes_on", F.lit(False)) & (F.size("hop_urls") >= limit)).alias("limit_reached"),
+        last.alias("final_url"),
+        F.least("hop_count", F.lit(limit)).alias("hop_count"),
+        F.slice("hop_urls", 1, limit).alias("hop_urls"),
+        "looped",
+        (over | F.col("looped")).alias("limit_reached"),
     )
 
 

@@ -87,19 +87,40 @@ def test_asof_against_brute_force(spark):
     assert len(got) == len(asks)
 
 
+def follow(url: str, asked: int, hops: list[tuple]) -> tuple[list[str], bool]:
+    """Hops one by one, each as the log stood at the time of the request."""
+    path, seen = [], {url}
+    while known := [(t, -ord(to[0]), to) for a, to, t in hops if a == url and t <= asked]:
+        newest = max(t for t, _, _ in known)
+        url = min(to for t, _, to in known if t == newest)
+        path.append(url)
+        if url in seen:
+            return path, True
+        seen.add(url)
+    return path, False
+
+
 def test_redirect_chains_against_brute_force(spark):
-    hops = {f"u{i}": f"u{i + 1}" for i in range(15)} | {"p": "q", "q": "p"}
-    reqs = [(i, u) for i, u in enumerate(["u0", "u5", "u14", "u15", "p", "zz"])]
-    rows = fetchlog.resolve_chains(
-        spark.createDataFrame(reqs, "request_id int, requested_url string"),
-        spark.createDataFrame([(a, b, 301) for a, b in hops.items()], "from_url string, to_url string, status int"),
-    ).collect()
-    for r in rows:
-        at, path = dict(reqs)[r.request_id], []
-        while at in hops and len(path) < 10:
-            at = hops[at]
-            path.append(at)
-        assert (r.final_url, r.hop_urls, r.limit_reached) == (at, path, at in hops)
+    hops = [(f"u{i}", f"u{i + 1}", 5) for i in range(3)] + [(f"t{i}", f"t{i + 1}", 5) for i in range(12)]
+    hops += [(f"l{i}", f"l{i + 1}", i) for i in range(200)] + [("p", "q", 5), ("q", "p", 5), ("s", "s", 1), ("z", "y", 3), ("z", "x", 3)]
+    # Elsewhere later, a circle that closes later, and back again.
+    hops += [("m", "u0", 10), ("m", "t5", 20), ("m", "u0", 30), ("t12", "m", 25), ("l200", "l150", 500), ("l150", "m", 600), ("in", "m", 0)]
+    urls = ["u0", "u2", "u3", "t0", "l0", "l190", "p", "s", "z", "m", "in", "none", "l150"]
+    asked = [-1, 4, 5, 12, 22, 26, 31, 300, 550, 700]
+    reqs = [(i, u, t) for i, (u, t) in enumerate((u, t) for u in urls for t in asked)]
+    epoch = F.timestamp_seconds(F.col("t") + 1_700_000_000)
+    requests = spark.createDataFrame(reqs, "request_id int, requested_url string, t int").withColumn("requested_at", epoch)
+    log = spark.createDataFrame([(a, b, 301, t) for a, b, t in hops], "from_url string, to_url string, status int, t int")
+    rows = fetchlog.resolve_chains(requests.drop("t"), log.withColumn("observed_at", epoch).drop("t")).collect()
+    want = {i: follow(u, t, hops) for i, u, t in reqs}
+    assert {r.request_id: (r.hop_urls, r.looped) for r in rows} == want
+    assert all(r.final_url == (r.hop_urls or [reqs[r.request_id][1]])[-1] and r.hop_count == len(r.hop_urls) for r in rows)
+    # Without times the log counts as one state; a limit is cut off where it is asked for.
+    few = log.where("from_url LIKE 't%' OR from_url LIKE 'p'").drop("t")
+    got = {r.request_id: r for r in fetchlog.resolve_chains(requests.drop("t", "requested_at"), few.where("to_url <> 'm'"), 10).collect()}
+    r = got[urls.index("t0") * len(asked)]
+    assert (r.final_url, r.hop_count, r.limit_reached) == ("t10", 10, True)
+    assert fetchlog.resolve_chains(requests.drop("t"), log.where("false").drop("t")).where("hop_count > 0 OR looped").count() == 0
 
 
 SOFT = [
