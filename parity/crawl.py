@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from parity.duck import grouping, http, q, trim, url_chain
@@ -114,7 +116,7 @@ def user_agent_prefix(c):
 
 # -- sitemaps ---------------------------------------------------------------
 CTES["smx"] = """SELECT *, regexp_extract_all(body, '&(#x?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);', 1) AS ents FROM sitemap_files"""
-CTES["smp"] = """SELECT root_url, file_url, body, CASE WHEN fetch_error IS NOT NULL THEN 'sitemap-fetch-failed' WHEN status <> 200 THEN 'sitemap-fetch-non-200' WHEN truncated OR strlen(body) > 512000 THEN 'sitemap-fetch-oversized'
+CTES["smp"] = """SELECT root_url, file_url, body, CASE WHEN fetch_error IS NOT NULL THEN 'sitemap-fetch-failed' WHEN status <> 200 THEN 'sitemap-fetch-non-200' WHEN truncated THEN 'sitemap-fetch-oversized'
   WHEN trim(body) = '' THEN 'sitemap-fetch-empty' WHEN regexp_matches(body, '(?i)<!DOCTYPE') OR len(list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos'))) > 0
   OR NOT regexp_matches(body, '</(urlset|sitemapindex)>\\s*$') THEN 'sitemap-parse-failed' END AS error_code,
   CASE WHEN regexp_matches(body, '(?i)<!DOCTYPE') THEN 'DOCTYPE declarations are not allowed in sitemap XML.' WHEN len(list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos'))) > 0
@@ -126,9 +128,13 @@ CTES["smentry"] = f"""SELECT *, row_number() OVER (PARTITION BY root_url, file_u
   FROM (SELECT root_url, file_url, regexp_extract_all(body, '(?s)<url>.*?</url>') AS l FROM smp WHERE error_code IS NULL AND root = 'urlset') a) b) c WHERE loc <> ''"""
 CTES["smchild"] = f"""SELECT root_url, file_url, pos, {trim(UNX)} AS child_url FROM (SELECT root_url, file_url, unnest(range(len(l))) AS pos, unnest(l) AS item
   FROM (SELECT root_url, file_url, regexp_extract_all(body, '(?s)<sitemap>.*?</sitemap>') AS l FROM smp WHERE error_code IS NULL AND root = 'sitemapindex') a) b WHERE item LIKE '%<loc>%'"""
-CTES["smwalk"] = """SELECT root_url, root_url AS file_url, 0 AS depth, '00000' AS visit_key FROM (SELECT DISTINCT root_url FROM sitemap_files) r
- UNION ALL /*recursive*/ SELECT w.root_url, c.child_url, w.depth + 1, w.visit_key || '.' || lpad(CAST(c.pos AS VARCHAR), 10, '0') FROM smwalk w JOIN smchild c ON c.root_url = w.root_url AND c.file_url = w.file_url WHERE w.depth < 10 AND c.child_url <> w.root_url"""
-CTES["smfile"] = "SELECT root_url, file_url, min(depth) AS depth, min(visit_key) AS visit_key FROM smwalk GROUP BY ALL"
+CTES["smwalk"] = """SELECT root_url, root_url AS file_url, 0 AS depth, [0] AS visit_key, [root_url] AS way FROM (SELECT DISTINCT root_url FROM sitemap_files) r
+ UNION ALL /*recursive*/ SELECT w.root_url, c.child_url, w.depth + 1, list_append(w.visit_key, c.pos), list_append(w.way, c.child_url)
+ FROM smwalk w JOIN smchild c ON c.root_url = w.root_url AND c.file_url = w.file_url WHERE NOT list_contains(w.way, c.child_url)"""
+CTES["smfile"] = "SELECT root_url, file_url, min(depth) AS depth, arg_min(visit_key, {'d': depth, 'k': visit_key}) AS visit_key FROM smwalk GROUP BY ALL"
+_LARGE = "sitemap_files|smx|smp|smentry|smchild|smwalk|smfile"
+for _name in _LARGE.split("|")[1:]:
+    CTES[f"{_name}_large"] = re.sub(rf"\b({_LARGE})\b", r"\1_large", CTES[_name])
 CTES["smmerged"] = """SELECT * EXCLUDE (rn) FROM (SELECT e.*, f.depth, f.visit_key, row_number() OVER (PARTITION BY e.root_url, e.loc ORDER BY f.depth, f.visit_key, e.pos) AS rn FROM smentry e JOIN smfile f USING (root_url, file_url)) z WHERE rn = 1"""
 CTES["smalt"] = """SELECT root_url, file_url, loc, pos, k, lower(regexp_extract(a, 'hreflang="([^"]*)"', 1)) AS hreflang, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM
  (SELECT root_url, file_url, loc, pos, unnest(range(len(l))) AS k, unnest(l) AS a FROM (SELECT *, list_filter(regexp_extract_all(item, '<xhtml:link[^>]*/>'), lambda x: NOT contains(x, 'rel="stylesheet"')) AS l FROM smmerged) m) n"""
@@ -159,7 +165,7 @@ def parsed(c):
     "SELECT root_url, file_url, error_code, CASE WHEN error_code = 'sitemap-parse-failed' THEN why END AS error, CASE WHEN error_code IS NULL THEN root END AS kind FROM smp",
 )
 def sitemap_admission(c):
-    return parsed(c).drop("doc")
+    return parsed(c).where("chunk = 0").drop("doc", "chunk", "first")
 
 
 @query("I2_sitemap_entries", "SELECT root_url, file_url, pos, loc, lastmod FROM smentry WHERE copy = 0")
@@ -193,7 +199,9 @@ def sitemap_alternates(c):
 
 @query(
     "H25_sitemap_xml_safety",
-    """SELECT file_url, CASE WHEN regexp_matches(body, '(?i)<!DOCTYPE') OR len(list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos'))) > 0 THEN why END AS error FROM smp JOIN (SELECT file_url, ents FROM smx) x USING (file_url)""",
+    """SELECT file_url, CASE WHEN regexp_matches(body, '(?i)<!DOCTYPE') THEN 'DOCTYPE declarations are not allowed in sitemap XML.'
+  WHEN len(bad) > 0 THEN 'Unsafe XML entity "&' || bad[1] || ';" is not allowed (no DTD / entity expansion).' END AS error
+ FROM (SELECT file_url, body, list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos')) AS bad FROM smx) t""",
 )
 def xml_safety(c):
     return c.table("sitemap_files").select("file_url", S.xml_safety_error(F.col("body")).alias("error"))
@@ -201,10 +209,27 @@ def xml_safety(c):
 
 @query(
     "C12_sitemap_index_expansion",
-    "SELECT w.root_url, w.file_url, w.depth, w.visit_key, s.file_url IS NOT NULL AS captured FROM smfile w LEFT JOIN sitemap_files s USING (root_url, file_url)",
+    "SELECT w.root_url, w.file_url, w.depth, array_to_string(w.visit_key, '.') AS visit_key, s.file_url IS NOT NULL AS captured FROM smfile w LEFT JOIN sitemap_files s USING (root_url, file_url)",
 )
 def index_expansion(c):
-    return S.expand_indexes(parsed(c)).drop("over_limit")
+    return S.expand_indexes(parsed(c)).drop("over_limit").withColumn("visit_key", F.array_join(F.col("visit_key").cast("array<string>"), "."))
+
+
+def parsed_large(c):
+    return c.once("parsed_large", lambda: cut_lineage(S.parse_files(c.table("sitemap_files_large"))))
+
+
+@query(
+    "C12_deep_indexes",
+    "SELECT w.root_url, w.file_url, w.depth, array_to_string(w.visit_key, '.') AS visit_key, s.file_url IS NOT NULL AS captured FROM smfile_large w LEFT JOIN sitemap_files_large s USING (root_url, file_url)",
+)
+def deep_indexes(c):
+    return S.expand_indexes(parsed_large(c)).drop("over_limit").withColumn("visit_key", F.array_join(F.col("visit_key").cast("array<string>"), "."))
+
+
+@query("I2_large_files", "SELECT root_url, file_url, pos, loc, lastmod, copy FROM smentry_large")
+def large_files(c):
+    return S.file_entries(parsed_large(c)).select("root_url", "file_url", "pos", "loc", "lastmod", "copy")
 
 
 @query("C12_merged_entries", "SELECT root_url, loc, file_url, lastmod FROM smmerged")

@@ -159,6 +159,23 @@ SELECT concat(origin,'/sitemap.xml'), concat(origin,'/sitemap.xml'), 200, false,
 FROM (SELECT DISTINCT origin, {mid} AS mid FROM sitemap_leaves) m GROUP BY origin"""
 
 
+def sitemap_files_large(d: Dialect) -> str:
+    """A file that grows with the pages (about 600 KB of 250), and indexes of twelve levels with cycles."""
+    big = f"concat('<url><loc>https://big.example.test/', {d.text('page_id')}, '/', {d.text('i')}, '?long=0123456789</loc></url>')"
+    deep_root = f"concat('https://deep', {d.text('site')}, '.example.test/sitemap.xml')"
+    deep = f"concat('https://deep', {d.text('site')}, '.example.test/level-', "
+    return f"""
+SELECT 'https://big.example.test/sitemap.xml' AS root_url, 'https://big.example.test/sitemap.xml' AS file_url, 200 AS status, false AS truncated, NULL AS fetch_error,
+       concat('<urlset>', {d.concat_rows(big, 'page_id, i')}, '</urlset>') AS body
+FROM pages {d.numbers('50')}
+UNION ALL
+SELECT {deep_root}, CASE WHEN i = 1 THEN {deep_root} ELSE {deep}{d.text('i - 1')}, '.xml') END, 200, false, NULL,
+       CASE WHEN i = 13 THEN concat('<urlset><url><loc>', {deep_root}, '</loc></url></urlset>')
+            ELSE concat('<sitemapindex><sitemap><loc>', {deep}{d.text('i')}), '.xml</loc></sitemap><sitemap><loc>',
+                        CASE WHEN i = 6 THEN {deep}'2.xml') ELSE {deep_root} END, '</loc></sitemap></sitemapindex>') END
+FROM (SELECT DISTINCT page_id % 7 AS site FROM pages) s {d.numbers('13')}"""
+
+
 def fetches(d: Dialect) -> str:
     pid = d.text("page_id")
     return f"""
@@ -387,6 +404,7 @@ DERIVED = {
         robots_files,
         sitemap_leaves,
         sitemap_files,
+        sitemap_files_large,
         fetches,
         response_headers,
         navigations,

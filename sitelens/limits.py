@@ -51,13 +51,13 @@ class RobotsLimits:
 
 @dataclass(frozen=True)
 class SitemapLimits:
-    """``files`` and ``entries`` are off unless asked for: they protect a
-    browser tab, not a cluster.  ``depth`` stays, it bounds the join loop."""
+    """Off unless asked for: they protect a browser tab, not a cluster.  Files past
+    ``depth`` or ``files`` are marked, not lost; a body past ``body_bytes`` is refused."""
 
-    depth: int = 10
+    depth: int | None = None
     files: int | None = None
     entries: int | None = None
-    body_bytes: int = 512_000
+    body_bytes: int | None = None
 
 
 DEFAULT_CAPTURE = CaptureLimits()

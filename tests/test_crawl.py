@@ -109,7 +109,37 @@ def test_index_expansion_visits_each_file_once_and_marks_the_limit(spark):
     assert M.merged_entries(p).first().lastmod == "1"
     over = M.expand_indexes(p, SitemapLimits(files=2)).filter("over_limit").count()
     assert over == 2
-    assert M.expand_indexes(p, SitemapLimits(depth=1)).count() == 3
+    assert {r.file_url.rsplit("/", 1)[1]: r.over_limit for r in M.expand_indexes(p, SitemapLimits(depth=1)).collect()} == {
+        "sitemap.xml": False, "a.xml": False, "b.xml": False, "c.xml": True
+    }
+
+
+def test_indexes_are_followed_to_any_depth_and_round_cycles(spark):
+    index = "<sitemapindex>{}</sitemapindex>"
+    ref = "<sitemap><loc>" + SITE + "/{}.xml</loc></sitemap>"
+    names = ["sitemap", *(f"l{k}" for k in range(1, 26))]
+    bodies = [(SITE + f"/{a}.xml", index.format(ref.format(b) + ref.format("l3"))) for a, b in zip(names, names[1:])]
+    p = M.parse_files(sitemap(spark, [*bodies, (SITE + "/l25.xml", "<urlset><url><loc>x</loc></url></urlset>")]))
+    got = {r.file_url.rsplit("/", 1)[1]: r.depth for r in M.expand_indexes(p).collect()}
+    want = {"sitemap.xml": 0, "l1.xml": 1, "l2.xml": 2, "l3.xml": 1}
+    assert got == want | {f"l{k}.xml": k - 2 for k in range(4, 26)}
+    assert M.merged_entries(p).count() == 1
+
+
+def test_large_files_are_cut_and_keep_their_order(spark):
+    n = 5 * M.CHUNK + 7
+    entry = "<h:url><h:loc>https://s.test/{}</h:loc><!-- <url> --><h:lastmod><![CDATA[</url>]]></h:lastmod>" + "<x>{}</x></h:url>" 
+    entries = [entry.format(k, "y" * 450) for k in range(n)]
+    xml = "<h:urlset>" + "\n".join(entries) + "</h:urlset>"
+    bad = xml.replace(f"<h:loc>https://s.test/{n - 5}<", "<h:loc>a & b<")
+    assert len(xml) > 5_000_000
+    p = M.parse_files(sitemap(spark, [(SITE + "/sitemap.xml", xml), (SITE + "/bad.xml", bad)]))
+    assert p.where("error_code IS NULL").count() == 6
+    rows = M.file_entries(p).orderBy("pos").collect()
+    assert [(r.pos, r.loc, r.lastmod) for r in rows] == [(k, f"https://s.test/{k}", "</url>") for k in range(n)]
+    assert {r.error for r in p.where("file_url LIKE '%bad%'").collect()} == {"Malformed sitemap XML"}
+    small = M.parse_files(sitemap(spark, [(SITE + "/sitemap.xml", xml)]), SitemapLimits(body_bytes=1_000_000))
+    assert {r.error_code for r in small.collect()} == {"sitemap-fetch-oversized"}
 
 
 def test_membership_prefers_the_exact_location(spark):
