@@ -13,9 +13,10 @@ from sitelens.operators import evidence as E
 from sitelens.operators import facts as P
 from sitelens.operators import hreflang as HL
 from sitelens.operators import summary as Y
+from sitelens.session import cut_lineage, new_folder
 from sitelens.sources import sessions as SS
-from sitelens.session import new_folder
 from sitelens.sources import sinks as K
+from sitelens.sources.session_table import SessionTable
 from sitelens.streaming import navigation as NV
 
 # -- bounds -------------------------------------------------------------------------
@@ -251,19 +252,50 @@ def latest_session(c):
     return SS.latest_by_url(sessions(c))
 
 
-@query("A5_session_save", "SELECT session_id, CASE WHEN page_id % 2 = 1 AND dv IS NOT DISTINCT FROM 2 THEN '2026-02-01T00:00:00.000Z' ELSE updated_at END AS updated_at FROM (SELECT session_id, page_id, updated_at, CASE WHEN v = 1 THEN coalesce(dv, 1) ELSE dv END AS dv FROM ses WHERE ok) x WHERE page_id % 3 > 0 OR (page_id % 2 = 1 AND dv IS NOT DISTINCT FROM 2)")
-def session_save(c):
-    """Stored: two thirds of the sessions; saved: the odd ones, some refused."""
+CTES["ses_saved"] = """SELECT session_id, page_id, CASE WHEN page_id % 2 = 1 AND dv IS NOT DISTINCT FROM 2 THEN '2026-02-01T00:00:00.000Z' ELSE updated_at END AS updated_at,
+ page_id % 2 = 1 AND dv IS NOT DISTINCT FROM 2 AS saved, page_id % 3 > 0 AS held, tab_url, report
+ FROM (SELECT session_id, page_id, updated_at, tab_url, report, CASE WHEN v = 1 THEN coalesce(dv, 1) ELSE dv END AS dv FROM ses WHERE ok) x"""
+
+
+def _filled(c, name: str) -> tuple:
+    """A new table that holds two thirds of the sessions, after the odd ones were saved, some refused."""
+    s = c.once("sessions_stored", lambda: cut_lineage(sessions(c)))
     number = F.regexp_extract("session_id", "([0-9]+)", 1).cast("bigint")
-    s = sessions(c)
-    merged, _ = SS.save(s.filter(number % 3 > 0), s.filter(number % 2 == 1), "2026-02-01T00:00:00.000Z")
-    return merged.select("session_id", "updated_at")
+    table = SessionTable(c.spark, new_folder(c.spark, name), s.schema, buckets=16)
+    table.load(s.filter(number % 3 > 0))
+    refused = table.save(s.filter(number % 2 == 1), "2026-02-01T00:00:00.000Z")
+    return table, refused
 
 
-@query("A9_session_delete", "SELECT session_id FROM ses WHERE ok AND page_id % 5 > 0")
+@query(
+    "A5_session_save",
+    """SELECT session_id, updated_at, tab_url, report AS report_markdown, false AS refused FROM ses_saved WHERE held OR saved
+ UNION ALL SELECT session_id, NULL, tab_url, report, true FROM ses_saved WHERE page_id % 2 = 1 AND NOT saved""",
+)
+def session_save(c):
+    """What is read back from the table, and what was refused."""
+    table, refused = _filled(c, "saved")
+    columns = ["session_id", "updated_at", "tab_url", "report_markdown"]
+    kept = table.read().select(*columns).withColumn("refused", F.lit(False))
+    return kept.unionByName(refused.withColumn("updated_at", F.lit(None).cast("string")).select(*columns).withColumn("refused", F.lit(True)))
+
+
+@query(
+    "A9_session_delete",
+    """SELECT session_id, updated_at FROM ses_saved WHERE (held OR saved) AND page_id % 5 > 0
+ UNION ALL SELECT session_id, '2026-05-01T00:00:00.000Z' FROM ses_saved WHERE page_id % 10 = 0""",
+)
 def session_delete(c):
+    """Every fifth session is deleted; of these some are saved later, others by a save that is older."""
+    table, _ = _filled(c, "deleted")
+    s = c.once("sessions_stored", lambda: cut_lineage(sessions(c)))
     ids = c.table("pages").filter("page_id % 5 = 0").select(F.concat(F.lit("s"), "page_id").alias("session_id"))
-    return SS.delete(sessions(c), ids).select("session_id")
+    # Not all of them are held: those leave no tombstone.
+    table.delete(ids, "2026-03-01T00:00:00.000Z")
+    number = F.regexp_extract("session_id", "([0-9]+)", 1).cast("bigint")
+    table.load(s.filter((number % 10 == 5) & (number % 3 > 0)))
+    table.load(s.filter(number % 10 == 0).withColumn("updated_at", F.lit("2026-05-01T00:00:00.000Z")))
+    return table.read().select("session_id", "updated_at")
 
 
 @query("A10_attach_runs", "SELECT s.session_id, r.run_kind = 'variantTestRun' AND page_id % 5 NOT IN (1,2) AS has_variant, r.run_kind = 'soft404ProbeRun' AND page_id % 5 NOT IN (1,2) AS has_soft404 FROM ses s JOIN run_payloads r USING (session_id) WHERE ok")

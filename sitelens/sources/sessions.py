@@ -171,38 +171,6 @@ def save_guard(sessions: DataFrame) -> Column:
     )
 
 
-def save(stored: DataFrame, incoming: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """Upsert by id: (all sessions after the save, refused sessions).
-
-    Newest wins through a map-side combined aggregate; nothing is sorted."""
-    judged = incoming.withColumn("refused", save_guard(incoming))
-    accepted = judged.filter("refused IS NULL").drop("refused").withColumn("updated_at", F.lit(now))
-    rows = stored.withColumn("_new", F.lit(0)).unionByName(accepted.withColumn("_new", F.lit(1)))
-    keep = [c for c in rows.columns if c not in ("_new", "session_id")]
-    merged = (
-        rows.groupBy("session_id")
-        .agg(F.max_by(F.struct(*keep), F.struct("_new", "updated_at")).alias("r"))
-        .select("session_id", "r.*")
-    )
-    return merged, judged.filter("refused IS NOT NULL")
-
-
-def write(sessions: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write by bucket of the id; only buckets that hold rows are replaced."""
-    (
-        sessions.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
-        .write.option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-
-
-def delete(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Sessions or quarantine without the listed ids."""
-    return rows.join(ids.select("session_id"), "session_id", "left_anti")
-
-
 def holds_raw_body(payload: Column) -> Column:
     """Does a JSON payload hold a forbidden key at any depth?
 
