@@ -346,20 +346,55 @@ CTES["cfind"] = """SELECT cluster_id, member_id, 'hreflang-cluster-duplicate-alt
  UNION ALL SELECT m.cluster_id, m.member_id, 'hreflang-cluster-missing-return', o.hreflang || ' ' || o.final_url FROM cm m JOIN cm o ON o.cluster_id = m.cluster_id AND o.requested_url <> m.requested_url WHERE NOT EXISTS (SELECT 1 FROM ce e WHERE e.member_id = m.member_id AND e.hreflang = o.hreflang AND e.norm = o.norm)"""
 
 
+CTES["cgiven"] = """SELECT DISTINCT m.cluster_id, m.member_id, o.member_id AS other_id FROM cm m JOIN cm o ON o.cluster_id = m.cluster_id AND o.requested_url <> m.requested_url
+ JOIN ce e ON e.member_id = m.member_id AND e.hreflang = o.hreflang AND e.norm = o.norm"""
+CTES["cowed"] = "SELECT m.cluster_id, m.member_id, count(*) AS owed FROM cm m JOIN cm o ON o.cluster_id = m.cluster_id AND o.requested_url <> m.requested_url GROUP BY ALL"
+CTES["cgroup"] = """SELECT *, min(member_id) OVER (PARTITION BY cluster_id, has) AS group_id FROM (
+ SELECT w.cluster_id, w.member_id, w.owed, w.owed - count(g.other_id) AS lacking, coalesce(list(g.other_id ORDER BY g.other_id) FILTER (g.other_id IS NOT NULL), []) AS has
+ FROM cowed w LEFT JOIN cgiven g USING (cluster_id, member_id) GROUP BY w.cluster_id, w.member_id, w.owed) t WHERE lacking > 0"""
+
+
 def _cluster(c):
-    members = c.table("cluster_members")
-    edges = c.table("cluster_edges").join(members.select("member_id"), "member_id", "left_semi")
-    return HL.cluster_findings(members, edges)
+    def make():
+        members = c.table("cluster_members")
+        edges = c.table("cluster_edges").join(members.select("member_id"), "member_id", "left_semi")
+        return HL.cluster_findings(members, edges)
+
+    return c.once("cluster", make)
 
 
 @query("C7_cluster_reciprocity", "SELECT cluster_id, member_id, rule_id, detail FROM cfind WHERE rule_id LIKE '%missing%'")
 def reciprocity(c):
-    return _cluster(c).filter("rule_id LIKE '%missing%'").select("cluster_id", "member_id", "rule_id", "detail")
+    """Every missing return written out as a pair."""
+    found, membership, lacking = _cluster(c)
+    pairs = HL.missing_pairs(membership, lacking).select(
+        "cluster_id", "member_id", F.lit("hreflang-cluster-missing-return").alias("rule_id"), F.concat("other_lang", F.lit(" "), "other_final").alias("detail")
+    )
+    own = found.filter("rule_id LIKE '%missing-self-ref'").select("cluster_id", "member_id", "rule_id", "detail")
+    return own.unionByName(pairs)
+
+
+@query(
+    "C7_deficit_groups",
+    """SELECT 'member' AS what, cluster_id, group_id, member_id AS id, lacking AS n FROM cgroup
+ UNION ALL SELECT 'target', g.cluster_id, g.group_id, o.member_id, NULL FROM (SELECT cluster_id, group_id, any_value(has) AS has FROM cgroup GROUP BY ALL) g
+  JOIN cm o ON o.cluster_id = g.cluster_id AND NOT list_contains(g.has, o.member_id)""",
+)
+def deficits(c):
+    _, membership, lacking = _cluster(c)
+    members = membership.select(F.lit("member").alias("what"), "cluster_id", "group_id", F.col("member_id").alias("id"), F.col("lacking").alias("n"))
+    targets = lacking.select(F.lit("target").alias("what"), "cluster_id", "group_id", F.col("other_id").alias("id"), F.lit(None).cast("bigint").alias("n"))
+    return members.unionByName(targets)
 
 
-@query("J20_cluster_findings", "SELECT cluster_id, member_id, rule_id, detail, CASE WHEN rule_id = 'hreflang-cluster-likely-typo' THEN 'warning' ELSE 'error' END AS severity FROM cfind")
+@query(
+    "J20_cluster_findings",
+    """SELECT cluster_id, member_id, rule_id, detail, CASE WHEN rule_id = 'hreflang-cluster-likely-typo' THEN 'warning' ELSE 'error' END AS severity FROM (
+ SELECT * FROM cfind WHERE rule_id NOT LIKE '%missing-return'
+ UNION ALL SELECT cluster_id, member_id, 'hreflang-cluster-missing-return', lacking || ' of ' || owed || ' members, as ' || group_id FROM cgroup) t""",
+)
 def cluster_findings(c):
-    return _cluster(c).select("cluster_id", "member_id", "rule_id", "detail", "severity")
+    return _cluster(c)[0].select("cluster_id", "member_id", "rule_id", "detail", "severity")
 
 
 # -- navigation events ---------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.codes import hreflang_verdict
@@ -181,8 +181,6 @@ def cluster_targets(alternates: DataFrame) -> DataFrame:
 
 def first_targets(targets: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` targets per cluster, with a flag that more exist."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("cluster_id").orderBy("pos")
     ranked = targets.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap + 1)
     hit = F.max("n").over(Window.partitionBy("cluster_id")) > cap
@@ -193,21 +191,83 @@ def _label(df: DataFrame) -> Column:
     return F.coalesce("final_url", "requested_url")
 
 
-def cluster_findings(
-    members: DataFrame, edges: DataFrame, list_pairs_up_to: int | None = None
-) -> DataFrame:
-    """Reciprocity among fetched members of each cluster.
+#: Parts that members of a cluster are numbered in, and most targets that one row is exploded to.
+PARTS, RUN = 64, 10_000
+
+
+def _numbered(targets: DataFrame) -> DataFrame:
+    """targets + ``n``: a number from 0 within the cluster, in no particular order.
+
+    Counted in hashed parts with offsets, so a large cluster is not one task's work."""
+    part = F.pmod(F.xxhash64("other_id"), F.lit(PARTS))
+    rows = targets.withColumn("_part", part)
+    counts = rows.groupBy("cluster_id", "_part").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("cluster_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("cluster_id", "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("cluster_id", "_part").orderBy("other_id")) - 1
+    return rows.withColumn("_own", own).join(starts, ["cluster_id", "_part"]).withColumn("n", F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
+
+
+def deficit_groups(targets: DataFrame, returns: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who lacks which returns, without a row for each pair: (membership, lacking).
+
+    targets(cluster_id, other_id, ...) are what each member owes a return, returns(cluster_id,
+    member_id, other_id) who returns to whom, own page left out, short(cluster_id, member_id, ...) the members that
+    fall short.  Members that return to the same targets make a group, named by its smallest
+    member: membership is short + group_id, lacking is targets' rows + group_id for each target that
+    no member of the group returns to.  A pair is missing if its member's group lacks the target
+    and the target is not the member's own page; ``missing_pairs`` writes them out.
+
+    A group is known by the count and two sums of hashes of its targets.  What it lacks are the gaps
+    between the numbers of those it has, so work grows with the declared links and the result,
+    never with the square of a cluster."""
+    marked = returns.groupBy("cluster_id", "member_id").agg(
+        F.count("*").alias("_k"),
+        F.sum(F.xxhash64("other_id").cast("decimal(38,0)")).alias("_h"),
+        F.sum(F.xxhash64(F.lit("second"), "other_id").cast("decimal(38,0)")).alias("_g"),
+    )
+    zero = F.lit(0).cast("decimal(38,0)")
+    known = short.join(marked, ["cluster_id", "member_id"], "left").withColumns(
+        {"_k": F.coalesce("_k", F.lit(0)), "_h": F.coalesce("_h", zero), "_g": F.coalesce("_g", zero)}
+    )
+    groups = known.groupBy("cluster_id", "_k", "_h", "_g").agg(F.min("member_id").alias("group_id"))
+    groups = cut_lineage(groups, "groups")
+    membership = known.join(groups, ["cluster_id", "_k", "_h", "_g"]).drop("_k", "_h", "_g")
+    placed = cut_lineage(_numbered(targets), "targets")
+    sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    # What a group's smallest member returns to, and one place past the end.
+    named = groups.select("cluster_id", "group_id")
+    has = (
+        named.join(returns.withColumnRenamed("member_id", "group_id"), ["cluster_id", "group_id"])
+        .join(placed.select("cluster_id", "other_id", "n"), ["cluster_id", "other_id"])
+        .select("cluster_id", "group_id", "n")
+        .unionByName(named.join(sizes, "cluster_id"))
+    )
+    previous = F.coalesce(F.lag("n").over(Window.partitionBy("cluster_id", "group_id").orderBy("n")), F.lit(-1))
+    gaps = has.withColumn("low", previous + 1).filter("low < n")
+    runs = gaps.select("cluster_id", "group_id", "n", F.explode(F.sequence("low", F.col("n") - 1, F.lit(RUN).cast("long"))).alias("low"))
+    places = runs.select(
+        "cluster_id", "group_id", F.explode(F.sequence("low", F.least(F.col("n"), F.col("low") + RUN) - 1)).alias("n")
+    )
+    return membership, places.join(placed, ["cluster_id", "n"]).drop("n")
+
+
+def missing_pairs(membership: DataFrame, lacking: DataFrame) -> DataFrame:
+    """Every missing return as a row: for clusters that are small enough to be read that way."""
+    return membership.join(lacking, ["cluster_id", "group_id"]).filter("other_url <> requested_url")
+
+
+def cluster_findings(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reciprocity among fetched members of each cluster: (findings, membership, lacking).
 
     members(cluster_id, member_id, hreflang, requested_url, final_url) are the
     fetched ones; edges(cluster_id, member_id, hreflang, href) what each declares.
 
     A member must reference itself and every other member.  The members that
     *are* referenced come from one equi join of declarations with members; what
-    is missing is counted by comparing against the cluster's size, and only
-    members that fall short are expanded, against the members they lack.  So a
-    complete cluster of n members costs n rows of aggregate, not n² pairs.  Every
-    missing return is named, at every size; only if ``list_pairs_up_to`` is given, a
-    member that falls short in a larger cluster gets one row with their exact number."""
+    is missing is counted by comparing against the cluster's size.  A member that falls short has
+    one finding with the exact number and its deficit group; membership and lacking name every
+    missing return (``deficit_groups``), at every size."""
     # Both are read by every rule below, so they are stored normalised.
     normal = members.select(
         "cluster_id",
@@ -297,35 +357,22 @@ def cluster_findings(
             (F.col("owed") - F.coalesce("held", F.lit(0))).alias("lacking"),
         )
     )
-    others = m.filter("norm IS NOT NULL").select(
+    targets = m.filter("norm IS NOT NULL").select(
         "cluster_id",
         F.col("member_id").alias("other_id"),
         F.col("hreflang").alias("other_lang"),
         F.col("final_url").alias("other_final"),
         F.col("requested_url").alias("other_url"),
     )
-    missing_return = (
-        (short if list_pairs_up_to is None else short.filter(F.col("size") <= list_pairs_up_to))
-        .join(others, "cluster_id")
-        .filter("other_url <> requested_url")
-        .join(given, ["cluster_id", "member_id", "other_id"], "left_anti")
-        .select(
-            "cluster_id",
-            "member_id",
-            F.lit("hreflang-cluster-missing-return").alias("rule_id"),
-            "affected_url",
-            F.concat("other_lang", F.lit(" "), "other_final").alias("detail"),
-        )
+    membership, lacking = deficit_groups(targets, given, cut_lineage(short, "short"))
+    membership = cut_lineage(membership, "membership")
+    counted = membership.select(
+        "cluster_id",
+        "member_id",
+        F.lit("hreflang-cluster-missing-return").alias("rule_id"),
+        "affected_url",
+        F.concat(F.col("lacking").cast("string"), F.lit(" of "), F.col("owed").cast("string"), F.lit(" members, as "), F.col("group_id").cast("string")).alias("detail"),
     )
-    found = repeated.unionByName(invalid).unionByName(missing_self).unionByName(missing_return)
-    if list_pairs_up_to is not None:
-        counted_return = short.filter(F.col("size") > list_pairs_up_to).select(
-            "cluster_id",
-            "member_id",
-            F.lit("hreflang-cluster-missing-return").alias("rule_id"),
-            "affected_url",
-            F.concat(F.col("lacking").cast("string"), F.lit(" of "), F.col("owed").cast("string"), F.lit(" members")).alias("detail"),
-        )
-        found = found.unionByName(counted_return)
+    found = repeated.unionByName(invalid).unionByName(missing_self).unionByName(counted)
     severity = F.create_map(*[F.lit(x) for kv in CLUSTER_RULES.items() for x in kv])
-    return found.withColumn("severity", severity[F.col("rule_id")])
+    return found.withColumn("severity", severity[F.col("rule_id")]), membership, lacking

@@ -121,17 +121,36 @@ def test_cluster_reciprocity_against_brute_force(spark):
     declared = {(i, int(h[1:])) for _, i, h, _ in edges}
     want_self = {i for i in range(6) if (i, i) not in declared}
     want_return = {(i, j) for i in range(6) for j in range(6) if i != j and (i, j) not in declared}
-    rows = HL.cluster_findings(m, e).collect()
+    found, membership, lacking = HL.cluster_findings(m, e)
+    rows = found.collect()
     assert {r.member_id for r in rows if r.rule_id.endswith("self-ref")} == want_self
-    got = {(r.member_id, int(r.detail.split()[0][1:])) for r in rows if r.rule_id.endswith("missing-return")}
-    assert got == want_return
-    counted = HL.cluster_findings(m, e, list_pairs_up_to=3).filter("rule_id LIKE '%missing-return'").collect()
-    assert sum(int(r.detail.split()[0]) for r in counted) == len(want_return)
+    counts = {r.member_id: int(r.detail.split()[0]) for r in rows if r.rule_id.endswith("missing-return")}
+    assert counts == {i: n for i in range(6) if (n := sum(i == a for a, _ in want_return))}
+    assert {(r.member_id, r.other_id) for r in HL.missing_pairs(membership, lacking).collect()} == want_return
+
+
+MEMBERS = "cluster_id int, member_id int, hreflang string, requested_url string, final_url string"
 
 
 def test_large_clusters_name_their_missing_returns(spark):
     n = 1_010
-    m = spark.createDataFrame([(1, i, f"l{i}", f"https://s/{i}", f"https://s/{i}/") for i in range(n)], "cluster_id int, member_id int, hreflang string, requested_url string, final_url string")
+    m = spark.createDataFrame([(1, i, f"l{i}", f"https://s/{i}", f"https://s/{i}/") for i in range(n)], MEMBERS)
     e = m.crossJoin(m.selectExpr("member_id AS other", "hreflang AS l", "requested_url AS href")).filter("NOT (member_id = 3 AND other IN (7, 1009))")
-    rows = HL.cluster_findings(m, e.select("cluster_id", "member_id", F.col("l").alias("hreflang"), "href")).filter("rule_id LIKE '%missing%'").collect()
-    assert {(r.member_id, r.detail) for r in rows} == {(3, "l7 https://s/7/"), (3, "l1009 https://s/1009/")}
+    _, membership, lacking = HL.cluster_findings(m, e.select("cluster_id", "member_id", F.col("l").alias("hreflang"), "href"))
+    rows = HL.missing_pairs(membership, lacking).collect()
+    assert {(r.member_id, r.other_lang, r.other_final) for r in rows} == {(3, "l7", "https://s/7/"), (3, "l1009", "https://s/1009/")}
+    assert {r.other_id for r in lacking.collect()} == {3, 7, 1009}  # its own page is no pair
+
+
+def test_a_bad_template_needs_no_square_of_rows(spark):
+    """Each of 5 000 members declares itself and the same three others."""
+    n = 5_000
+    m = spark.range(n).selectExpr("1 AS cluster_id", "CAST(id AS INT) AS member_id", "concat('l', id) AS hreflang", "concat('https://s/', id) AS requested_url", "concat('https://s/', id, '/') AS final_url")
+    links = m.selectExpr("cluster_id", "member_id", "explode(array(member_id, 10, 20, 30)) AS other").distinct()
+    e = links.selectExpr("cluster_id", "member_id", "concat('l', other) AS hreflang", "concat('https://s/', other) AS href")
+    found, membership, lacking = HL.cluster_findings(m, e)
+    assert found.filter("rule_id LIKE '%missing-return'").count() == membership.count() == n
+    # The three are short of each other's company only: four groups in all.
+    assert lacking.count() == (n - 3) + 3 * (n - 2)
+    missing = HL.missing_pairs(membership, lacking).groupBy("member_id").count().collect()
+    assert {r["member_id"]: r["count"] for r in missing} == {i: n - 3 if i in (10, 20, 30) else n - 4 for i in range(n)}
