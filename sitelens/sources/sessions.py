@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions.expr import cached_columns
+from sitelens.functions.shapes import issues
 from sitelens.functions.urls import parse_url
+from sitelens.limits import DEFAULT_CAPTURE, CaptureLimits
+from sitelens.sources.session_shapes import session_shape
 
 # Fixed values.
 CURRENT_VERSION = 4
@@ -17,9 +21,6 @@ HISTORICAL_EVIDENCE_VERSION = 1
 HISTORICAL_NOTE = "Check selection was not recorded for this historical audit."
 MISSING_NOTE = "Check selection was not recorded for this audit."
 RAW_BODY_KEYS = ("bodyText", "rawBody", "responseBody", "htmlBody", "html", "body")
-SEVERITIES = ("info", "warning", "error", "critical")
-REQUIRED_TEXT = ("id", "createdAt", "updatedAt", "tabUrl", "finalUrl", "captureTime", "extensionVersion")
-REQUIRED_TIMES = ("createdAt", "updatedAt", "captureTime")
 
 SCHEMA = """
 schemaVersion INT, id STRING, createdAt STRING, updatedAt STRING, tabUrl STRING, finalUrl STRING,
@@ -36,40 +37,20 @@ reportMarkdown STRING, variantTestRun STRING, soft404ProbeRun STRING, _corrupt S
 """
 
 
-def _issues(s: Column) -> Column:
-    """Schema problems of a parsed session, as text."""
-    checks = [
-        F.when(s["_corrupt"].isNotNull(), "(root): not valid JSON"),
-        F.when(
-            ~F.coalesce(s["schemaVersion"].between(1, CURRENT_VERSION), F.lit(False)),
-            F.concat(F.lit("schemaVersion: unsupported "), F.coalesce(s["schemaVersion"].cast("string"), F.lit("(missing)"))),
-        ),
-        *[F.when(F.coalesce(s[n], F.lit("")) == "", f"{n}: required") for n in REQUIRED_TEXT],
-        *[
-            F.when((F.coalesce(s[n], F.lit("")) != "") & F.try_to_timestamp(s[n]).isNull(), f"{n}: not a date-time")
-            for n in REQUIRED_TIMES
-        ],
-        F.when(s["featureAvailability"].isNull(), "featureAvailability: required"),
-        F.when(
-            F.exists(
-                F.map_values(s["featureAvailability"]),
-                lambda v: ~F.coalesce(v.isin("true", "false", "unavailable"), F.lit(False)),
-            ),
-            "featureAvailability: unknown value",
-        ),
-        *[F.when(s[n].isNull(), f"{n}: required") for n in ("snapshots", "findings", "captureErrors")],
-        F.when(
-            F.exists(s["findings"], lambda f: ~F.coalesce(f["severity"].isin(*SEVERITIES), F.lit(False))),
-            "findings: unknown severity",
-        ),
-    ]
-    return F.filter(F.array(*checks), lambda i: i.isNotNull())
+@cached_columns
+def _issues(limits: CaptureLimits) -> Column:
+    """Where the document departs from the session's shape, as "path: what is wrong"."""
+    return issues(session_shape(limits), F.col("doc"))
+
 
+def parse(stored: DataFrame, limits: CaptureLimits = DEFAULT_CAPTURE) -> DataFrame:
+    """stored(session_id, raw) -> session_id, raw, s (typed), issues.
 
-def parse(stored: DataFrame) -> DataFrame:
-    """stored(session_id, raw) -> session_id, raw, s (typed), issues."""
+    Nested members are checked, too, DOM evidence by its source; texts and lists have no bounds unless
+    ``limits`` names them."""
     s = F.from_json("raw", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return stored.select("session_id", "raw", s.alias("s")).withColumn("issues", _issues(F.col("s")))
+    typed = stored.select("session_id", "raw", s.alias("s"), F.try_parse_json("raw").alias("doc"))
+    return typed.select("session_id", "raw", "s", _issues(limits).alias("issues"))
 
 
 def _note() -> Column:
@@ -132,9 +113,9 @@ def quarantined(parsed: DataFrame) -> DataFrame:
     )
 
 
-def load(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def load(stored: DataFrame, limits: CaptureLimits = DEFAULT_CAPTURE) -> tuple[DataFrame, DataFrame]:
     """Sessions in the current shape, and the quarantine."""
-    rows = parse(stored)
+    rows = parse(stored, limits)
     return migrated(rows), quarantined(rows)
 
 

@@ -26,24 +26,59 @@ def session(version=4, **changes):
     return json.dumps({k: v for k, v in doc.items() if v is not None})
 
 
-@pytest.mark.parametrize(
-    "raw,ok,note",
-    [
-        (session(1), True, S.HISTORICAL_NOTE),
-        (session(3), True, None),
-        (session(4, checkSelection=None), True, S.MISSING_NOTE),
-        (session(5), False, None),
-        (session(4, tabUrl=None), False, None),
-        (session(4, captureTime="yesterday"), False, None),
-        (session(4, featureAvailability={"a": "maybe"}), False, None),
-        ("{broken", False, None),
-    ],
-)
-def test_session_migration_and_quarantine(spark, raw, ok, note):
-    good, bad = S.load(spark.createDataFrame([("a", raw)], "session_id string, raw string"))
-    assert (good.count(), bad.count()) == ((1, 0) if ok else (0, 1))
-    if ok:
-        assert good.first().recording_note == note and good.first().schema_version == 4
+EVIDENCE = {"id": "e", "kind": "dom", "source": "title", "value": {"state": "present", "value": "T", "selector": "title"}, "capturedAt": "2026-01-01T00:00:00Z"}
+FINDING = {k: "x" for k in ("id", "ruleId", "category", "affectedUrl", "description", "recommendation", "sourceRef")} | {
+    "severity": "error", "evidenceIds": ["e"], "capturedAt": "2026-01-01T00:00:00Z"
+}
+
+
+def snapshot(value=None, historical=False, **changes):
+    applied = dict.fromkeys(("maxStringChars", "maxMetaItems", "maxAlternateItems", "maxJsonLdChars", "maxJsonLdScripts", "maxHeadingSamplesPerLevel"), 5)
+    limits = {"schemaVersion": 1, "applied": applied, "maxSnapshotChars": 5, "maxSessionChars": 5, "domEvidenceSchemaVersion": 1 if historical else 2}
+    row = EVIDENCE | ({} if value is None else {"value": value}) | changes
+    return [{"id": "s", "url": "u", "capturedAt": "2026-01-01T00:00:00.000Z", "evidence": [row], "captureLimits": limits}]
+
+
+def field(source, value):
+    return session(4, snapshots=snapshot({"state": "present", "value": value, "selector": "x"}, source=source))
+
+
+# raw -> the first issue, None if it is valid.
+SESSIONS = [
+    (session(1), None), (session(3), None), (session(4, checkSelection=None), None), (session(5), "schemaVersion: is none of the known values"),
+    (session(4, tabUrl=None), "tabUrl: is missing"), (session(4, tabUrl=""), "tabUrl: is empty"), (session(4, captureTime="yesterday"), "captureTime: is no date and time"),
+    (session(4, captureTime="2026-13-01T00:00:00Z"), "captureTime: is no date and time"),
+    (session(4, featureAvailability={"a": "maybe"}), "featureAvailability.a: is none of the known values"), (session(4, featureAvailability={"a": "unavailable"}), None),
+    ("{broken", "(root): is no JSON value"), ("[1]", "(root): is no object"), (session(4, findings={}), "findings: is no list"), (session(4, findings=[FINDING]), None),
+    (session(4, findings=[FINDING, FINDING | {"severity": "fatal"}]), "findings.1.severity: is none of the known values"),
+    (session(4, findings=[FINDING | {"evidenceIds": ["a", 5]}]), "findings.0.evidenceIds.1: is no text"),
+    (session(4, captureErrors=[{"id": "a"}]), "captureErrors.0.code: is missing"),
+    (session(4, snapshots=snapshot()), None), (session(4, snapshots=snapshot(["not", "a", "field"])), "snapshots.0.evidence.0.value: is no object"),
+    (session(4, snapshots=snapshot({"state": "present", "value": ["no"], "selector": "title"})), "snapshots.0.evidence.0.value.value: is no text"),
+    (session(4, snapshots=snapshot({"state": "present", "value": "T"})), "snapshots.0.evidence.0.value.selector: is missing"),
+    (session(4, snapshots=snapshot({"state": "odd"})), "snapshots.0.evidence.0.value.state: is none of the known values"),
+    (session(4, snapshots=snapshot({"state": "odd"}, historical=True)), None), (session(4, snapshots=snapshot({"state": "odd"}, kind="header")), None),
+    (session(4, snapshots=snapshot(source="document.title")), "snapshots.0.evidence.0.source: is no known source"),
+    (session(4, snapshots=snapshot({"state": "duplicate", "values": ["a", 1], "selectors": ["x"], "count": 2})), "snapshots.0.evidence.0.value.values.1: is no text"),
+    (session(4, snapshots=snapshot({"state": "duplicate", "values": [], "selectors": [], "count": 0})), "snapshots.0.evidence.0.value.count: is below 1"),
+    (field("link[rel=canonical]", {"href": "a", "absolute": "b"}), None), (field("link[rel=canonical]", {"href": "a"}), "snapshots.0.evidence.0.value.value.absolute: is missing"),
+    (field("img", {"total": 1.5, "withAlt": 0, "emptyAlt": 0, "missingAlt": 0, "inventory": []}), "snapshots.0.evidence.0.value.value.total: is no whole number"),
+    (field("img", {"total": 1, "withAlt": 1, "emptyAlt": 0, "missingAlt": 0, "inventory": [{"src": "", "alt": None, "altState": "?"}]}), "snapshots.0.evidence.0.value.value.inventory.0.altState: is none of the known values"),
+    (field("meta[property^=og:]", [{"key": "a", "content": "b"}, {"key": "a"}]), "snapshots.0.evidence.0.value.value.1.content: is missing"),
+    (session(4, snapshots=snapshot({"documentUrl": "u", "baseUri": 5}, source="document.URL")), "snapshots.0.evidence.0.value.baseUri: is no text"),
+    (session(4, checkSelection={"selectedCheckIds": ["x"], "skippedChecks": [{"checkId": "a"}]}), "checkSelection.skippedChecks.0.reason: is missing"),
+    (session(2, checkSelection={"selectedCheckIds": 5}), None), (session(4, variantTestRun=7), "variantTestRun: is no object"), (session(4, reportMarkdown=7), "reportMarkdown: is no text"),
+]
+
+
+def test_session_shapes_migration_and_quarantine(spark):
+    rows = [(str(k), raw) for k, (raw, _) in enumerate(SESSIONS)]
+    good, bad = S.load(spark.createDataFrame(rows, "session_id string, raw string"))
+    found = {int(r.session_id): r.reason.removeprefix("Schema validation failed: ").split(";")[0] for r in bad.collect()}
+    assert found == {k: issue for k, (_, issue) in enumerate(SESSIONS) if issue}
+    notes = {int(r.session_id): (r.recording_note, r.schema_version) for r in good.select("session_id", "recording_note", "schema_version").collect()}
+    assert set(notes) == {k for k, (_, issue) in enumerate(SESSIONS) if not issue}
+    assert (notes[0], notes[1], notes[2]) == ((S.HISTORICAL_NOTE, 4), (None, 4), (S.MISSING_NOTE, 4))
 
 
 @pytest.mark.parametrize(
