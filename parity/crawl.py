@@ -57,9 +57,9 @@ def robots_sitemaps(c):
 @query(
     "I1_robots_diagnostics",
     """SELECT * FROM (SELECT origin, line_number, CASE WHEN name IS NULL THEN t WHEN lower(name) = 'sitemap' THEN 'Sitemap' WHEN lower(name) = 'user-agent' THEN 'User-agent' ELSE name END AS directive,
- CASE WHEN name IS NULL THEN 'Line is not a valid directive (expected "name: value").' WHEN lower(name) NOT IN ('user-agent','allow','disallow','sitemap') THEN 'Unknown directive "' || name || '" was ignored.'
-  WHEN lower(name) = 'sitemap' AND value = '' THEN 'Sitemap directive has no URL value.' WHEN lower(name) = 'user-agent' AND value = '' THEN 'User-agent directive has no value.' END AS message FROM rline) d WHERE message IS NOT NULL
- UNION ALL SELECT origin, line_number, name, 'Path rule appeared before any User-agent; applied to User-agent: *.' FROM rdir WHERE implicit""",
+ CASE WHEN name IS NULL THEN 'Not of the form "name: value".' WHEN lower(name) NOT IN ('user-agent','allow','disallow','sitemap') THEN 'Passed over the unknown name "' || name || '".'
+  WHEN lower(name) = 'sitemap' AND value = '' THEN 'A sitemap line without a URL.' WHEN lower(name) = 'user-agent' AND value = '' THEN 'A user-agent line without a name.' END AS message FROM rline) d WHERE message IS NOT NULL
+ UNION ALL SELECT origin, line_number, name, 'A rule before the first user-agent line; it counts for every agent.' FROM rdir WHERE implicit""",
 )
 def robots_diagnostics(c):
     return R.robots_diagnostics(robots(c))
@@ -119,8 +119,8 @@ CTES["smx"] = """SELECT *, regexp_extract_all(body, '&(#x?[0-9a-fA-F]+|[a-zA-Z][
 CTES["smp"] = """SELECT root_url, file_url, body, CASE WHEN fetch_error IS NOT NULL THEN 'sitemap-fetch-failed' WHEN status <> 200 THEN 'sitemap-fetch-non-200' WHEN truncated THEN 'sitemap-fetch-oversized'
   WHEN trim(body) = '' THEN 'sitemap-fetch-empty' WHEN regexp_matches(body, '(?i)<!DOCTYPE') OR len(list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos'))) > 0
   OR NOT regexp_matches(body, '</(urlset|sitemapindex)>\\s*$') THEN 'sitemap-parse-failed' END AS error_code,
-  CASE WHEN regexp_matches(body, '(?i)<!DOCTYPE') THEN 'DOCTYPE declarations are not allowed in sitemap XML.' WHEN len(list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos'))) > 0
-   THEN 'Unsafe XML entity "&' || list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos'))[1] || ';" is not allowed (no DTD / entity expansion).' ELSE 'Malformed sitemap XML' END AS why,
+  CASE WHEN regexp_matches(body, '(?i)<!DOCTYPE') THEN 'A sitemap must not declare a DOCTYPE.' WHEN len(list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos'))) > 0
+   THEN 'The entity "&' || list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos'))[1] || ';" is none of the five that need no declaration.' ELSE 'The XML is not well-formed' END AS why,
   CASE WHEN body LIKE '%<urlset%' THEN 'urlset' ELSE 'sitemapindex' END AS root FROM smx"""
 UNX = "replace(replace(replace(regexp_extract(item, '(?s)<loc>(.*?)</loc>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 CTES["smentry"] = f"""SELECT *, row_number() OVER (PARTITION BY root_url, file_url, loc ORDER BY pos) - 1 AS copy FROM (SELECT root_url, file_url, pos, item, {trim(UNX)} AS loc,
@@ -180,8 +180,8 @@ def sitemap_children(c):
 
 @query(
     "I2_sitemap_diagnostics",
-    """SELECT file_url, message, count(*) AS n FROM (SELECT file_url, 'Duplicate <loc> ' || loc || '; first entry retained.' AS message FROM smentry WHERE copy > 0
- UNION ALL SELECT file_url, CASE WHEN root = 'urlset' THEN 'url entry missing <loc>.' ELSE 'sitemapindex entry missing <loc>.' END FROM (SELECT file_url, root, unnest(regexp_extract_all(body, '(?s)<(?:url|sitemap)>.*?</(?:url|sitemap)>')) AS item FROM smp WHERE error_code IS NULL) u WHERE item NOT LIKE '%<loc>%') d GROUP BY ALL""",
+    """SELECT file_url, message, count(*) AS n FROM (SELECT file_url, 'Listed again: ' || loc || ' (the first counts)' AS message FROM smentry WHERE copy > 0
+ UNION ALL SELECT file_url, CASE WHEN root = 'urlset' THEN 'A page without a location.' ELSE 'A sitemap without a location.' END FROM (SELECT file_url, root, unnest(regexp_extract_all(body, '(?s)<(?:url|sitemap)>.*?</(?:url|sitemap)>')) AS item FROM smp WHERE error_code IS NULL) u WHERE item NOT LIKE '%<loc>%') d GROUP BY ALL""",
 )
 def sitemap_diagnostics(c):
     return S.file_diagnostics(parsed(c))
@@ -199,8 +199,8 @@ def sitemap_alternates(c):
 
 @query(
     "H25_sitemap_xml_safety",
-    """SELECT file_url, CASE WHEN regexp_matches(body, '(?i)<!DOCTYPE') THEN 'DOCTYPE declarations are not allowed in sitemap XML.'
-  WHEN len(bad) > 0 THEN 'Unsafe XML entity "&' || bad[1] || ';" is not allowed (no DTD / entity expansion).' END AS error
+    """SELECT file_url, CASE WHEN regexp_matches(body, '(?i)<!DOCTYPE') THEN 'A sitemap must not declare a DOCTYPE.'
+  WHEN len(bad) > 0 THEN 'The entity "&' || bad[1] || ';" is none of the five that need no declaration.' END AS error
  FROM (SELECT file_url, body, list_filter(ents, lambda e: e[1] <> '#' AND e NOT IN ('amp','lt','gt','quot','apos')) AS bad FROM smx) t""",
 )
 def xml_safety(c):

@@ -191,7 +191,7 @@ def probe_check(c):
 
 @query(
     "B14_url_eligibility",
-    f"""SELECT page_id, pos, coalesce({http('abs')} AND abs_host <> '', false) AS eligible, CASE WHEN abs_href IS NULL THEN 'The active tab URL could not be parsed.' WHEN NOT ({http('abs')}) THEN 'Unsupported URL scheme “' || abs_scheme || ':”. Only http and https pages can be audited.' END AS reason
+    f"""SELECT page_id, pos, coalesce({http('abs')} AND abs_host <> '', false) AS eligible, CASE WHEN abs_href IS NULL THEN 'The URL is not readable.' WHEN NOT ({http('abs')}) THEN 'The scheme “' || abs_scheme || ':” is out of scope; only http and https are audited.' END AS reason
   FROM (SELECT * FROM anchor WHERE abs_href IS NOT NULL) a""",
 )
 def eligibility(c):

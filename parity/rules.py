@@ -246,8 +246,8 @@ def page_summary(c):
 
 @query(
     "D2_indexability_status",
-    """SELECT b.page_id, CASE WHEN NOT h AND NOT r THEN 'unknown' ELSE 'signals-partial' END AS status, CASE WHEN NOT h AND NOT r THEN 'Response headers and robots.txt were not captured; crawl and index signals cannot be reconciled.'
- WHEN k.blocking IS NOT NULL THEN 'Observed blocking crawl/index signals (' || k.blocking || ').' WHEN h OR r OR m THEN 'Captured sources were reconciled; no blocking signal was observed.' ELSE 'Partial captures exist, but reconciliation evidence is incomplete.' END AS reason FROM base b LEFT JOIN blk k USING (page_id)""",
+    """SELECT b.page_id, CASE WHEN NOT h AND NOT r THEN 'unknown' ELSE 'signals-partial' END AS status, CASE WHEN NOT h AND NOT r THEN 'Neither response headers nor robots.txt are at hand, so nothing can be compared.'
+ WHEN k.blocking IS NOT NULL THEN 'These stand against crawling or indexing (' || k.blocking || ').' WHEN h OR r OR m THEN 'All captured sources agree that nothing blocks.' ELSE 'Some evidence was captured, too little to compare.' END AS reason FROM base b LEFT JOIN blk k USING (page_id)""",
 )
 def indexability_status(c):
     return full(c).summary.select("page_id", "indexability.status", "indexability.reason")
@@ -255,10 +255,11 @@ def indexability_status(c):
 
 @query(
     "D3_capture_notes",
-    """SELECT page_id, n AS notes FROM (SELECT page_id, (CASE WHEN h THEN 0 ELSE 1 END) + (CASE WHEN r THEN 0 ELSE 1 END) + (CASE WHEN m THEN 0 ELSE 1 END) AS n FROM base) x""",
+    """SELECT page_id, concat_ws('|', CASE WHEN NOT h THEN 'Without response headers their signals are not compared.' END, CASE WHEN NOT r THEN 'Without robots.txt its rules are not compared.' END,
+ CASE WHEN NOT m THEN 'sitemap-membership was not captured, so listed but blocked pages were left out.' END) AS notes FROM base""",
 )
-def capture_note_counts(c):
-    return full(c).summary.select("page_id", F.size("capture_notes").alias("notes"))
+def capture_notes(c):
+    return full(c).summary.select("page_id", F.array_join("capture_notes", "|").alias("notes"))
 
 
 HOST = "regexp_extract(url, '^https?://([^/?#:]+)', 1)"
@@ -328,11 +329,12 @@ SOME = ("title-length-advisory", "indexability-robots-blocked", "indexability-re
 
 @query(
     "G3_skipped_checks",
-    f"SELECT page_id, check_id, CASE WHEN check_id = 'not-a-check' THEN 'Check is not registered in this version.' ELSE 'Not selected in the audit wizard.' END AS reason FROM (SELECT page_id, check_id FROM avail UNION ALL SELECT page_id, 'not-a-check' FROM have) a WHERE check_id NOT IN {in_list(SOME[:3])}",
+    f"""SELECT page_id, check_id, CASE WHEN check_id = 'not-a-check' THEN 'No check of this name.' ELSE 'Left out by choice.' END AS reason FROM (SELECT page_id, check_id FROM avail UNION ALL SELECT page_id, 'not-a-check' FROM have) a WHERE check_id NOT IN {in_list(SOME[:3])}
+ UNION ALL SELECT page_id, 'indexability-robots-blocked', 'Not captured: robots-evaluation.' FROM have WHERE NOT rob
+ UNION ALL SELECT page_id, 'indexability-redirect-anomaly', 'Not captured: browser-navigation.' FROM have WHERE NOT nav""",
 )
 def skipped_checks(c):
-    rows = C.selection(evidence(c), SOME).filter("NOT selected").select("page_id", "check_id", "reason")
-    return rows.filter(~F.col("reason").startswith("Required"))
+    return C.selection(evidence(c), SOME).filter("NOT selected").select("page_id", "check_id", "reason")
 
 
 @query("J24_check_selection", "SELECT page_id, check_id, ok AS selected FROM avail")

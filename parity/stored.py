@@ -44,10 +44,13 @@ def bounding(c):
     """SELECT page_id, source, omitted FROM (SELECT page_id, 'a[href]' AS source, total - 3 AS omitted FROM f_links WHERE total > 3 UNION ALL SELECT page_id, 'img', total - 1 FROM f_images WHERE total > 1
  UNION ALL SELECT page_id, 'meta[name=description]', n - 1 FROM f_description WHERE n > 1 UNION ALL SELECT page_id, 'link[rel=canonical]', n - 1 FROM f_canonical WHERE n > 1
  UNION ALL SELECT page_id, 'meta[name=robots|googlebot]', n - 1 FROM f_robots WHERE n > 1 UNION ALL SELECT page_id, 'link[rel=alternate][hreflang]', count(*) - 1 FROM rel WHERE rel = 'alternate' GROUP BY page_id HAVING count(*) > 1
- UNION ALL SELECT page_id, 'script[type=application/ld+json]', count(*) - 1 FROM script GROUP BY page_id HAVING count(*) > 1) x""",
+ UNION ALL SELECT page_id, 'script[type=application/ld+json]', count(*) - 1 FROM script GROUP BY page_id HAVING count(*) > 1
+ UNION ALL SELECT page_id, 'title', n - 1 FROM f_title WHERE n > 1 UNION ALL SELECT page_id, 'meta[name=viewport]', n - 1 FROM f_viewport WHERE n > 1
+ UNION ALL SELECT page_id, 'meta[property^=og:]', count(*) - 1 FROM meta WHERE lower(prop) LIKE 'og:%' GROUP BY page_id HAVING count(*) > 1
+ UNION ALL SELECT page_id, 'meta[name^=twitter:]', count(*) - 1 FROM meta WHERE name LIKE 'twitter:%' GROUP BY page_id HAVING count(*) > 1) x""",
 )
 def capture_limits(c):
-    return E.capture_limits(tight(c)).filter("omitted_count > 0 AND source NOT IN ('title','meta[property^=og:]')").select(
+    return E.capture_limits(tight(c)).filter("omitted_count > 0").select(
         "page_id", "source", F.col("omitted_count").alias("omitted")
     )
 
@@ -145,7 +148,7 @@ def _compact(expr: str) -> str:
     return f"CASE WHEN length({t}) > 480 THEN left({t}, 479) || '…' ELSE coalesce(nullif({t}, ''), '(empty)') END"
 
 
-_sum = "CASE state WHEN 'absent' THEN '(absent)' WHEN 'empty' THEN '(empty)' WHEN 'malformed' THEN 'Not captured — malformed: Invalid URL' WHEN 'duplicate' THEN n || ' captured values' ELSE {0} END"
+_sum = "CASE state WHEN 'absent' THEN '(absent)' WHEN 'empty' THEN '(empty)' WHEN 'malformed' THEN 'Malformed: Invalid URL' WHEN 'duplicate' THEN n || ' values' ELSE {0} END"
 
 
 @query(
@@ -174,7 +177,7 @@ def finding_id(c):
 
 @query(
     "C8_finding_evidence",
-    """SELECT f.page_id, f.finding_id, f.pos, coalesce(e.source, f.ev1) AS source, CASE WHEN e.source IS NULL THEN 'Not captured — referenced evidence is missing from this session.' ELSE e.state END AS summary FROM
+    """SELECT f.page_id, f.finding_id, f.pos, coalesce(e.source, f.ev1) AS source, CASE WHEN e.source IS NULL THEN 'The evidence it names is not in this session.' ELSE e.state END AS summary FROM
  (SELECT page_id, finding_id, unnest(range(len(l))) AS pos, unnest(l) AS ev1 FROM (SELECT page_id, finding_id, string_split(ev, '|') AS l FROM finding) a) f LEFT JOIN evrow e ON e.page_id = f.page_id AND e.evidence_id = f.ev1""",
 )
 def finding_evidence(c):
@@ -235,7 +238,7 @@ CTES["ses_issue"] = """SELECT session_id, unnest(list_filter([
   CASE WHEN page_id % 31 = 15 AND v >= 3 AND page_id % 6 <> 2 THEN 'checkSelection.skippedChecks.0.reason: is missing' END] END, lambda x: x IS NOT NULL)) AS issue
  FROM (SELECT *, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON)->>'schemaVersion' END::INT AS v FROM stored_sessions) x"""
 CTES["ses"] = """SELECT session_id, page_id, raw, v, session_id NOT IN (SELECT session_id FROM ses_issue) AS ok, j->>'tabUrl' AS tab_url, j->>'finalUrl' AS final_url, j->>'captureTime' AS capture_time, j->>'updatedAt' AS updated_at, j->>'extensionVersion' AS extension_version,
-  CASE WHEN v <= 2 THEN 'Check selection was not recorded for this historical audit.' WHEN json_type(j, '$.checkSelection') IS NULL THEN 'Check selection was not recorded for this audit.' END AS note, coalesce(j->>'reportMarkdown', '') AS report, CAST(j->>'$.snapshots[1].captureLimits.domEvidenceSchemaVersion' AS INT) AS dv
+  CASE WHEN v <= 2 THEN 'Made before checks were recorded.' WHEN json_type(j, '$.checkSelection') IS NULL THEN 'There is no record of the checks.' END AS note, coalesce(j->>'reportMarkdown', '') AS report, CAST(j->>'$.snapshots[1].captureLimits.domEvidenceSchemaVersion' AS INT) AS dv
   FROM (SELECT *, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON)->>'schemaVersion' END::INT AS v FROM stored_sessions) x"""
 
 
@@ -331,16 +334,16 @@ def latest_snapshot(c):
     return SS.latest_snapshot(sessions(c)).select("session_id", F.col("snapshot.id").alias("snapshot_id"), F.size("snapshot.evidence").alias("evidence_rows"))
 
 
-_f = lambda rule, sev, cat, desc, ev: f"'### {rule}' || chr(10) || chr(10) || '**Severity:** {sev}  ' || chr(10) || '**Category:** {cat}  ' || chr(10) || '**Affected URL:** ' || tab_url || chr(10) || chr(10) || '{desc}' || chr(10) || chr(10) || '**Evidence**' || chr(10) || {ev} || chr(10) || chr(10) || '**Recommendation:** r' || chr(10) || chr(10) || '[Source / best practice](x)' || chr(10) || chr(10)"
+_f = lambda rule, sev, cat, desc, ev: f"'### {rule}' || chr(10) || chr(10) || '**Severity:** {sev}  ' || chr(10) || '**Category:** {cat}  ' || chr(10) || '**URL:** ' || tab_url || chr(10) || chr(10) || '{desc}' || chr(10) || chr(10) || '**Evidence**' || chr(10) || {ev} || chr(10) || chr(10) || '**Advice:** r' || chr(10) || chr(10) || '[Background](x)' || chr(10) || chr(10)"
 _nl = " || chr(10) || "
-_facts = _nl.join([f"'| {label} | ' || {'''concat('T', page_id)''' if s == 'title' else q('Not captured for this audit.')} || ' | {s.replace('|', ' ')} |'" for s, label in (*E.REPORT_FACTS, ("capture.limits", "Capture limits"))])
+_facts = _nl.join([f"'| {label} | ' || {'''concat('T', page_id)''' if s == 'title' else q('Not part of this audit.')} || ' | {s.replace('|', ' ')} |'" for s, label in (*E.REPORT_FACTS, ("capture.limits", "Capture limits"))])
 MARKDOWN = _nl.join(
-    [q(x) for x in ("# SEO Audit Report", "", "## Audit details", "", "| Field | Value | Source |", "| --- | --- | --- |")]
-    + ["'| Target URL | ' || tab_url || ' | chrome.tabs |'", "'| Final URL | ' || final_url || ' | captured document |'", "'| Captured | ' || capture_time || ' | audit session |'", "'| Extension version | ' || extension_version || ' | manifest |'"]
-    + [q(x) for x in ("", "## Checks run and skipped", "", "- **Dom Collector: ran** — Captured evidence is included in this report.", "- **Header Capture: skipped** — Not captured for this audit; no conclusion was inferred.", "- **Robots Fetch: skipped** — Not captured for this audit; no conclusion was inferred.", "", "## Findings summary", "", "- critical: 0", "- error: 1", "- warning: 0", "- info: 1", "", "| Category | Findings |", "| --- | ---: |", "| indexability | 1 |", "| metadata | 1 |", "", "## Page facts", "", "| Fact | Value | Source |", "| --- | --- | --- |")]
+    [q(x) for x in ("# Page audit", "", "## Session", "", "| Field | Value | Source |", "| --- | --- | --- |")]
+    + ["'| Tab URL | ' || tab_url || ' | tab |'", "'| Final URL | ' || final_url || ' | document |'", "'| Captured | ' || capture_time || ' | session |'", "'| Version | ' || extension_version || ' | build |'"]
+    + [q(x) for x in ("", "## What was captured", "", "- **Dom Collector: captured**", "- **Header Capture: not captured, so nothing follows from it**", "- **Robots Fetch: not captured, so nothing follows from it**", "", "## Findings by severity", "", "- critical: 0", "- error: 1", "- warning: 0", "- info: 1", "", "| Category | Findings |", "| --- | ---: |", "| indexability | 1 |", "| metadata | 1 |", "", "## Facts", "", "| Fact | Value | Source |", "| --- | --- | --- |")]
     + [_facts]
-    + [q(x) for x in ("", "## Capture issues", "", "- **headerCapture:** c1: none", "", "## Findings", "")]
-) + _nl + _f("canonical-multiple", "error", "indexability", "d | e", "'- **canonical-0:** Not captured — referenced evidence is missing from this session.'") + " || " + _f("title-length", "info", "metadata", "d", "'- **title:** {\"selector\":\"title\",\"state\":\"present\",\"value\":\"T' || page_id || '\"}'") + " || '## Analyst notes' || chr(10) || chr(10) || CASE WHEN trim(report) = '' THEN 'No analyst notes recorded.' ELSE trim(report) END"
+    + [q(x) for x in ("", "## Problems while capturing", "", "- **headerCapture:** c1: none", "", "## Findings", "")]
+) + _nl + _f("canonical-multiple", "error", "indexability", "d | e", "'- **canonical-0:** The evidence it names is not in this session.'") + " || " + _f("title-length", "info", "metadata", "d", "'- **title:** {\"selector\":\"title\",\"state\":\"present\",\"value\":\"T' || page_id || '\"}'") + " || '## Notes' || chr(10) || chr(10) || CASE WHEN trim(report) = '' THEN 'No notes.' ELSE trim(report) END"
 
 
 @query("A14_markdown_report", f"SELECT session_id, {MARKDOWN} AS document FROM ses WHERE ok")

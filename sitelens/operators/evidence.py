@@ -270,14 +270,14 @@ def field_summary(source: str, f: Column) -> Column:
     """One line that says what a field held, or that it was not captured."""
     clipped = f["limits"]["reason"]
     return (
-        F.when(f.isNull(), "Not captured for this audit.")
+        F.when(f.isNull(), "Not part of this audit.")
         .when(f["state"] == "absent", "(absent)")
         .when(f["state"] == "empty", "(empty)")
-        .when(f["state"] == "inaccessible", F.concat(F.lit("Not captured — "), f["detail"]))
-        .when(f["state"] == "malformed", F.concat(F.lit("Not captured — malformed: "), f["detail"]))
+        .when(f["state"] == "inaccessible", F.concat(F.lit("Unreadable: "), f["detail"]))
+        .when(f["state"] == "malformed", F.concat(F.lit("Malformed: "), f["detail"]))
         .when(
             f["state"] == "duplicate",
-            F.concat(f["count"].cast("string"), F.lit(" captured values"), F.coalesce(F.concat(F.lit("; truncated: "), clipped), F.lit(""))),
+            F.concat(f["count"].cast("string"), F.lit(" values"), F.coalesce(F.concat(F.lit("; cut: "), clipped), F.lit(""))),
         )
         .otherwise(
             F.concat(
@@ -320,7 +320,7 @@ def finding_evidence(findings: DataFrame, evidence: DataFrame) -> DataFrame:
         F.coalesce("source", "evidence_id").alias("source"),
         F.when(
             F.col("source").isNull() & F.col("evidence_id").isNotNull(),
-            "Not captured — referenced evidence is missing from this session.",
+            "The evidence it names is not in this session.",
         )
         .otherwise(F.col("state"))
         .alias("summary"),

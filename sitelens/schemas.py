@@ -27,11 +27,15 @@ FETCHES = T.StructType(
         T.StructField("requested_url", T.StringType()),
         T.StructField("final_url", T.StringType()),
         T.StructField("status", T.IntegerType()),
+        T.StructField("location", T.StringType()),
+        T.StructField("hop_count", T.IntegerType()),
+        T.StructField("content_type", T.StringType()),
+        T.StructField("expect_mime", T.StringType()),
+        T.StructField("logged_error", T.StringType()),
         T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
         T.StructField("redirect_hops", T.ArrayType(HOP)),
         T.StructField("body_bytes", T.IntegerType()),
         T.StructField("truncated", T.BooleanType()),
-        T.StructField("error_code", T.StringType()),
         T.StructField("fetched_at", T.TimestampType()),
     ]
 )
@@ -58,12 +62,24 @@ SITEMAP_FILES = T.StructType(
     ]
 )
 
+HOPS = T.StructType(
+    [
+        T.StructField("page_id", T.LongType()),
+        T.StructField("pos", T.IntegerType()),
+        *HOP.fields,
+        T.StructField("observed_at", T.TimestampType()),
+    ]
+)
+
 NAVIGATIONS = T.StructType(
     [
+        T.StructField("page_id", T.LongType()),
         T.StructField("tab_id", T.LongType()),
         T.StructField("requested_url", T.StringType()),
         T.StructField("final_url", T.StringType()),
         T.StructField("status_code", T.IntegerType()),
+        T.StructField("content_type", T.StringType()),
+        T.StructField("x_robots_tag", T.StringType()),
         T.StructField("redirect_hops", T.ArrayType(HOP)),
         T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
         T.StructField("observed_at", T.TimestampType()),

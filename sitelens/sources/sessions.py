@@ -18,8 +18,8 @@ from sitelens.sources.session_shapes import session_shape
 CURRENT_VERSION = 4
 DOM_EVIDENCE_VERSION = 2
 HISTORICAL_EVIDENCE_VERSION = 1
-HISTORICAL_NOTE = "Check selection was not recorded for this historical audit."
-MISSING_NOTE = "Check selection was not recorded for this audit."
+HISTORICAL_NOTE = "Made before checks were recorded."
+MISSING_NOTE = "There is no record of the checks."
 RAW_BODY_KEYS = ("bodyText", "rawBody", "responseBody", "htmlBody", "html", "body")
 
 SCHEMA = """

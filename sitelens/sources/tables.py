@@ -28,6 +28,10 @@ def sitemap_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return read(spark, path, schemas.SITEMAP_FILES, fmt)
 
 
+def hops(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return read(spark, path, schemas.HOPS, fmt)
+
+
 def navigations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return read(spark, path, schemas.NAVIGATIONS, fmt)
 

@@ -137,7 +137,7 @@ def test_large_files_are_cut_and_keep_their_order(spark):
     assert p.where("error_code IS NULL").count() == 6
     rows = M.file_entries(p).orderBy("pos").collect()
     assert [(r.pos, r.loc, r.lastmod) for r in rows] == [(k, f"https://s.test/{k}", "</url>") for k in range(n)]
-    assert {r.error for r in p.where("file_url LIKE '%bad%'").collect()} == {"Malformed sitemap XML"}
+    assert {r.error for r in p.where("file_url LIKE '%bad%'").collect()} == {"The XML is not well-formed"}
     small = M.parse_files(sitemap(spark, [(SITE + "/sitemap.xml", xml)]), SitemapLimits(body_bytes=1_000_000))
     assert {r.error_code for r in small.collect()} == {"sitemap-fetch-oversized"}
 
