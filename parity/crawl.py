@@ -14,10 +14,10 @@ from sitelens.session import cut_lineage
 
 HTML_BODY = "regexp_matches(body, '(?i)^\\s*(?:<!doctype html|<html)')"
 CTES["robots_ok"] = f"""SELECT *, CASE WHEN fetch_error IS NOT NULL THEN 'robots-fetch-failed' WHEN status <> 200 THEN 'robots-fetch-non-200'
- WHEN truncated OR strlen(body) > 512000 THEN 'robots-fetch-oversized' WHEN lower(trim(split_part(content_type, ';', 1))) = 'text/html' OR {HTML_BODY} THEN 'robots-fetch-html' END AS error_code FROM robots_files"""
+ WHEN truncated THEN 'robots-fetch-oversized' WHEN lower(trim(split_part(content_type, ';', 1))) = 'text/html' OR {HTML_BODY} THEN 'robots-fetch-html' END AS error_code FROM robots_files"""
 CTES["rline"] = f"""SELECT origin, n AS line_number, t, CASE WHEN regexp_matches(t, '^[^:]*[^:\\s][^:]*:') THEN trim(split_part(t, ':', 1)) END AS name,
  {trim("substring(t, position(':' IN t) + 1)")} AS value FROM (SELECT origin, n, {trim("regexp_replace(line, '(?s)#.*$', '')")} AS t FROM
- (SELECT origin, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM (SELECT origin, string_split_regex(body, '\\r?\\n') AS l FROM robots_ok WHERE error_code IS NULL) a) b WHERE n <= 10000) c WHERE t <> ''"""
+ (SELECT origin, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM (SELECT origin, string_split_regex(body, '\\r?\\n') AS l FROM robots_ok WHERE error_code IS NULL) a) b) c WHERE t <> ''"""
 CTES["rdir"] = """SELECT *, sum(opens) OVER (PARTITION BY origin ORDER BY line_number) - 1 AS group_no FROM (
  SELECT origin, line_number, name, value, lower(name) AS kind, CASE WHEN prev IS NULL OR (lower(name) = 'user-agent' AND prev <> 'user-agent') THEN 1 ELSE 0 END AS opens, prev IS NULL AND lower(name) <> 'user-agent' AS implicit
  FROM (SELECT *, lag(lower(name)) OVER (PARTITION BY origin ORDER BY line_number) AS prev FROM rline WHERE lower(name) IN ('allow','disallow') OR (lower(name) = 'user-agent' AND value <> '')) a) b"""

@@ -6,8 +6,7 @@ the stored meta texts, alternates and JSON-LD, so these are whole unless a limit
 is asked for; heading samples, inventories and URLs of display are bounded.
 Links, images, counts, text hashes and similarity always use the whole page.
 
-Limits of robots files, sitemaps and redirects are on: what is past them is lost
-to the checks.
+Limits of robots files and sitemaps are off unless asked for.
 """
 
 from __future__ import annotations
@@ -45,8 +44,10 @@ class NetworkLimits:
 
 @dataclass(frozen=True)
 class RobotsLimits:
-    body_bytes: int = 512_000
-    lines: int = 10_000
+    """Off unless asked for: a larger body is refused, further lines are passed over with a diagnostic."""
+
+    body_bytes: int | None = None
+    lines: int | None = None
 
 
 @dataclass(frozen=True)

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.functions.expr import browser_trim, let
+from sitelens.functions.expr import browser_trim
 from sitelens.functions.headers import looks_like_html
 from sitelens.functions.urls import parse_url
 from sitelens.limits import DEFAULT_ROBOTS, RobotsLimits
+from sitelens.session import cut_lineage
 
 # Fixed values.
 PROFILES = ("Googlebot", "*")
@@ -22,9 +23,9 @@ KNOWN_DIRECTIVES = ("user-agent", "allow", "disallow", "sitemap")
 
 def admission_error(limits: RobotsLimits = DEFAULT_ROBOTS) -> Column:
     """Why a captured robots.txt may not be parsed; NULL when it may."""
-    too_big = F.coalesce(F.col("truncated"), F.lit(False)) | (
-        F.octet_length(F.coalesce(F.col("body"), F.lit(""))) > limits.body_bytes
-    )
+    too_big = F.coalesce(F.col("truncated"), F.lit(False))
+    if limits.body_bytes is not None:
+        too_big = too_big | (F.octet_length(F.coalesce(F.col("body"), F.lit(""))) > limits.body_bytes)
     return (
         F.when(F.col("fetch_error").isNotNull(), "robots-fetch-failed")
         .when(~F.col("status").eqNullSafe(200), "robots-fetch-non-200")
@@ -46,7 +47,9 @@ def robots_lines(robots_files: DataFrame, limits: RobotsLimits = DEFAULT_ROBOTS)
     ok = admit(robots_files, limits).filter(F.col("error_code").isNull())
     lines = ok.select(
         "origin", F.posexplode(F.split(F.coalesce("body", F.lit("")), "\r?\n")).alias("i", "line")
-    ).filter(F.col("i") < limits.lines)
+    )
+    if limits.lines is not None:
+        lines = lines.filter(F.col("i") < limits.lines)
     text = browser_trim(F.regexp_replace("line", "(?s)#.*$", ""))
     parsed = lines.select("origin", (F.col("i") + 1).alias("line_number"), text.alias("text")).filter(
         "text <> ''"
@@ -148,6 +151,8 @@ def robots_diagnostics(
             ),
         )
     )
+    if limits.lines is None:
+        return by_line.unionByName(early)
     admitted = admit(robots_files, limits).filter("error_code IS NULL")
     long_files = admitted.filter(F.size(F.split("body", "\r?\n")) > limits.lines).select(
         "origin",
@@ -187,43 +192,54 @@ def select_groups(agents: DataFrame) -> DataFrame:
     )
 
 
-def compiled_rules(
+COLUMNS = ("googlebot", "generic")
+
+
+def rule_index(
     robots_files: DataFrame, limits: RobotsLimits = DEFAULT_ROBOTS, compat: bool = False
-) -> DataFrame:
-    """One row per admitted origin: profile -> {group chosen?, rules as an array}.
+) -> tuple[DataFrame, DataFrame]:
+    """The rules of the groups that apply, by their literal heads: (origins, index).
 
-    The rules of the chosen group travel as one array per origin, bounded by
-    the admission byte limit, so evaluating pages is an equi join on origin
-    followed by a map-side array search: no pages × rules blow-up and no
-    window over the pages of an origin.  ``compat`` keeps empty patterns, which
-    match every path; the robots standard ignores them."""
+    index(origin, head, profile, rule): a rule is found by the text before its first wildcard, which
+    a path must begin with.  origins(origin, googlebot, generic, sizes): which profiles have a group,
+    and the lengths of the heads there are.  ``compat`` keeps empty patterns, which match every
+    path; the robots standard ignores them."""
     groups = robots_groups(robots_files, limits)
-    chosen = select_groups(robots_agents(groups))
+    chosen = cut_lineage(select_groups(robots_agents(groups)), "groups")
     rules = robots_rules(groups)
     if not compat:
         rules = rules.filter("pattern <> ''")
-    picked = chosen.join(rules, ["origin", "group_no"], "left")
     rule = F.struct(
         (-F.length("pattern")).alias("rank"),
         F.when(F.col("kind") == "allow", 0).otherwise(1).alias("is_block"),
         "line_number",
         "kind",
         "pattern",
-        F.regexp_extract("pattern", r"(?s)^([^*$]*)", 1).alias("prefix"),
         F.col("pattern").rlike(r"[*$]").alias("wild"),
         path_regex(F.col("pattern")).alias("regex"),
     )
-    per_profile = picked.groupBy("origin", "profile").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pattern").isNotNull(), rule))).alias("rules")
-    )
-    per_origin = per_profile.groupBy("origin").agg(
-        *[
-            F.max(F.when(F.col("profile") == p, F.struct(F.lit(True).alias("found"), "rules"))).alias(n)
-            for p, n in zip(PROFILES, ("googlebot", "generic"))
-        ]
-    )
+    head = F.regexp_extract("pattern", r"(?s)^([^*$]*)", 1)
+    index = cut_lineage(chosen.join(rules, ["origin", "group_no"]).select("origin", head.alias("head"), "profile", rule.alias("rule")), "rules")
+    sizes = index.groupBy("origin").agg(F.collect_set(F.length("head")).alias("sizes"))
+    found = chosen.groupBy("origin").agg(*[F.max(F.col("profile") == p).alias(n) for p, n in zip(PROFILES, COLUMNS)])
     admitted = admit(robots_files, limits).filter("error_code IS NULL").select("origin")
-    return admitted.join(per_origin, "origin", "left")
+    origins = admitted.join(found, "origin", "left").join(sizes, "origin", "left")
+    return origins, index
+
+
+def rule_candidates(pages: DataFrame, origins: DataFrame, index: DataFrame) -> DataFrame:
+    """pages(page_id, origin, path) with each rule whose head the path begins with, and one row
+    without a rule for every page.
+
+    A path is cut at the lengths that its origin's heads have and looked up by an equi join, so a page
+    meets the rules that may match it, not all of its origin's."""
+    none = F.lit(-1)
+    fitting = F.filter(F.coalesce("sizes", F.array().cast("array<int>")), lambda n: n <= F.length("path"))
+    cut = pages.join(origins, "origin").select(
+        "page_id", "origin", "path", *COLUMNS, F.explode(F.concat(F.array(none), fitting)).alias("size")
+    )
+    cut = cut.withColumn("head", F.when(F.col("size") >= 0, F.substring("path", F.lit(1), F.col("size"))))
+    return cut.join(index, ["origin", "head"], "left").filter("size = -1 OR rule IS NOT NULL").drop("size", "head")
 
 
 def page_verdicts(
@@ -235,42 +251,37 @@ def page_verdicts(
     """pages(page_id, url) -> page_id, origin, path, verdicts (one per profile).
 
     Pages whose origin has no admitted robots.txt get no row: missing evidence
-    is not an answer.  Only the path is matched, not the query string.  A
-    pattern's literal prefix is tested first, so a regular expression is only
-    compiled for wildcard rules whose prefix fits."""
-    rules = compiled_rules(robots_files, limits, compat)
+    is not an answer.  Only the path is matched, not the query string.  Regular expressions
+    are left to wildcard rules whose literal head fits."""
+    origins, index = rule_index(robots_files, limits, compat)
     parsed = pages.select("page_id", parse_url(F.col("url")).alias("u")).select(
         "page_id", F.col("u.origin").alias("origin"), F.col("u.path").alias("path")
     )
-    joined = parsed.join(rules, "origin")
-    path = F.col("path")
+    met = rule_candidates(parsed, origins, index).filter(
+        F.col("rule").isNull() | ~F.col("rule.wild") | F.rlike("path", F.col("rule.regex"))
+    )
+    first = F.struct("rule.rank", "rule.is_block", "rule.line_number")
+    best = met.groupBy("page_id", "origin", "path", *COLUMNS).agg(
+        *[F.min_by("rule", F.when(F.col("profile") == p, first)).alias(f"_{n}") for p, n in zip(PROFILES, COLUMNS)]
+    )
 
     def verdict(profile: str, column: str) -> Column:
-        hit = F.try_element_at(
-            F.filter(
-                F.col(column)["rules"],
-                lambda r: F.startswith(path, r["prefix"]) & (~r["wild"] | F.rlike(path, r["regex"])),
-            ),
-            F.lit(1),
-        )
-        return let(
-            hit,
-            lambda r: F.struct(
-                F.lit(profile).alias("profile"),
-                (~F.coalesce(r["kind"] == "disallow", F.lit(False))).alias("crawlable"),
-                F.when(F.col(column).isNull(), "no-matching-group")
-                .when(r.isNull(), "no-matching-rules")
-                .when(r["kind"] == "allow", "allow-rule")
-                .otherwise("disallow-rule")
-                .alias("reason"),
-                r["kind"].alias("rule_kind"),
-                r["pattern"].alias("pattern"),
-                r["line_number"].alias("line_number"),
-            ),
+        r = F.col(f"_{column}")
+        return F.struct(
+            F.lit(profile).alias("profile"),
+            (~F.coalesce(r["kind"] == "disallow", F.lit(False))).alias("crawlable"),
+            F.when(~F.coalesce(F.col(column), F.lit(False)), "no-matching-group")
+            .when(r.isNull(), "no-matching-rules")
+            .when(r["kind"] == "allow", "allow-rule")
+            .otherwise("disallow-rule")
+            .alias("reason"),
+            r["kind"].alias("rule_kind"),
+            r["pattern"].alias("pattern"),
+            r["line_number"].alias("line_number"),
         )
 
-    verdicts = F.array(*[verdict(p, n) for p, n in zip(PROFILES, ("googlebot", "generic"))])
-    return joined.select("page_id", "origin", "path", verdicts.alias("verdicts"))
+    verdicts = F.array(*[verdict(p, n) for p, n in zip(PROFILES, COLUMNS)])
+    return best.select("page_id", "origin", "path", verdicts.alias("verdicts"))
 
 
 def evaluate(

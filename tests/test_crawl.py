@@ -56,6 +56,27 @@ def test_line_limit(spark):
     assert verdict(spark, body, "/x", limits=RobotsLimits(lines=5))["*"] == (True, "no-matching-group")
 
 
+def test_many_rules_are_found_by_their_heads(spark):
+    """50 000 rules past any byte or line limit: the right one wins and few are met."""
+    lines = [f"Disallow: /p{k}/" for k in range(50_000)] + ["Allow: /p77/x", "Disallow: /*.pdf$", "Disallow: /p", "Allow: /p49999/*/ok"]
+    body = "User-agent: *\n" + "# " + "c" * 600_000 + "\n" + "\n".join(lines)
+    files = spark.createDataFrame(
+        [(SITE, 200, "text/plain", False, None, body)],
+        "origin string, status int, content_type string, truncated boolean, fetch_error string, body string",
+    )
+    paths = ["/p77/x", "/p77/y", "/q", "/q.pdf", "/p123456", "/p49999/a/ok", "/p4999/a/ok", "/p7.pdf"]
+    pages = spark.createDataFrame([(k, SITE + p) for k, p in enumerate(paths)], "page_id long, url string")
+    got = {r.page_id: (r.reason, r.pattern) for r in R.evaluate(pages, files).filter("profile = '*'").collect()}
+    assert [got[k] for k in range(len(paths))] == [
+        ("allow-rule", "/p77/x"), ("disallow-rule", "/p77/"), ("no-matching-rules", None), ("disallow-rule", "/*.pdf$"), ("disallow-rule", "/p"),
+        ("allow-rule", "/p49999/*/ok"), ("disallow-rule", "/p4999/"), ("disallow-rule", "/*.pdf$"),
+    ]
+    origins, index = R.rule_index(files)
+    located = pages.selectExpr("page_id", f"'{SITE}' AS origin", f"substring(url, {len(SITE) + 1}) AS path")
+    met = R.rule_candidates(located, origins, index)
+    assert index.count() == 2 * len(lines) and met.filter("rule IS NOT NULL").groupBy("page_id").count().agg(F.max("count")).first()[0] <= 2 * 4
+
+
 def sitemap(spark, rows):
     return spark.createDataFrame(
         [(SITE + "/sitemap.xml", u, 200, False, None, b) for u, b in rows],
