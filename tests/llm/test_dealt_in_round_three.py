@@ -200,3 +200,24 @@ def test_bounds_save_scans_and_change_nothing():
     assert scans[0] == 1 and scans[-1] < 0.6
     drift = sum(code_bounds.net_displacement(books[k : k + 2], 0)[0] for k in range(8))
     assert (code_bounds.net_displacement(books, 0)[0] <= drift + 1e-9).all()
+
+
+def test_base_score_equals_brute_force(spark):
+    """The counted part of op9: log10 of smoothed shares, learned from four folds of five."""
+    import math
+    from collections import Counter
+
+    from sitelens.llm import recurrent_lm
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    tokens = {r["doc_id"]: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r["text"] or "")), None] for r in docs.collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
+    counts = Counter(t for k, own in tokens.items() if not held[k] for t in own)
+    n, v = sum(counts.values()), len(counts)
+    rows = recurrent_lm.query(spark, SMALL).collect()
+    assert {r["doc_id"]: (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows} == {
+        k: (held[k], len(own), sum(t in counts for t in own), n) for k, own in tokens.items()
+    }
+    for r in rows:
+        want = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens[r["doc_id"]])
+        assert r["base_score"] == pytest.approx(want, rel=1e-9)
