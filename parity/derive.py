@@ -78,7 +78,7 @@ SELECT page_id, url, replace(replace(replace(CASE WHEN page_id % 29 = 6 THEN rep
        WHEN 6 THEN '<script type="application/ld+json">[{{"@context":"https://schema.org","@type":"Thing"}},5]</script>'
        WHEN 7 THEN '<script type="application/ld+json"> </script>'
        WHEN 8 THEN '<script type="application/ld+json">{{"@context":["https://schema.org",{{"x":"y"}}],"@type":["Article","News"],"@id":"#org","publisher":{{"@id":"#org"}},"parts":[{{"@type":"Part","@id":"#p"}},[{{"@id":"#p","name":"n"}}]]}}</script><script type="application/ld+json">{{"@type":"B"}} trailing</script>'
-       ELSE '' END,
+       ELSE CASE WHEN page_id % 27 = 9 THEN concat('<script type="application/ld+json">', repeat('{{"@context":"https://schema.org","@type":"T","a":[1,', 25), '{{"@id":"#z"}}', repeat(']}}', 25), '</script>') ELSE '' END END,
   CASE page_id % 11 WHEN 10 THEN '<title>Second title</title>' ELSE '' END,
   '</head>')),
   '<article>', concat('<article>',

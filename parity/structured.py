@@ -14,7 +14,7 @@ CTES["jroot"] = """SELECT page_id, entry_index, unnest(range(len(l))) AS r, unne
 CTES["jwalk"] = """SELECT page_id, entry_index, '$[' || r || ']' AS path, lpad(CAST(r AS VARCHAR), 6, '0') AS sort, v, 0 AS depth, true AS graph_node FROM jroot
  UNION ALL /*recursive*/ SELECT w.page_id, w.entry_index, w.path || CASE WHEN json_type(w.v) = 'ARRAY' THEN '[' || e.key || ']' ELSE '.' || e.key END,
   w.sort || '.' || lpad(CASE WHEN json_type(w.v) = 'ARRAY' THEN e.key ELSE CAST(list_position(list_sort(list_filter(json_keys(w.v), lambda k: k <> '@context')), e.key) - 1 AS VARCHAR) END, 6, '0'), e.value, w.depth + 1, false
-  FROM jwalk w, json_each(w.v) e WHERE json_type(w.v) IN ('OBJECT','ARRAY') AND e.key <> '@context' AND w.depth < 20"""
+  FROM jwalk w, json_each(w.v) e WHERE json_type(w.v) IN ('OBJECT','ARRAY') AND e.key <> '@context'"""
 CTES["jnode"] = """SELECT page_id, entry_index, row_number() OVER (PARTITION BY page_id, entry_index ORDER BY sort) - 1 AS node_index, path, depth, graph_node,
   CASE json_type(v, '$."@type"') WHEN 'VARCHAR' THEN v->>'$."@type"' WHEN 'ARRAY' THEN array_to_string(list_transform(list_filter(json_extract(v, '$."@type"[*]'), lambda t: json_type(t) = 'VARCHAR'), lambda t: t->>'$'), '|') ELSE '' END AS types,
   CASE WHEN json_type(v, '$."@id"') = 'VARCHAR' THEN v->>'$."@id"' END AS id, json_keys(v) = ['@id'] AS id_only FROM jwalk WHERE json_type(v) = 'OBJECT'"""

@@ -31,7 +31,7 @@ class CaptureLimits:
     snapshot_chars: int = UNLIMITED
     session_chars: int = 1_500_000
     jsonld_nodes: int = UNLIMITED
-    jsonld_depth: int = 20
+    jsonld_depth: int = UNLIMITED
 
 
 @dataclass(frozen=True)

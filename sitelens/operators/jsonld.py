@@ -131,7 +131,7 @@ def _step(state: Column, limits: CaptureLimits) -> Column:
 @cached_columns
 def _inventory_columns(limits: CaptureLimits) -> tuple[list[Column], ...]:
     value = json_value(browser_trim(F.col("raw")))
-    staged = [F.when(F.col("parse_status") == "ok", value).alias("v")]
+    staged = [F.when(F.col("parse_status") == "ok", value).alias("v"), F.col("raw")]
 
     v = F.col("v")
     graph = _member(v, "@graph")
@@ -165,8 +165,12 @@ def _inventory_columns(limits: CaptureLimits) -> tuple[list[Column], ...]:
     start = F.struct(
         frontier.alias("open"), F.array().cast(f"array<{NODE_TYPE}>").alias("nodes")
     )
+    # No value lies deeper than there are brackets; once the frontier is empty a step costs nothing.
+    brackets = F.length("raw") - F.length(F.translate("raw", "{[", ""))
     walked = F.aggregate(
-        F.sequence(F.lit(0), F.lit(limits.jsonld_depth)), start, lambda s, _d: _step(s, limits)
+        F.sequence(F.lit(0), F.least(brackets, F.lit(limits.jsonld_depth))),
+        start,
+        lambda s, _d: F.when(F.size(s["open"]) == 0, s).otherwise(_step(s, limits)),
     )
     walk = [
         top.alias("top_level"),
