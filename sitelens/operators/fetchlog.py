@@ -64,8 +64,9 @@ POSITION = ("request_id", "asked", "url", "place")
 LOOK = 4
 
 
-def _edges(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(src, dst, since) of URLs that only ever led to one URL, and (src, since, dst) of the others.
+def _edges(hops: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(src, dst, since) of URLs that only ever led to one URL, and (src, since, dst) of the others,
+    None if there are none.
 
     Counted with partial sums first: a URL logged millions of times is no large group.  Of two
     targets at one time the smaller counts."""
@@ -77,14 +78,17 @@ def _edges(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     known = log.groupBy("src").agg(F.min("dst").alias("dst"), F.max("dst").alias("most"), F.min("since").alias("since"))
     known = cut_lineage(known, "hops")
-    return known.where("dst = most").select("src", "dst", "since"), log.join(known.where("dst <> most").select("src"), "src", "left_semi")
+    stable, changed = known.where("dst = most").select("src", "dst", "since"), known.where("dst <> most").select("src")
+    return stable, None if changed.isEmpty() else cut_lineage(log.join(changed, "src", "left_semi"), "hops")
 
 
 def _repeats(positions: DataFrame) -> DataFrame:
-    """request_id and the place where a chain first comes to a URL it has been to."""
-    first = positions.groupBy("request_id", "url").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = positions.join(first, ["request_id", "url"]).where("place > first")
-    return again.groupBy("request_id").agg(F.min("place").alias("repeat"))
+    """request_id and the place where a chain first comes to a URL it has been to.
+
+    A chain is at a URL a few times at most: what goes round is taken out early."""
+    places = positions.groupBy("request_id", "url").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    again = F.try_element_at("places", F.lit(2))
+    return places.groupBy("request_id").agg(F.min(again).alias("repeat")).where("repeat IS NOT NULL")
 
 
 class _Jumps:
@@ -156,8 +160,7 @@ def resolve_chains(requests: DataFrame, hops: DataFrame, limit: int | None = Non
         "chains",
     )
     total = _along(start, jumps)
-    moving = cut_lineage(moving, "hops")
-    if not moving.isEmpty():
+    if moving is not None:
         changing = moving.select(F.col("src").alias("url")).distinct()
         found, been = total, None
         while True:
