@@ -9,15 +9,14 @@ summed score for it, but applies merges in order of score.  So the fold takes th
 that order and keeps the inner boundaries of a unit as the bits of a long (an array beyond 62
 characters): an edge is taken if it covers exactly two of the pieces so far.
 
-Units that occur often travel to the tasks as a table of bounded size; the others' cuts are
-joined to the documents that hold them."""
+Units that occur often travel to the tasks as a table of bounded size; the others' ids are
+joined to the documents that hold them.  Between jobs, ids are 16-bit integers."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -29,12 +28,14 @@ from sitelens.llm.recurrent_lm import frequent
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-#: Units whose cuts travel to the tasks; distinct words a task counts before it hands them on.
+#: Units whose ids travel to the tasks; distinct words a task counts before it hands them on.
 HEAD, HELD_WORDS = 150_000, 200_000
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 200_000
 #: Most pieces of a table that is sent to all tasks.
 MOST_PIECES = 1 << 15
+#: Ids between jobs, and the one that stands for a unit that is still open.
+STORED, HOLE = "<u2", (1 << 16) - 1
 #: Characters of a unit whose boundaries fit a long.
 SHORT = 62
 #: Bits of a character's place in a unit, in an edge written as one long.
@@ -184,20 +185,34 @@ def unit_cuts(units: DataFrame, path: str) -> DataFrame:
     piece = spark.createDataFrame(several, "piece string, rank long")
     size = F.char_length("unit")
     # Place -1 is a row for the unit itself, which stays if no piece is found in it.
-    begun = units.select("unit", "n", F.explode(F.sequence(F.lit(-1), (size - 2).cast("int"))).alias("a"))
+    # Units are told apart by a number first, which sorts faster than their text.
+    begun = units.withColumn("k", F.monotonically_increasing_id())
+    begun = begun.select("k", "unit", "n", F.explode(F.sequence(F.lit(-1), (size - 2).cast("int"))).alias("a"))
     last = F.when(F.col("a") >= 0, F.least(F.col("a") + own.longest, size)).otherwise(F.lit(1))
     ends = F.explode(F.sequence((F.col("a") + 2).cast("int"), last.cast("int")))
-    spans = begun.select("unit", "n", "a", ends.alias("b")).withColumn(
+    spans = begun.select("k", "unit", "n", "a", ends.alias("b")).withColumn(
         "piece", F.when(F.col("a") >= 0, F.substring("unit", F.col("a") + 1, F.col("b") - F.col("a")))
     )
     found = spans.join(F.broadcast(piece), "piece", "left").where("a < 0 OR rank IS NOT NULL")
     # Rank, begin and end as one long: a third of a struct's memory, and its order is theirs.
     edge = F.shiftleft(F.shiftleft(F.col("rank"), PLACE) + F.col("a"), PLACE) + F.col("b")
-    grouped = found.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = found.groupBy("k", "unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     cuts = F.when(size <= SHORT, _short_cuts(F.col("edges"), size)).otherwise(_long_cuts(F.col("edges"), size))
     return grouped.select("unit", "n", cuts.alias("cuts"))
 
 
+def unit_ids(cut: DataFrame, path: str) -> DataFrame:
+    """unit, n and ids (binary, STORED) of (unit, n, cuts)."""
+
+    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = pieces(path)
+        for batch in batches:
+            made = [np.array(own.ids(u, list(c)), dtype=STORED).tobytes() for u, c in zip(batch["unit"], batch["cuts"], strict=True)]
+            yield pd.DataFrame({"unit": batch["unit"], "n": batch["n"], "ids": pd.Series(made, dtype="object")})
+
+    return cut.select("unit", "n", "cuts").mapInPandas(ids, "unit string, n long, ids binary")
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>) and n_pieces of the whole text of every row of (doc_id, text).
 
@@ -206,19 +221,16 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = stored(unit_cuts(unit_counts(docs, path), path), "units")
+    cut = stored(unit_ids(unit_cuts(unit_counts(docs, path), path), path), "units", compression="zstd")
     named = cut.select(F.col("unit").cast("binary").alias("word"), "n")
     words = [w.decode() for w, _ in frequent(named, HEAD)]
     least = None if not words else spark.createDataFrame([(w,) for w in words], "unit string")
-    head = {} if least is None else {r["unit"]: r["cuts"] for r in cut.join(least, "unit").select("unit", "cuts").collect()}
-    shipped, run_id = spark.sparkContext.broadcast(head), uuid4().hex
+    head = {} if least is None else {r["unit"]: bytes(r["ids"]) for r in cut.join(least, "unit").select("unit", "ids").toLocalIterator()}
+    shipped = spark.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, cache = pieces(path), worker_cache()
-        if cache.get("head", (None,))[0] != run_id:
-            cache["head"] = run_id, {u: np.array(own.ids(u, list(c)), dtype="<i4").tobytes() for u, c in shipped.value.items()}
-        known = cache["head"][1]
-        hole = np.array([-1], dtype="<i4").tobytes()
+        own, known = pieces(path), shipped.value
+        hole = np.array([HOLE], dtype=STORED).tobytes()
         closed_words: dict[str, bytes] = {}
 
         def written(words: list[str], open_units: list[str]) -> Iterator[bytes]:
@@ -243,31 +255,35 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
                     open_units: list[str] = []
                     ids = b"".join(written(own.words(text or ""), open_units))
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), ids, open_units))
-                out = pd.DataFrame(rows, columns=["doc_id", "ids", "open_units"])
-                yield out.astype({"doc_id": "Int64"})
+                    rows.append((None if pd.isna(doc_id) else int(doc_id), ids, open_units, len(open_units)))
+                out = pd.DataFrame(rows, columns=["doc_id", "ids", "open_units", "n_open"])
+                yield out.astype({"doc_id": "Int64", "n_open": "int64"})
 
-    begun = docs.mapInPandas(run, "doc_id long, ids binary, open_units array<string>")
+    begun = docs.mapInPandas(run, "doc_id long, ids binary, open_units array<string>, n_open long")
     begun = stored(begun.withColumn("row", F.monotonically_increasing_id()), "begun", compression="zstd")
-    opened = begun.select("row", F.posexplode("open_units").alias("at", "unit"))
-    closed = opened.join(cut.select("unit", "cuts"), "unit").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "unit", "cuts"))).alias("closed"))
+    rare = begun.where("n_open > 0")
+    opened = rare.select("row", F.posexplode("open_units").alias("at", "unit"))
+    found = opened.join(cut.select("unit", F.col("ids").alias("own")), "unit")
+    closed = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("closed"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = pieces(path)
         for batch in batches:
             out = []
             for ids, closed_units in zip(batch["ids"], batch["closed"], strict=True):
-                have = np.frombuffer(ids, dtype="<i4")
-                holes = np.flatnonzero(have < 0)
+                have = np.frombuffer(ids, dtype=STORED)
+                holes = np.flatnonzero(have == HOLE)
                 full, at = [], 0
                 for hole, c in zip(holes.tolist(), closed_units if len(holes) else [], strict=True):
-                    full += [have[at:hole], np.array(own.ids(c["unit"], c["cuts"]), dtype="<i4")]
+                    full += [have[at:hole], np.frombuffer(c["own"], dtype=STORED)]
                     at = hole + 1
-                out.append(np.concatenate([*full, have[at:]]))
+                out.append(np.concatenate([*full, have[at:]]).astype("int32"))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": out, "n_pieces": list(map(len, out))})
 
-    joined = begun.drop("open_units").join(closed, "row", "left").select("doc_id", "ids", "closed")
-    return joined.mapInPandas(fill, "doc_id long, ids array<int>, n_pieces long")
+    # Only documents with open units are moved; the others go from their file to the output.
+    none = F.lit(None).cast(closed.schema["closed"].dataType)
+    whole = begun.where("n_open = 0").select("doc_id", "ids", none.alias("closed"))
+    joined = rare.select("row", "doc_id", "ids").join(closed, "row").select("doc_id", "ids", "closed")
+    return whole.unionByName(joined).mapInPandas(fill, "doc_id long, ids array<int>, n_pieces long")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
