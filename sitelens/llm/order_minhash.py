@@ -253,7 +253,9 @@ def blocks(members: DataFrame) -> DataFrame:
 
 def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
     """Near pairs of the blocks that connect different components: (a, b, similarity, a_component,
-    b_component).  Pairs that a block has connected already are passed over."""
+    b_component).  Pairs that a block has connected already are passed over.
+
+    texts has (rep, text, sketches): a pair is compared in the smallest sketch that both have."""
 
     def verify(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["rep", "component"], ignore_index=True)
@@ -265,6 +267,12 @@ def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
         component = np.unique(block["component"].to_numpy(), return_inverse=True)[1]
         named = block["component"].to_numpy()
         held = np.zeros(len(names), dtype=np.int32)
+        # Sketches below the block's: who shares one of them is compared there.
+        below = [s[s < key[0]] for s in block["sketches"]]
+        owner = np.repeat(np.arange(len(rep)), list(map(len, below)))
+        lower_names, lower = np.unique(np.concatenate(below), return_inverse=True)
+        lower_begin = np.searchsorted(owner, np.arange(len(rep) + 1))
+        marked = np.zeros(len(lower_names), dtype=bool)
         two, rows = key[1] != key[2], []
         for x in np.flatnonzero(chunk == key[1]):
             other = component != component[x]
@@ -273,11 +281,19 @@ def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
             other &= np.minimum(sizes, sizes[x]) >= need
             if not other.any():
                 continue
+            mine = lower[lower_begin[x] : lower_begin[x + 1]]
+            if len(mine):
+                marked[mine] = True
+                other[owner[marked[lower]]] = False
+                marked[mine] = False
+            left = np.flatnonzero(other)
+            if not len(left):
+                continue
             own = place[begin[x] : begin[x] + sizes[x]]
             held[own] = 1
-            shared = np.add.reduceat(held[place], begin)
+            shared = np.array([held[place[begin[y] : begin[y] + sizes[y]]].sum() for y in left])
             held[own] = 0
-            for y in np.flatnonzero(other & (shared >= need)):
+            for y in left[shared >= need[left]]:
                 if component[x] != component[y] and rep[x] != rep[y]:
                     total = int(sizes[x] + sizes[y])
                     length = common_subsequence(parts[x], parts[y], total - 2 * int(need[y]))
@@ -290,7 +306,7 @@ def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
 
     # Work per byte is high: as many tasks as the session deals out, not merged by their bytes.
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = dealt.join(texts, "rep").select("sketch", "i", "j", "chunk", "rep", "component", "text").repartition(n, "sketch", "i", "j")
+    both = dealt.join(texts, "rep").select("sketch", "i", "j", "chunk", "rep", "component", "text", "sketches").repartition(n, "sketch", "i", "j")
     schema = "a long, b long, similarity double, a_component long, b_component long"
     return both.groupBy("sketch", "i", "j").applyInPandas(verify, schema)
 
@@ -312,7 +328,9 @@ def near_pairs(entries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFram
     sizes = reps.groupBy("rep").agg(F.sum(F.length("text") + 1).alias("chars"))
     known = sizes.join(rooted.withColumnRenamed("node", "rep"), "rep", "left")
     members = left.select("sketch", "rep").join(known.select("rep", "chars", F.coalesce("root", "rep").alias("component")), "rep")
-    across = stored(_across(blocks(stored(members, "members")), reps), "near")
+    members = stored(members, "members")
+    lists = members.groupBy("rep").agg(F.collect_set("sketch").alias("sketches"))
+    across = stored(_across(blocks(members), reps.join(lists, "rep")), "near")
     above = components(across.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
     # A component that another one joins: its own nodes follow, and it may be a single node.
     own = across.select(F.explode(F.array("a_component", "b_component")).alias("node")).distinct().withColumn("root", F.col("node"))
