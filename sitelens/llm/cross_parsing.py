@@ -34,50 +34,56 @@ UNDETERMINED = "und"
 WITHIN, MARGIN = 0.99, 1.5
 _LETTERS = re.compile(r"[^\W\d_]+")
 LETTER = r"\p{L}"
+#: Characters of a match that are looked up at once.
+HEAD = 3
 
 
 class SuffixAutomaton:
-    """Smallest automaton of all substrings of a text; transitions in one dictionary."""
+    """Smallest automaton of all substrings of a text: a dictionary of transitions per state,
+    and the states of all its substrings of HEAD characters."""
 
     def __init__(self, text: str) -> None:
-        step: dict[tuple[int, str], int] = {}
-        out: list[list[str]] = [[]]
+        step: list[dict[str, int]] = [{}]
         link, length = [-1], [0]
         last = 0
         for c in text:
             new = len(link)
             link.append(0)
             length.append(length[last] + 1)
-            out.append([])
+            step.append({})
             at = last
-            while at >= 0 and (at, c) not in step:
-                step[at, c] = new
-                out[at].append(c)
+            while at >= 0 and c not in step[at]:
+                step[at][c] = new
                 at = link[at]
             if at >= 0:
-                to = step[at, c]
+                to = step[at][c]
                 if length[to] == length[at] + 1:
                     link[new] = to
                 else:
                     twin = len(link)
                     link.append(link[to])
                     length.append(length[at] + 1)
-                    out.append(out[to].copy())
-                    for x in out[to]:
-                        step[twin, x] = step[to, x]
-                    while at >= 0 and step.get((at, c)) == to:
-                        step[at, c] = twin
+                    step.append(step[to].copy())
+                    while at >= 0 and step[at].get(c) == to:
+                        step[at][c] = twin
                         at = link[at]
                     link[to] = link[new] = twin
             last = new
         self.step = step
+        self.heads = {"": 0}
+        for _ in range(HEAD):
+            self.heads = {head + c: to for head, state in self.heads.items() for c, to in step[state].items()}
 
     def phrases(self, word: str) -> int:
         """Phrases of the greedy parse: longest matches, or one character that never occurs."""
-        step, n, at, count = self.step, len(word), 0, 0
+        step, heads, n, at, count = self.step, self.heads, len(word), 0, 0
         while at < n:
-            state, begin = 0, at
-            while at < n and (to := step.get((state, word[at]))) is not None:
+            begin, state = at, heads.get(word[at : at + HEAD])
+            if state is None:
+                state = 0
+            else:
+                at += HEAD
+            while at < n and (to := step[state].get(word[at])) is not None:
                 state, at = to, at + 1
             if at == begin:
                 at += 1
