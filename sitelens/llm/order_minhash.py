@@ -399,14 +399,20 @@ def classes(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Name of a column that no table has.
+SAME = "_same_words"
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of each class the document with the smallest id stays, once.
+    """The pipeline's stage: of each class the document with the smallest id stays, each of its
+    texts once (texts that differ in white space only are equal).
 
     Rows without an id stay as they are."""
     kept = classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    once = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    once = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_anti")
+    once = once.withColumn(SAME, F.md5(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).cast("binary"))).dropDuplicates(["doc_id", SAME])
     return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

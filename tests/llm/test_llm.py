@@ -329,3 +329,10 @@ def test_copies_do_not_use_up_the_pages_of_a_wrapper(spark):
     pages = spark.createDataFrame([(k, "http://a.b/", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
     got = {r["text"] for r in wrapper_induction.main_texts(pages).collect()}
     assert got == {f"Story {k}" for k in range(5)}
+
+
+def test_near_duplicates_keep_each_text_of_an_id(spark):
+    one, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "vw")
+    rows = [(1, one), (1, other), (1, one.replace(" ", "  ")), (2, one), (None, one)]
+    kept = order_minhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 0, " ".join(r["text"].split())) for r in kept) == [(0, one), (1, one), (1, other)]
