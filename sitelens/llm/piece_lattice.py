@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,10 @@ from sitelens.llm.recurrent_lm import frequent
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-#: Units whose ids travel to the tasks; distinct words a task counts before it hands them on.
-HEAD, HELD_WORDS = 150_000, 200_000
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 200_000
+#: Units whose ids travel to the tasks, and words whose ids a worker keeps.
+HEAD, KEPT_WORDS = 150_000, 60_000
+#: Documents that a worker hands on at once.
+ROWS = 500
 #: Most pieces of a table that is sent to all tasks.
 MOST_PIECES = 1 << 15
 #: Ids between jobs, and the one that stands for a unit that is still open.
@@ -40,6 +41,7 @@ STORED, HOLE = "<u2", (1 << 16) - 1
 SHORT = 62
 #: Bits of a character's place in a unit, in an edge written as one long.
 PLACE = 24
+OPEN = pa.schema({"doc_id": pa.int64(), "ids": pa.binary(), "open_units": pa.list_(pa.string()), "n_open": pa.int64()})
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
@@ -110,27 +112,23 @@ def model_path() -> str:
 
 
 def unit_counts(docs: DataFrame, path: str) -> DataFrame:
-    """unit and n of all texts, dealt out by unit."""
+    """unit and n of all texts, dealt out by unit.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, held = pieces(path), Counter()
+    Spark counts the words; only distinct ones are cut."""
+    text = F.concat(F.lit(BLANK), F.translate("text", " ", BLANK))
+    words = F.regexp_extract_all(text, F.lit(_WORD.pattern), F.lit(0))
+    counted = docs.where("text <> ''").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
-        def handed_on() -> pd.DataFrame:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = pieces(path)
+        for batch in batches:
             units: Counter[str] = Counter()
-            for word, n in held.items():
+            for word, n in zip(batch["word"], batch["n"].tolist(), strict=True):
                 for u in own.units(word):
                     units[u] += n
-            held.clear()
-            return pd.DataFrame({"unit": list(units), "n": list(units.values())}).astype({"unit": "object", "n": "int64"})
-
-        for batch in batches:
-            for text in batch["text"]:
-                held.update(own.words(text or ""))
-                if len(held) > HELD_WORDS:
-                    yield handed_on()
-        yield handed_on()
+            yield pd.DataFrame({"unit": list(units), "n": list(units.values())}).astype({"unit": "object", "n": "int64"})
 
-    return docs.select("text").mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return counted.mapInPandas(cut, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def _ends(edge: Column) -> dict[str, Column]:
@@ -228,7 +226,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     head = {} if least is None else {r["unit"]: bytes(r["ids"]) for r in cut.join(least, "unit").select("unit", "ids").toLocalIterator()}
     shipped = spark.sparkContext.broadcast(head)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = pieces(path), shipped.value
         hole = np.array([HOLE], dtype=STORED).tobytes()
         closed_words: dict[str, bytes] = {}
@@ -248,18 +246,17 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                     closed_words[w] = ids
                 yield ids
 
+        def row(doc_id: pa.Scalar, text: pa.Scalar) -> dict:
+            open_units: list[str] = []
+            ids = b"".join(written(own.words(text.as_py() or ""), open_units))
+            return {"doc_id": doc_id.as_py(), "ids": ids, "open_units": open_units, "n_open": len(open_units)}
+
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.iloc[start : start + 500]
-                rows = []
-                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                    open_units: list[str] = []
-                    ids = b"".join(written(own.words(text or ""), open_units))
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), ids, open_units, len(open_units)))
-                out = pd.DataFrame(rows, columns=["doc_id", "ids", "open_units", "n_open"])
-                yield out.astype({"doc_id": "Int64", "n_open": "int64"})
-
-    begun = docs.mapInPandas(run, "doc_id long, ids binary, open_units array<string>, n_open long")
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                yield pa.RecordBatch.from_pylist(list(map(row, part["doc_id"], part["text"])), schema=OPEN)
+
+    begun = docs.mapInArrow(run, "doc_id long, ids binary, open_units array<string>, n_open long")
     begun = stored(begun.withColumn("row", F.monotonically_increasing_id()), "begun", compression="zstd")
     rare = begun.where("n_open > 0")
     opened = rare.select("row", F.posexplode("open_units").alias("at", "unit"))
