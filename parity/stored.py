@@ -465,6 +465,34 @@ def latest_per_tab(c):
     return NV.latest_per_tab(_observed(c)).select("tab_id", "request_id", "final_url")
 
 
+LATEST = "SELECT *, row_number() OVER (PARTITION BY tab_id ORDER BY observed_at DESC, request_id DESC) AS rn FROM navs"
+SERVED = f"""SELECT tab_id, request_id, requested_url, final_url, status_code, hops FROM ({LATEST}) x
+ WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM ctl w WHERE w.tab_id = x.tab_id AND w.kind = 'unwatch' AND w.ts >= x.observed_at)"""
+SERVED_COLUMNS = ("tab_id", "request_id", "requested_url", "final_url", "status_code", "hops")
+
+
+@query("K3_serving_table", SERVED)
+def serving(c):
+    """The stream runs twice, over the earlier and then the later half of the events."""
+    from sitelens.sources.tables import nav_event_stream
+
+    c.spark.conf.set("spark.sql.streaming.stateStore.providerClass", NV.ROCKSDB)
+    home, events = new_folder(c.spark, "serving"), c.table("nav_events")
+    middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    table = NV.serving_table(c.spark, f"{home}/latest")
+    for half in (F.col("ts") <= F.lit(middle), F.col("ts") > F.lit(middle)):
+        events.filter(half).write.mode("append").parquet(f"{home}/events")
+        changes = NV.change_stream(nav_event_stream(c.spark, f"{home}/events"))
+        NV.write_latest(changes, table, f"{home}/state").awaitTermination()
+    return NV.read_latest(table).select(*SERVED_COLUMNS)
+
+
+@query("K3_latest_watched", SERVED)
+def latest_watched(c):
+    events = c.table("nav_events")
+    return NV.latest_watched(NV.assemble(events), events).select(*SERVED_COLUMNS)
+
+
 @query("K4_robots_first_fetch", "SELECT session_id, origin, min(page_id) AS page_id FROM robots_fetch_log GROUP BY ALL")
 def robots_first_fetch(c):
     return NV.first_robots_fetch(c.table("robots_fetch_log")).select("session_id", "origin", "page_id")

@@ -142,6 +142,11 @@ class SessionTable:
         """Insert sessions with the times they carry; an older one doesn't replace a newer."""
         self._change(cut_lineage(sessions.withColumn("deleted", F.lit(False)), "incoming"))
 
+    def apply(self, changes: DataFrame) -> None:
+        """Rows, and tombstones where ``deleted``, with the times they carry: each counts if none of
+        its id is newer, so that changes may come twice or late."""
+        self._change(cut_lineage(changes, "incoming"))
+
     def delete(self, ids: DataFrame, now: str) -> None:
         """Tombstones for the ids that the table holds."""
         held = self.read().select("session_id").join(ids.select("session_id").distinct(), "session_id", "left_semi")

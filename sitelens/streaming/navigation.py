@@ -1,4 +1,4 @@
-"""Navigation assembly from browser events: a streaming job and its batch twin.
+"""Navigation assembly from browser events: a streaming job, its serving table, its batch twin.
 
 The stream keeps one small state per tab (watched or not, plus the navigation
 under way).  Event time only bounds that state; events later than the
@@ -10,19 +10,22 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sitelens.functions.headers import ALLOWED_HEADERS, merge_headers
 from sitelens.limits import DEFAULT_NETWORK
 from sitelens.operators.asof import last_before
+from sitelens.sources.session_table import BUCKETS, SessionTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OBSERVATION = (
     "tab_id bigint, request_id string, requested_url string, final_url string, status_code int, "
     "hops string, headers string, observed_at timestamp"
 )
+#: An observation, or (cleared) the end of a tab's watch, in the order of its event.
+CHANGE = f"{OBSERVATION}, seq bigint, cleared boolean"
 IDLE_MILLIS = 6 * 3600 * 1000
 MAIN_FRAME = "main_frame"
 
@@ -32,7 +35,13 @@ def main_frame(events: DataFrame) -> DataFrame:
 
 
 class TabNavigation(StatefulProcessor):
-    """Keyed by tab.  State: is the tab watched, and the pending navigation."""
+    """Keyed by tab.  State: is the tab watched, and the pending navigation.
+
+    With ``changes`` the ends of watches are rows too."""
+
+    def __init__(self, changes: bool = False) -> None:
+        self._changes = changes
+        self._columns = [c.split()[0] for c in (CHANGE if changes else OBSERVATION).split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -47,6 +56,8 @@ class TabNavigation(StatefulProcessor):
         for e in events.itertuples(index=False):
             if e.kind in ("watch", "unwatch"):
                 watched, nav = e.kind == "watch", nav if e.kind == "watch" else None
+                if self._changes and not watched:
+                    done.append((key[0], *[None] * 6, e.ts, e.seq, True))
                 continue
             if not watched:
                 continue
@@ -60,7 +71,7 @@ class TabNavigation(StatefulProcessor):
             elif e.kind == "redirect":
                 nav["hops"].append([e.url, e.redirect_url, int(e.status_code)])
             elif e.kind == "completed":
-                done.append(_observation(key[0], nav, e))
+                done.append(_observation(key[0], nav, e) + ((e.seq, False) if self._changes else ()))
                 nav = None
         # Event time, not the watermark (0 in the first batch), tells how long a navigation idles.
         idle = max(timer, int(events["ts"].max().timestamp() * 1000) + IDLE_MILLIS) if nav else 0
@@ -70,14 +81,19 @@ class TabNavigation(StatefulProcessor):
             if idle:
                 self._handle.registerTimer(idle)
         self._state.update((watched, json.dumps(nav) if nav else "", idle))
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in OBSERVATION.split(", ")])
+        yield self._frame(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A navigation that never completed is given up; the tab stays watched.
         if self._state.exists():
             watched, _, _ = self._state.get()
             self._state.update((watched, "", 0))
-        yield pd.DataFrame(columns=[c.split()[0] for c in OBSERVATION.split(", ")])
+        yield self._frame([])
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        # A batch may hold ends of watches only: numbers stay whole next to nulls.
+        whole = {"status_code": "Int32"} | ({"seq": "Int64", "cleared": "boolean"} if self._changes else {})
+        return pd.DataFrame(rows, columns=self._columns).astype(whole)
 
     def close(self) -> None:
         pass
@@ -108,6 +124,12 @@ def navigation_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     )
 
 
+def change_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Event stream -> observations and ends of watches, for the serving table."""
+    keyed = main_frame(events).withWatermark("ts", late).groupBy("tab_id")
+    return keyed.transformWithStateInPandas(TabNavigation(changes=True), CHANGE, outputMode="append", timeMode="eventtime")
+
+
 def write_observations(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Run what is available into parquet, one folder per micro-batch.
 
@@ -134,6 +156,58 @@ def latest_per_tab(observations: DataFrame) -> DataFrame:
     )
 
 
+def serving_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> SessionTable:
+    """A versioned table of one row per tab; made if there is none."""
+    columns = OBSERVATION.split(", ", 1)[1]
+    empty = spark.createDataFrame([], f"session_id string, updated_at string, {columns}")
+    return SessionTable(spark, path, empty.schema, buckets)
+
+
+def serving_rows(changes: DataFrame) -> DataFrame:
+    """Rows and tombstones of a serving table: the last change of each tab.
+
+    ``updated_at`` sorts as (time, place among the events of that time), so a change counts by when
+    it happened, and one that is applied again changes nothing."""
+    keep = [c.split()[0] for c in OBSERVATION.split(", ")[1:]]
+    last = F.max_by(F.struct(*keep, "seq", "cleared"), F.struct("observed_at", "seq", "cleared"))
+    at = F.concat(F.date_format("o.observed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("#"), F.lpad(F.col("o.seq").cast("string"), 20, "0"))
+    newest = changes.groupBy("tab_id").agg(last.alias("o"))
+    return newest.select(
+        F.col("tab_id").cast("string").alias("session_id"),
+        at.alias("updated_at"),
+        *(F.col(f"o.{c}").alias(c) for c in keep),
+        F.col("o.cleared").alias("deleted"),
+    )
+
+
+def write_latest(changes: DataFrame, table: SessionTable, checkpoint: str) -> StreamingQuery:
+    """Upsert what is available: a micro-batch rewrites the buckets of its own tabs only, and a
+    tab that is no longer watched leaves a tombstone.  A replayed batch changes nothing."""
+
+    def upsert(batch: DataFrame, epoch: int) -> None:
+        table.apply(serving_rows(batch))
+
+    return (
+        changes.writeStream.foreachBatch(upsert)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_latest(table: SessionTable, version: int | None = None) -> DataFrame:
+    """The newest observation of every tab that is watched, as of a version."""
+    rows = table.read(version).withColumn("tab_id", F.col("session_id").cast("long"))
+    return rows.select(*(c.split()[0] for c in OBSERVATION.split(", ")))
+
+
+def latest_watched(observations: DataFrame, events: DataFrame) -> DataFrame:
+    """Batch form of the serving table: what an end of the watch came after is gone."""
+    ends = main_frame(events).filter("kind = 'unwatch'").groupBy("tab_id").agg(F.max("ts").alias("_ended"))
+    newest = latest_per_tab(observations).join(ends, "tab_id", "left")
+    return newest.filter("_ended IS NULL OR _ended < observed_at").drop("_ended")
+
+
 def robots_once(fetch_log: DataFrame, late: str = "1 hour") -> DataFrame:
     """Stream of robots fetches -> the first to arrive per (session, origin)."""
     return fetch_log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "origin"])

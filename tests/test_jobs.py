@@ -278,3 +278,31 @@ def test_navigation_stream_over_micro_batches(spark, tmp_path):
     want = N.assemble(spark.createDataFrame(sum(parts, []), NAV_EVENTS))
     got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns).collect()
     assert got == want.collect() and got[0].hops == "https://s/a>https://s/b>301" and long in got[0].headers
+
+
+def test_serving_table_follows_watches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", N.ROCKSDB)
+    rows = lambda tab, *events: [(tab,) + e[1:] for e in events]
+    parts = [
+        rows(1, ev(0, "watch"), ev(1, "completed")) + rows(2, ev(0, "watch"), ev(1, "completed")) + rows(3, ev(0, "watch"), ev(1, "completed")),
+        rows(2, ev(2, "unwatch"), ev(3, "completed", url="https://s/unseen")),
+        rows(3, ev(4, "unwatch"), ev(5, "watch"), ev(6, "completed", url="https://s/again")),
+        rows(4, ev(6, "watch"), ev(7, "unwatch")),
+    ]
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(NAV_EVENTS).parquet(str(tmp_path / "in"))
+    table, seen = N.serving_table(spark, str(tmp_path / "latest"), buckets=8), []
+    for part in parts:
+        spark.createDataFrame(part, NAV_EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        N.write_latest(N.change_stream(source), table, str(tmp_path / "state")).awaitTermination()
+        seen.append({r.tab_id: r.final_url for r in N.read_latest(table).collect()})
+    a, again = "https://s/a", "https://s/again"
+    assert seen == [{1: a, 2: a, 3: a}, {1: a, 3: a}, {1: a, 3: again}, {1: a, 3: again}]
+    # A batch touches the buckets of its tabs, and nothing changes if it comes again.
+    first, second = table.manifest(1)["files"], table.manifest(2)["files"]
+    assert sum(first.get(b) != f for b, f in second.items()) == 1
+    every = spark.createDataFrame(sum(parts, []), NAV_EVENTS)
+    assert {r.tab_id: r.final_url for r in N.latest_watched(N.assemble(every), every).collect()} == seen[-1]
+    rows = spark.createDataFrame([(1, "r", a, "https://s/old", 200, "", "", every.agg(F.min("ts")).first()[0], 0, False)], N.CHANGE)
+    table.apply(N.serving_rows(rows))
+    assert {r.tab_id: r.final_url for r in N.read_latest(table).collect()} == seen[-1]
