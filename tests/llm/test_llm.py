@@ -331,6 +331,36 @@ def test_copies_do_not_use_up_the_pages_of_a_wrapper(spark):
     assert got == {f"Story {k}" for k in range(5)}
 
 
+def test_the_wrapper_finds_articles_without_their_tags(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    articles = {r["page_id"]: r["html"].split("<article>")[1].split("</article>")[0] for r in pages.collect()}
+    plain = F.replace(F.regexp_replace("html", r"<(/?)(?:article|nav|footer)\b", "<$1div"), F.lit('class="ad"'), F.lit('class="x1"'))
+    named, unnamed = ({r["page_id"]: r["text"] for r in wrapper_induction.main_texts(x).collect()} for x in (pages, pages.withColumn("html", plain)))
+    alone = {k: wrapper_induction.extract(f"<article>{x}</article>", None) for k, x in articles.items()}
+    assert named == alone
+    assert sum(unnamed[k] == alone[k] for k in alone) >= 0.95 * len(alone)
+
+
+def test_pages_that_are_deep_wide_or_left_open(spark):
+    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
+    wide = "".join(f"<div>a{k}</div><section>b{k}</section>" for k in range(300))
+    texts = {1: deep, 2: '<p>x</p><a "' + '<a "' * 100_000, 3: "<p>x</p>" + "<a href='" * 100_000, 4: wide, 5: "1 < 2 <3", 6: "<p>a" * 3000}
+    pages = spark.createDataFrame([(k, "http://a.b/", t) for k, t in texts.items()] * 2, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["text"]) for r in wrapper_induction.main_texts(pages).collect())
+    assert got[::2] == got[1::2]
+    got = dict(got)
+    assert got[1] == "deep" and got[2] == got[3] == "x" and got[5] == "1 < 2 <3"
+    assert got[4].count("\n") == 599 and got[6] == "\n".join("a" * 3000)
+
+
+def test_many_copies_of_one_page_do_not_make_its_article_template(spark):
+    page = "<body><div><h1>T{0}</h1><p>Story of the {0} and what came of it</p></div><div>Sign up</div></body>"
+    texts = [page.format(k) for k in (0, 1, 2, 3, *[4] * 200)]
+    pages = spark.createDataFrame([(k, "http://a.b/", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r["text"] for r in wrapper_induction.main_texts(pages).collect()}
+    assert got == {f"T{k}\nStory of the {k} and what came of it" for k in range(5)}
+
+
 def test_near_duplicates_keep_each_text_of_an_id(spark):
     one, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "vw")
     rows = [(1, one), (1, other), (1, one.replace(" ", "  ")), (2, one), (None, one)]
