@@ -101,6 +101,47 @@ def url_parse(c):
     return c.table("pages").select("page_id", U.parse_url(F.col("url")).alias("u")).select("page_id", "u.*")
 
 
+#: Another character put into the first label of each page's host, by page_id.
+ODD_LETTERS = "üéłя"
+#: A page's address: beyond 32 bits for every eleventh page.
+ADDRESS = "(page_id * 2654435761 % 4294967296 + CASE WHEN page_id % 11 = 0 THEN 4294967296 ELSE 0 END)"
+
+
+# The expected name writes one inserted character by arithmetic: three digits, or four past 26.
+@query(
+    "H1_hosts",
+    f"""WITH l AS (SELECT page_id, {ADDRESS} AS n, regexp_extract(url, '://([a-z0-9]+)', 1) AS label, ascii(substr('{ODD_LETTERS}', (page_id % 4)::INT + 1, 1)) AS code FROM pages),
+d AS (SELECT *, (code - 128) * (length(label) + 1) + page_id % (length(label) + 1) AS q FROM l),
+q AS (SELECT *, (q - 1) // 35 AS q1, ((q - 1) // 35 - 1) // 35 AS q2, 'abcdefghijklmnopqrstuvwxyz0123456789' AS ds FROM d)
+SELECT page_id,
+ 'xn--' || label || '-' || substr(ds, (2 + (q - 1) % 35)::INT, 1)
+ || CASE WHEN q1 < 1 THEN 'a' ELSE substr(ds, (2 + (q1 - 1) % 35)::INT, 1)
+    || CASE WHEN q2 < 26 THEN substr(ds, (q2 + 1)::INT, 1) ELSE substr(ds, (27 + (q2 - 26) % 10)::INT, 1) || substr(ds, ((q2 - 26) // 10 + 1)::INT, 1) END END
+ || '.example' AS name,
+ CASE WHEN n < 4294967296 THEN concat_ws('.', n // 16777216, n // 65536 % 256, n // 256 % 256, n % 256) END AS address
+FROM q""",
+)
+def hosts(c):
+    label = F.regexp_extract("url", "://([a-z0-9]+)", 1)
+    place = (F.col("page_id") % (F.length(label) + 1)).cast("int")
+    letter = F.substr(F.lit(ODD_LETTERS), (F.col("page_id") % 4).cast("int") + 1, F.lit(1))
+    odd = F.concat(F.substr(label, F.lit(1), place), letter, F.substr(label, place + 1))
+    n, kind = F.expr(ADDRESS.replace("4294967296", "4294967296L")), F.col("page_id") % 5
+    first, rest = F.floor(n / 2**24).cast("string"), (n % 2**24).cast("long")
+    spelled = (
+        F.when((kind == 0) | (n >= 2**32), n.cast("string"))
+        .when(kind == 1, F.concat(F.lit("0x"), F.hex(n)))
+        .when(kind == 2, F.concat(F.lit("0"), F.conv(n.cast("string"), 10, 8)))
+        .when(kind == 3, F.concat(first, F.lit("."), rest.cast("string")))
+        .otherwise(F.concat(first, F.lit(".0x"), F.hex(F.floor(rest / 2**16)), F.lit("."), (rest % 2**16).cast("string"), F.lit(".")))
+    )
+    return c.table("pages").select(
+        "page_id",
+        U.parse_url(F.concat(F.lit("http://"), F.upper(odd), F.lit(".example/")))["host"].alias("name"),
+        U.parse_url(F.concat(F.lit("http://"), spelled, F.lit("/")))["host"].alias("address"),
+    )
+
+
 @query("H2_comparable_url", f"SELECT page_id, pos, {comparable('abs')} AS comparable FROM anchor")
 def comparable_url(c):
     from sitelens.operators.facts import page_links

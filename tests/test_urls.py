@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sitelens.functions import urls as U
+from sitelens.functions.hosts import ascii_host
 
 PARSED = [
     ("HTTP://Ex.COM:80", "http://ex.com/"),
@@ -16,6 +19,26 @@ PARSED = [
     ("http://[bad", None),
     ("http://[::1]/x", "http://[::1]/x"),
     ("http://h:99999/", None),
+    ("http://Bücher.example/ä", "http://xn--bcher-kva.example/%C3%A4"),
+    ("http://STRAßE.example:80", "http://xn--strae-oqa.example/"),
+    ("http://例え\u3002テスト/", "http://xn--r8jz45g.xn--zckzah/"),
+    ("http://😀.example/", "http://xn--e28h.example/"),
+    ("http://b%C3%BCcher.example/", "http://xn--bcher-kva.example/"),
+    ("http://%65x.com/", "http://ex.com/"),
+    ("http://a%2Fb/", None),
+    ("http://0x7f.1/x", "http://127.0.0.1/x"),
+    ("http://0X7F000001/", "http://127.0.0.1/"),
+    ("http://2130706433:8080/", "http://127.0.0.1:8080/"),
+    ("http://0177.0.0.01./", "http://127.0.0.1/"),
+    ("http://192.168.257/", "http://192.168.1.1/"),
+    ("http://1.2.3.4/", "http://1.2.3.4/"),
+    ("http://0x/", "http://0.0.0.0/"),
+    ("http://256.1.1.1/", None),
+    ("http://1.2.3.4.5/", None),
+    ("http://4294967296/", None),
+    ("http://09.1/", None),
+    ("http://a.b.1/", None),
+    ("http://1.a/", "http://1.a/"),
     ("http://", None),
     ("/relative", None),
     ("", None),
@@ -84,3 +107,13 @@ def test_eligibility_and_probe(spark):
     assert [r.e.eligible for r in got] == [False, False, True, False]
     bad = spark.createDataFrame([("https://a.b/", "https://c.d/"), ("https://a.b/", "x")], "a string, p string")
     assert [r.c for r in bad.select(U.probe_check(F.col("a"), F.col("p")).alias("c")).collect()] == ["cross-origin", "invalid-url"]
+
+
+def test_labels_are_punycode(spark):
+    draw = random.Random(7)
+    letters = "abz019-äéßłжяλ中文字한😀𝒳"
+    labels = ["".join(draw.choice(letters) for _ in range(draw.choice([1, 2, 5, 20, 60]))) for _ in range(150)]
+    labels = [x for x in labels if not x.isascii()] + ["ü" * 300, "a" * 300 + "😀"]
+    rows = spark.createDataFrame([(x, "xn--" + x.encode("punycode").decode()) for x in labels], "label string, want string")
+    got = rows.select("label", "want", ascii_host(F.col("label")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
