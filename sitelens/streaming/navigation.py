@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -229,9 +229,16 @@ def first_robots_fetch(fetch_log: DataFrame) -> DataFrame:
 def gate(events: DataFrame) -> DataFrame:
     """Events of tabs watched at that moment, with the time the watch began.
 
-    Whether a tab is watched is an as-of lookup of its last watch or unwatch."""
+    Whether a tab is watched is an as-of lookup of its last watch or unwatch; a watch of a tab that
+    is watched already begins nothing."""
     main = main_frame(events)
-    control = main.filter(F.col("kind").isin("watch", "unwatch"))
+    in_order = Window.partitionBy("tab_id").orderBy("ts", "seq")
+    control = (
+        main.filter(F.col("kind").isin("watch", "unwatch"))
+        .withColumn("_before", F.lag("kind").over(in_order))
+        .filter("_before IS NULL OR _before <> kind")
+        .drop("_before")
+    )
     seen = F.struct(F.col("kind").alias("control"), F.col("ts").alias("since"))
     body = last_before(
         main.filter(~F.col("kind").isin("watch", "unwatch")),
@@ -251,14 +258,21 @@ def _in_order(kind: str, value: Column) -> Column:
 
 
 def assemble(events: DataFrame) -> DataFrame:
-    """Batch form: group the gated events of a request and fold them.
+    """Batch form: group the gated events of a navigation and fold them.
 
-    Keys are (tab, watch period, request), so one busy tab is many small groups."""
+    As in the stream a navigation ends with its completion or error, and when the tab turns to
+    another request.  They are numbered by a running sum over the tab's events, which Spark sorts
+    with spill and reads once; the groups folded after it are small however busy the tab."""
     hop = F.struct("url", "redirect_url", "status_code")
     merged = merge_headers(F.col("headers"), DEFAULT_NETWORK.header_chars)
     ends = F.col("kind").isin("completed", "error")
     rows = gate(events).withColumn("_m", F.when(F.col("kind") == "headers", F.map_entries(merged)))
-    grouped = rows.groupBy("tab_id", "since", "request_id").agg(
+    in_order = Window.partitionBy("tab_id", "since").orderBy("ts", "seq")
+    other = ~F.lag("request_id").over(in_order).eqNullSafe(F.col("request_id"))
+    ended = F.coalesce(F.lag(ends).over(in_order), F.lit(False))
+    rows = rows.withColumn("_starts", (other | ended).cast("long"))
+    rows = rows.withColumn("_part", F.sum("_starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = rows.groupBy("tab_id", "since", "_part", "request_id").agg(
         F.min_by("url", F.struct("ts", "seq")).alias("requested_url"),
         F.max_by(F.struct("kind", "url", "status_code", "ts"), F.when(ends, F.struct("ts", "seq"))).alias("end"),
         _in_order("redirect", hop).alias("hops"),

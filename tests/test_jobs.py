@@ -261,6 +261,27 @@ def test_navigation_stream(spark, tmp_path):
     assert N.latest_per_tab(out).count() == 3
 
 
+def test_navigation_batch_and_stream_agree(spark, tmp_path):
+    """A second watch, requests that interleave, an error after the end, a request tried again."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", N.ROCKSDB)
+    b = "https://s/b"
+    sequences = [
+        [ev(0, "watch"), ev(1, "redirect", redirect=b, status=301), ev(2, "watch"), ev(3, "completed", url=b)],
+        [ev(0, "watch"), ev(1, "redirect", redirect=b, status=301), ev(2, "headers", url=b, req="q"), ev(3, "completed", url=b), ev(4, "completed", req="q")],
+        [ev(0, "watch"), ev(1, "completed"), ev(2, "error")],
+        [ev(0, "watch"), ev(1, "redirect", redirect=b, status=301), ev(2, "error"), ev(3, "headers", url=b, headers=[("vary", "x")]), ev(4, "completed", url=b)],
+        [ev(0, "watch"), ev(1, "completed"), ev(2, "completed", url=b), ev(3, "unwatch"), ev(4, "watch"), ev(5, "completed", url=b)],
+    ]
+    events = spark.createDataFrame([(i,) + e[1:] for i, seq in enumerate(sequences) for e in seq], NAV_EVENTS)
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = N.navigation_stream(spark.readStream.schema(NAV_EVENTS).parquet(str(tmp_path / "in")))
+    N.write_observations(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    batch = N.assemble(events)
+    streamed = spark.read.parquet(str(tmp_path / "out")).select(*batch.columns)
+    assert sorted(batch.collect(), key=str) == sorted(streamed.collect(), key=str)
+    assert [sum(r.tab_id == i for r in batch.collect()) for i in range(5)] == [1, 2, 1, 1, 3]
+
+
 def test_navigation_stream_over_micro_batches(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", N.ROCKSDB)
     long = "x" * 3_000
