@@ -9,8 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -27,6 +26,8 @@ OBSERVATION = (
 #: An observation, or (cleared) the end of a tab's watch, in the order of its event.
 CHANGE = f"{OBSERVATION}, seq bigint, cleared boolean"
 IDLE_MILLIS = 6 * 3600 * 1000
+#: State of a tab without one: watched, navigation under way, its timer.
+UNWATCHED = (False, "", 0)
 MAIN_FRAME = "main_frame"
 
 
@@ -41,23 +42,24 @@ class TabNavigation(StatefulProcessor):
 
     def __init__(self, changes: bool = False) -> None:
         self._changes = changes
-        self._columns = [c.split()[0] for c in (CHANGE if changes else OBSERVATION).split(", ")]
+        self._row = Row(*(c.split()[0] for c in (CHANGE if changes else OBSERVATION).split(", ")))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("tab", "watched boolean, pending string, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watched, pending, timer = self._state.get() if self._state.exists() else (False, "", 0)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # One call for the state; a tab that was never watched has none.
+        held = self._state.get() or UNWATCHED
+        watched, pending, timer = held
         nav = json.loads(pending) if pending else None
-        done = []
         # One micro-batch of one tab; a batch is bounded by maxFilesPerTrigger.
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        for e in events.itertuples(index=False):
+        events = sorted(rows, key=_place)
+        for e in events:
             if e.kind in ("watch", "unwatch"):
                 watched, nav = e.kind == "watch", nav if e.kind == "watch" else None
                 if self._changes and not watched:
-                    done.append((key[0], *[None] * 6, e.ts, e.seq, True))
+                    yield self._row(key[0], *[None] * 6, e.at, e.seq, True)
                 continue
             if not watched:
                 continue
@@ -71,34 +73,35 @@ class TabNavigation(StatefulProcessor):
             elif e.kind == "redirect":
                 nav["hops"].append([e.url, e.redirect_url, int(e.status_code)])
             elif e.kind == "completed":
-                done.append(_observation(key[0], nav, e) + ((e.seq, False) if self._changes else ()))
+                yield self._row(*_observation(key[0], nav, e), *((e.seq, False) if self._changes else ()))
                 nav = None
         # Event time, not the watermark (0 in the first batch), tells how long a navigation idles.
-        idle = max(timer, int(events["ts"].max().timestamp() * 1000) + IDLE_MILLIS) if nav else 0
+        idle = max(timer, max(e.at for e in events if e.at is not None) // 1000 + IDLE_MILLIS) if nav else 0
         if timer != idle:
             if timer:
                 self._handle.deleteTimer(timer)
             if idle:
                 self._handle.registerTimer(idle)
-        self._state.update((watched, json.dumps(nav) if nav else "", idle))
-        yield self._frame(done)
+        state = (watched, json.dumps(nav) if nav else "", idle)
+        if state != tuple(held):
+            self._state.update(state)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # A navigation that never completed is given up; the tab stays watched.
-        if self._state.exists():
-            watched, _, _ = self._state.get()
-            self._state.update((watched, "", 0))
-        yield self._frame([])
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        # A batch may hold ends of watches only: numbers stay whole next to nulls.
-        whole = {"status_code": "Int32"} | ({"seq": "Int64", "cleared": "boolean"} if self._changes else {})
-        return pd.DataFrame(rows, columns=self._columns).astype(whole)
+        held = self._state.get()
+        if held:
+            self._state.update((held[0], "", 0))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _place(event: Row) -> tuple:
+    """By time, then number; what has none comes last."""
+    return event.at is None, event.at or 0, event.seq is None, event.seq or 0
+
+
 def _merge(headers) -> dict[str, str]:
     out: dict[str, list[str]] = {}
     for h in headers if headers is not None else []:
@@ -112,22 +115,29 @@ def _observation(tab: int, nav: dict, event) -> tuple:
     hops = "|".join(f"{a}>{b}>{s}" for a, b, s in nav["hops"])
     headers = "|".join(f"{k}={v}" for k, v in sorted(nav["headers"].items()))
     return (
-        tab, nav["request"], nav["asked"], event.url, int(event.status_code), hops, headers, event.ts,
+        tab, nav["request"], nav["asked"], event.url, int(event.status_code), hops, headers, event.at,
     )
 
 
+def _by_tab(events: DataFrame, late: str, changes: bool) -> DataFrame:
+    """Rows, not frames, go through Python: a frame costs more than the few events of a tab.
+    Times are microseconds there, whatever the worker's time zone."""
+    keyed = main_frame(events).withColumn("at", F.unix_micros("ts")).withWatermark("ts", late).groupBy("tab_id")
+    columns = CHANGE if changes else OBSERVATION
+    rows = keyed.transformWithState(
+        TabNavigation(changes), columns.replace("observed_at timestamp", "observed_at bigint"), outputMode="append", timeMode="eventtime"
+    )
+    return rows.withColumn("observed_at", F.timestamp_micros("observed_at"))
+
+
 def navigation_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Event stream -> one observation per completed main-frame navigation."""
-    keyed = main_frame(events).withWatermark("ts", late).groupBy("tab_id")
-    return keyed.transformWithStateInPandas(
-        TabNavigation(), OBSERVATION, outputMode="append", timeMode="eventtime"
-    )
+    return _by_tab(events, late, changes=False)
 
 
 def change_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Event stream -> observations and ends of watches, for the serving table."""
-    keyed = main_frame(events).withWatermark("ts", late).groupBy("tab_id")
-    return keyed.transformWithStateInPandas(TabNavigation(changes=True), CHANGE, outputMode="append", timeMode="eventtime")
+    return _by_tab(events, late, changes=True)
 
 
 def write_observations(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

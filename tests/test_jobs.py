@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sitelens.operators import asof, compare, fetchlog
@@ -327,3 +328,33 @@ def test_serving_table_follows_watches(spark, tmp_path):
     rows = spark.createDataFrame([(1, "r", a, "https://s/old", 200, "", "", every.agg(F.min("ts")).first()[0], 0, False)], N.CHANGE)
     table.apply(N.serving_rows(rows))
     assert {r.tab_id: r.final_url for r in N.read_latest(table).collect()} == seen[-1]
+
+
+def test_a_tab_takes_few_calls_of_its_state():
+    """Rows come as rows, and what didn't change isn't written: each call is a trip to the state store."""
+
+    class State:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    def run(*events):
+        job = N.TabNavigation()
+        job._state, job._handle = state, None
+        names = [f.name for f in NAV_EVENTS] + ["at"]
+        rows = [Row(*names)(*e, int(e[-1].replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)) for e in events]
+        return list(job.handleInputRows((1,), iter(rows), None))
+
+    state = State()
+    assert run(ev(1, "completed"), ev(0, "headers")) == [] and state.calls == ["get"]
+    out = run(ev(4, "completed"), ev(3, "redirect", redirect="https://s/b", status=301), ev(2, "watch"))
+    assert [(r.final_url, r.hops) for r in out] == [("https://s/a", "https://s/a>https://s/b>301")]
+    state.calls.clear()
+    assert len(run(ev(5, "completed"))) == 1 and state.calls == ["get"]
