@@ -216,7 +216,9 @@ def index_expansion(c):
 
 
 def parsed_large(c):
-    return c.once("parsed_large", lambda: cut_lineage(S.parse_files(c.table("sitemap_files_large"))))
+    """The files come in parts: the body of the largest grows with the pages, beyond what a row can hold."""
+    parts = c.table("sitemap_parts_large").withColumn("part", F.struct("section", "part")).drop("section")
+    return c.once("parsed_large", lambda: cut_lineage(S.parse_files(parts)))
 
 
 @query(

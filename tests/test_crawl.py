@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from parity.registry import Inputs
 from sitelens.limits import RobotsLimits, SitemapLimits
 from sitelens.operators import robots as R
 from sitelens.operators import sitemaps as M
@@ -163,6 +164,44 @@ def test_large_files_are_cut_and_keep_their_order(spark):
     assert {r.error_code for r in small.collect()} == {"sitemap-fetch-oversized"}
 
 
+def test_files_in_parts_are_those_of_whole_bodies(spark):
+    """Parts are cut anywhere: in marks, names, comments, CDATA and entities."""
+    head = '\ufeff<?xml version="1.0"?>\n<!-- a <url> --><s:urlset xmlns:s="x" xmlns:h="y">'
+    body = (
+        "<s:url><s:loc><![CDATA[https://s.test/a?b=1&c=2</url><!-- ]]></s:loc><lastmod>1</lastmod></s:url>\n"
+        "<!-- <url><loc>no</loc></url> <![CDATA[ --><s:url><s:loc>https://s.test/a?b=1&amp;c=2</s:loc>"
+        '<h:link rel="alternate" hreflang="en" href="https://s.test/en"/></s:url >\n\n<s:url/><url><loc>\u00fc> \u00e9</loc></url>'
+        "<s:url><loc><![CDATA[ <!-- x --> <![CDATA[ ]]></loc></s:url><url><loc>https://s.test/a?b=1&amp;c=2</loc></url>"
+    )
+    index = "<sitemapindex><sitemap><loc>" + SITE + "/a.xml</loc></sitemap> <!-- b --><sitemap><loc>" + SITE + "/c.xml</loc></sitemap></sitemapindex>"
+    bodies = [
+        head + body + "</s:urlset>", head + body, head + body + "</s:urlset><!-- open", head + body.replace("a?b=1&amp;", "a & ") + "</s:urlset>",
+        head + body + "&bad;&worse;</s:urlset>", "<!DOCTYPE urlset>" + body + "&bad;", index, "abc", "  \n ", "<html>" + body + "</html>",
+        "<urlset></urlset>", "<urlset><sitemap></url></sitemap></urlset>", "<urlset><url><loc>x</loc></urlset>",
+    ]
+    files = sitemap(spark, [(SITE + f"/f{k}.xml", b) for k, b in enumerate(bodies)])
+    show = lambda df: sorted(map(str, df.collect()))
+    whole = M.parse_files(files)
+    told = show(whole.where("chunk = 0").drop("doc"))
+    rows = show(M.file_entries(whole)), show(M.child_refs(whole))
+    assert len(rows[0]) > 5 and len(rows[1]) == 2
+    for size in (1, 7, 100):
+        cuts = F.transform(F.sequence(F.lit(0), F.length("body"), F.lit(size)), lambda at: F.substr("body", at + 1, F.lit(size)))
+        parts = files.select("*", F.posexplode(cuts).alias("part", "piece")).drop("body").withColumnRenamed("piece", "body")
+        cut = M.parse_files(parts)
+        assert show(cut.where("chunk = 0").drop("doc")) == told
+        assert (show(M.file_entries(cut)), show(M.child_refs(cut))) == rows
+        assert cut.groupBy("file_url", "chunk").count().where("count > 1").isEmpty()
+
+
+def test_the_parts_of_the_large_sitemaps_are_their_bodies(spark):
+    inputs = Inputs(spark, "/root/testdata/sf0.001")
+    held = F.array_sort(F.collect_list(F.struct("section", "part", "body")))
+    joined = inputs.table("sitemap_parts_large").groupBy("root_url", "file_url").agg(F.array_join(F.transform(held, lambda h: h["body"]), "").alias("body"))
+    whole = inputs.table("sitemap_files_large").select("root_url", "file_url", "body")
+    assert sorted(joined.collect()) == sorted(whole.collect())
+
+
 def test_membership_prefers_the_exact_location(spark):
     xml = "<urlset><url><loc>https://s.test/a/</loc></url><url><loc>https://s.test/a</loc></url><url><loc>https://s.test/b/</loc></url></urlset>"
     p = M.parse_files(sitemap(spark, [(SITE + "/sitemap.xml", xml)]))
