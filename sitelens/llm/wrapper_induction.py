@@ -1,10 +1,11 @@
 """Main text of pages by wrapper induction.
 
-The DOM trees of a bounded sample of a host's pages are aligned by simple tree matching and
+The DOM trees of all different pages of a host are aligned by simple tree matching and
 merged into the host's wrapper, a tree of slots; neighbours of equal shape are one repeated
-slot.  Every page is then aligned with its host's wrapper, and Spark sums for each slot what all
-pages hold there: text, text of links, text of paragraphs, and the texts that the sampled pages
-have in common.  From these sums the wrapper tells its content: it goes down to the part that holds
+slot.  A page's own tree is a wrapper of one page; Spark merges wrappers in rounds, and counts over all
+pages which places a host's pages share.  Every page is then aligned with its host's wrapper, and Spark sums for
+each slot what all pages hold there: text, text of links, text of paragraphs, and the texts that the
+different pages have in common.  From these sums the wrapper tells its content: it goes down to the part that holds
 the running text, leaves out what stands beside it with little or mostly linked text, and texts
 that a slot has on nearly all pages are template.  Words of class and id (menu, advert, comments) and tags that never
 hold an article are left out as well, whatever their sums."""
@@ -15,24 +16,31 @@ import html as entities
 import pickle
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from zlib import crc32
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
+from math import ceil
+from zlib import compress, crc32, decompress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm.common import stored, table
 from sitelens.llm.url_rules import host_of
 
-#: Pages whose trees make up a wrapper, at most (its sums are over all pages), and at least for
-#: a host to have its own; smaller hosts share the wrapper of their domain.
-SAMPLE, LEAST = 10, 4
+#: Different pages that a host has at least for a wrapper of its own; smaller hosts share the
+#: wrapper of their domain.
+LEAST = 4
+#: Trees that one task merges, about.
+FAN = 256
+#: A wrapper's slots are the places that at least this share of all its different pages have (labels
+#: with an id of their own, as `post-123`, are on one page each); what a page has besides is judged by that page's sums.
+SHARED = 0.01
 #: Levels below two nodes that say how well they match.
 LOOK = 3
 #: What stands beside the running text with less than this share of it is not content.
 BESIDE = 0.25
-#: Share of the different sampled pages, and of all a slot's pages, that have a text of the template.
+#: Share of the different pages, and of all a slot's pages, that have a text of the template.
 OFTEN = 0.9
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>="']|=\s*"[^"]*"|=\s*'[^']*'|[="'])*+)>""")
@@ -60,6 +68,8 @@ class Node:
     below it, and lengths of its text: all, linked, in paragraphs, and outside of blocks."""
 
     __slots__ = ("tag", "label", "out", "parts", "blocks", "chars", "links", "para", "own", "_hash")
+    #: Pages that have it.
+    seen = 1
 
     def __init__(self, tag: str, names: str = "") -> None:
         self.tag, self.label = tag, f"{tag} {names}".rstrip()
@@ -86,6 +96,10 @@ class Node:
             self._hash = crc32(" ".join("".join(held).split()).encode("utf-8", "replace"))
         return self._hash
 
+    def texts(self) -> Iterable[tuple[int, int]]:
+        """Its text, with the pages that have it."""
+        return ((self.text_hash(), 1),) if self.own else ()
+
 
 def parse(page: str | None) -> Node:
     """Tree of a page; missing end tags are supplied, comments and declarations are dropped.
@@ -178,10 +192,10 @@ def parse(page: str | None) -> Node:
     return root
 
 
-Run = list[Node]
+Run = list["Node | Slot"]
 
 
-def runs(node: Node) -> list[Run]:
+def runs(node: Node | Slot) -> list[Run]:
     """The blocks of a node that may hold content; neighbours of one shape stand together."""
     out: list[Run] = []
     last = None
@@ -203,9 +217,9 @@ class Slot:
     def __init__(self, label: str) -> None:
         self.label = label
         self.children: list[Slot] = []
-        #: Its place in the wrapper, and how many different sampled pages have it.
+        #: Its place in the wrapper, and how many different pages have it.
         self.number = self.seen = 0
-        #: Texts (hashes) of its nodes, with the sampled pages that have them.
+        #: Texts (hashes) of its nodes, with the different pages that have them.
         self.common: Counter = Counter()
         self.sums = Sums()
         #: Not content; its texts that are template; the child that the running text is in.
@@ -214,6 +228,13 @@ class Slot:
     def shape(self) -> tuple:
         return self.label, tuple(sorted({c.label for c in self.children}))
 
+    @property
+    def blocks(self) -> list[Slot]:
+        return self.children
+
+    def texts(self) -> Iterable[tuple[int, int]]:
+        return self.common.items()
+
     @property
     def textual(self) -> bool:
         return self.label.split(" ", 1)[0] in _TEXTUAL
@@ -250,7 +271,13 @@ def _weight(slot: Slot, run: Run, look: int) -> int:
     """Nodes that the two trees have in common, in order: one for the roots and those below."""
     if not look or not slot.children or not run[0].blocks:
         return 1
-    return 1 + _table(slot.children, runs(run[0]), look - 1)[-1][-1]
+    return 1 + _table(*_alike(slot.children, runs(run[0])), look - 1)[-1][-1]
+
+
+def _alike(slots: list[Slot], own: list[Run]) -> tuple[list[Slot], list[Run]]:
+    """Those of a label that is on both sides; no other can pair."""
+    labels = {s.label for s in slots} & {r[0].label for r in own}
+    return [s for s in slots if s.label in labels], [r for r in own if r[0].label in labels]
 
 
 def _table(slots: list[Slot], own: list[Run], look: int) -> list[list[int]]:
@@ -271,7 +298,7 @@ def match(slots: list[Slot], own: list[Run]) -> list[tuple[Slot, Run]]:
     while k < most and slots[k].shape() == own[k][0].shape():
         k += 1
     head = list(zip(slots[:k], own[:k], strict=True))
-    slots, own = slots[k:], own[k:]
+    slots, own = _alike(slots[k:], own[k:])
     best = _table(slots, own, LOOK)
     pairs, i, j = [], len(slots), len(own)
     while i and j:
@@ -285,18 +312,22 @@ def match(slots: list[Slot], own: list[Run]) -> list[tuple[Slot, Run]]:
     return head + pairs[::-1]
 
 
-def grow(root: Slot, tree: Node) -> None:
-    """Merge a page into a wrapper: labels that a slot's children lack are added in place."""
+def grow(root: Slot, tree: Node | Slot) -> None:
+    """Merge a page, or a wrapper of other pages, into a wrapper: labels that a slot's children lack are added in place."""
     todo: list[tuple[Slot, Run]] = [(root, [tree])]
-    texts: dict[int, set[int]] = {}
+    texts: dict[int, dict[int, int]] = {}
     while todo:
         slot, nodes = todo.pop()
         if id(slot) not in texts:
-            texts[id(slot)] = set()
-            slot.seen += 1
-        new = {n.text_hash() for n in nodes if n.own} - texts[id(slot)]
-        slot.common.update(new)
-        texts[id(slot)] |= new
+            texts[id(slot)] = {}
+            slot.seen += nodes[0].seen
+        # A slot that is met again adds no page twice.
+        held = texts[id(slot)]
+        for node in nodes:
+            for x, n in node.texts():
+                if n > held.get(x, 0):
+                    slot.common[x] += n - held.get(x, 0)
+                    held[x] = n
         for node in nodes:
             own = runs(node)
             met = {id(r): s for s, r in match(slot.children, own)}
@@ -376,18 +407,18 @@ def dumps(root: Slot) -> bytes:
     rows, parents = [], {id(root): -1}
     slots = numbered(root)
     for s in slots:
-        rows.append((s.label, parents[id(s)], s.common, s.sums.row(), s.out, s.template, s.spine.number if s.spine else None))
+        rows.append((s.label, parents[id(s)], s.seen, dict(s.common), s.sums.row(), s.out, s.template, s.spine.number if s.spine else None))
         for c in s.children:
             parents[id(c)] = s.number
-    return pickle.dumps(rows)
+    return compress(pickle.dumps(rows), 1)
 
 
 def loads(held: bytes) -> list[Slot]:
     """The slots by number; the first is the root."""
-    rows = pickle.loads(held)
+    rows = pickle.loads(decompress(held))
     slots = [Slot(r[0]) for r in rows]
-    for slot, (_, parent, common, sums, out, template, spine) in zip(slots, rows, strict=True):
-        slot.common, slot.sums, slot.out, slot.template = common, Sums(*sums), out, template
+    for slot, (_, parent, seen, common, sums, out, template, spine) in zip(slots, rows, strict=True):
+        slot.seen, slot.common, slot.sums, slot.out, slot.template = seen, Counter(common), Sums(*sums), out, template
         slot.spine = slots[spine] if spine is not None else None
         if parent >= 0:
             slots[parent].children.append(slot)
@@ -395,20 +426,40 @@ def loads(held: bytes) -> list[Slot]:
     return slots
 
 
-def induce(pages: list[str | None]) -> Slot:
-    """The tree of a wrapper from sampled pages; the page with the most text comes first."""
+def of_page(tree: Node) -> Slot:
+    """A wrapper of one page."""
     root = Slot("#page")
-    for tree in sorted((parse(p) for p in dict.fromkeys(pages)), key=lambda t: -t.chars):
-        grow(root, tree)
+    grow(root, tree)
+    return root
+
+
+def places(root: Slot) -> Iterator[tuple[int, Slot]]:
+    """Every slot with a number for the labels on its way from the root."""
+    todo = [(0, root)]
+    while todo:
+        above, slot = todo.pop()
+        way = int.from_bytes(blake2b(f"{above} {slot.label}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+        yield way, slot
+        todo.extend((way, c) for c in slot.children)
+
+
+def keep(root: Slot, ways: set[int], texts: set[int]) -> None:
+    """Leave a wrapper with the slots of these places and with these texts."""
+    kept = {id(slot) for way, slot in places(root) if way in ways}
+    for slot in numbered(root):
+        slot.children = [c for c in slot.children if id(c) in kept]
+        slot.common = Counter({x: n for x, n in slot.common.items() if x in texts})
+
+
+def settle(root: Slot) -> None:
+    """Leave the texts that nearly all different pages of a whole wrapper have in common."""
     for slot in numbered(root):
         slot.common = Counter({x: n for x, n in slot.common.items() if root.seen >= LEAST and n >= OFTEN * root.seen})
-    return root
 
 
 def alone(tree: Node) -> Slot:
     """A wrapper of one page, decided by what that page holds."""
-    root = Slot("#page")
-    grow(root, tree)
+    root = of_page(tree)
     for slot in numbered(root):
         slot.common = Counter()
     sums: dict[int, Sums] = defaultdict(Sums)
@@ -504,22 +555,85 @@ def grouped(pages: DataFrame) -> DataFrame:
     return pages.join(stored(small, "small-hosts"), "host", "left").withColumn("group", F.when(F.col("small"), _domain(F.col("host"))).otherwise(F.col("host"))).drop("small")
 
 
+def merged_trees(pages: DataFrame) -> DataFrame:
+    """group and tree (binary) of (group, hash, html): the tree of all different pages of each group.
+
+    The trees of pages are dealt by hash to tasks of about FAN, merged, and the results again until a
+    group has one tree; the page with the most text comes first.  A merged tree keeps the places
+    that SHARED of the group's pages have and the texts that OFTEN of them have, both counted over all pages,
+    so it grows with what pages have in common, not with their number."""
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            once = batch.drop_duplicates(["group", "hash"])
+            read = list(map(parse, once["html"]))
+            yield once[["group", "hash"]].assign(chars=[t.chars for t in read], tree=[dumps(of_page(t)) for t in read])
+
+    of_pages = pages.mapInPandas(own, "group string, hash long, chars long, tree binary").dropDuplicates(["group", "hash"])
+    of_pages = stored(of_pages, "page-trees")
+    sizes = stored(of_pages.groupBy("group").agg(F.count("*").alias("size")), "sizes")
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: Counter = Counter()
+            for group, tree in zip(batch["group"], batch["tree"], strict=True):
+                held_by = list(places(loads(tree)[0]))
+                found.update({(group, False, way) for way, _ in held_by})
+                found.update({(group, True, x) for _, slot in held_by for x in slot.common})
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["group", "is_text", "key", "n"])
+
+    counts = of_pages.select("group", "tree").mapInPandas(held, "group string, is_text boolean, key long, n long")
+    counts = counts.groupBy("group", "is_text", "key").agg(F.sum("n").alias("n")).join(sizes, "group")
+    shared = counts.where(F.when(F.col("is_text"), F.col("n") >= OFTEN * F.col("size")).otherwise(F.col("n") >= SHARED * F.col("size")))
+    shared = shared.groupBy("group").agg(
+        F.collect_list(F.when(~F.col("is_text"), F.col("key"))).alias("ways"), F.collect_list(F.when(F.col("is_text"), F.col("key"))).alias("texts")
+    )
+    shared = stored(shared, "shared")
+
+    def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["chars", "hash"], ascending=[False, True])
+        root = Slot("#page")
+        for tree in rows["tree"]:
+            grow(root, loads(tree)[0])
+        return pd.DataFrame({"group": [key[0]], "hash": [key[1]], "chars": [rows["chars"].iloc[0]], "tree": [dumps(root)]})
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for tree, ways, texts in zip(batch["tree"], batch["ways"], batch["texts"], strict=True):
+                root = loads(tree)[0]
+                keep(root, set(ways), set(texts))
+                out.append(dumps(root))
+            yield batch[["group", "hash", "chars"]].assign(tree=out)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for tree in batch["tree"]:
+                root = loads(tree)[0]
+                settle(root)
+                out.append(dumps(root))
+            yield pd.DataFrame({"group": batch["group"], "tree": out})
+
+    columns = "group string, hash long, chars long, tree binary"
+    dealt = of_pages.join(sizes, "group").withColumn("task", F.pmod("hash", F.ceil(F.col("size") / FAN)))
+    trees = dealt.select("group", "hash", "chars", "tree", "task").groupBy("group", "task").applyInPandas(merged, columns)
+    trees = trees.join(shared, "group").mapInPandas(bounded, columns)
+    most = ceil((sizes.agg(F.max("size")).first()[0] or 0) / FAN)
+    while most > 1:
+        most = ceil(most / FAN)
+        trees = trees.withColumn("task", F.floor(F.col("hash") / FAN)).groupBy("group", "task").applyInPandas(merged, columns)
+    return stored(trees.mapInPandas(whole, "group string, tree binary"), "trees")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """group and wrapper (binary) of (group, hash, html).
 
-    The tree comes from at most SAMPLE different pages of a group, the first by hash; each task hands on
-    no more than SAMPLE hashes of a group and one copy of each page, so a group may have any share
-    of the rows.  The sums are of all rows, added up in each task before they are shuffled."""
-    first = Window.partitionBy("group").orderBy("hash")
-    keys = pages.select("group", "hash").distinct().withColumn("order", F.row_number().over(first)).where(F.col("order") <= SAMPLE)
-    drawn = pages.join(stored(keys, "drawn"), ["group", "hash"]).select("group", "html", "order").distinct()
-
+    The tree is that of all different pages of a group, the sums are of all its rows, added up in each
+    task before they are shuffled: a group may have any share of the rows."""
+    trees = merged_trees(pages)
     counted = Sums.__slots__[:5]
 
-    def trees(group: pd.DataFrame) -> pd.DataFrame:
-        held = dumps(induce(list(group.sort_values(["order", "html"])["html"])))
-        return pd.DataFrame({"group": group["group"].iloc[:1], "tree": [held]})
-
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Slot] = {}
         for batch in batches:
@@ -534,12 +648,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
             texts_of = [(*k, x, n, 0, 0, 0, 0) for k, s in found.items() for x, n in s.texts.items()]
             yield pd.DataFrame(sums_of + texts_of, columns=["group", "slot", "text", *counted]).astype({"text": "Int64"})
 
-    drawn_trees = stored(drawn.groupBy("group").applyInPandas(trees, "group string, tree binary"), "trees")
     columns = "group string, slot int, text long, " + ", ".join(f"{c} long" for c in counted)
-    found = pages.join(drawn_trees, "group").select("group", "html", "tree").mapInPandas(sums, columns)
+    found = pages.join(trees, "group").select("group", "html", "tree").mapInPandas(sums, columns)
     # A row without text has a slot's sums; one with a text, the pages that have it there.
     total = found.groupBy("group", "slot", "text").agg(*(F.sum(c).alias(c) for c in counted))
-    # A wrapper's slots are those of SAMPLE pages, however many pages the sums are of.
+    # A wrapper's slots are places that its pages share, however many pages the sums are of.
     by_group = total.groupBy("group").agg(F.collect_list(F.struct("slot", "text", *counted)).alias("sums"))
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -556,7 +669,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 held.append(dumps(slots[0]))
             yield pd.DataFrame({"group": batch["group"], "wrapper": held})
 
-    return drawn_trees.join(by_group, "group").mapInPandas(judged, "group string, wrapper binary")
+    return trees.join(by_group, "group").mapInPandas(judged, "group string, wrapper binary")
 
 
 def _held(known: dict[str, Slot], group: str, wrapper: bytes) -> Slot:

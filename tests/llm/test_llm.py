@@ -366,3 +366,28 @@ def test_near_duplicates_keep_each_text_of_an_id(spark):
     rows = [(1, one), (1, other), (1, one.replace(" ", "  ")), (2, one), (None, one)]
     kept = order_minhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r["doc_id"] or 0, " ".join(r["text"].split())) for r in kept) == [(0, one), (1, one), (1, other)]
+
+
+def test_a_wrapper_is_made_of_all_pages_of_a_host(spark):
+    page = "<body><section class='x{1}'><p>Story {0} of a kind</p></section><div id='post-{0}'>{0}</div></body>"
+    rows = [(k, "http://a.b/", page.format(k, k % 30)) for k in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    read = pages.select(F.lit("a.b").alias("group"), F.xxhash64("html").alias("hash"), "html")
+    held = [r["wrapper"] for r in wrapper_induction.wrappers(read).collect()]
+    assert len(held) == 1
+    slots = wrapper_induction.loads(held[0])
+    pages_of = {s.label: s.sums.pages for s in slots if s.label.startswith("section")}
+    assert slots[0].seen == 900 and pages_of == {f"section x{k}": 30 for k in range(30)}
+    # Labels of one page each are not held, so the wrapper doesn't grow with the pages.
+    assert not any("post" in s.label for s in slots)
+
+
+def test_template_texts_are_counted_on_all_pages(spark):
+    story = "<body><div><p>Story {0} and what came of it</p>{1}</div></body>"
+    made = [(k, story.format(k, "<p>Printed on our own press</p>" if k % 2 else "")) for k in range(400)]
+    hashed = spark.createDataFrame(made, "page_id long, html string").withColumn("hash", F.xxhash64("html")).orderBy("hash").collect()
+    # The first pages by hash lack the notice, nearly all have it.
+    rows = [r for r in hashed if r["page_id"] % 2 == 0][:2] + [r for r in hashed if r["page_id"] % 2][-40:]
+    pages = spark.createDataFrame([(r["page_id"], "http://a.b/", r["html"]) for r in rows], "page_id long, url string, html string")
+    got = {(r["page_id"], r["text"]) for r in wrapper_induction.main_texts(pages).collect()}
+    assert got == {(r["page_id"], f"Story {r['page_id']} and what came of it") for r in rows}
