@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ SKETCHES, KEEP = 32, 4
 CHUNK_CHARS = 4_000_000
 #: Ranks held at a time while a text is sketched.
 MOST_RANKS = 1 << 16
+#: Near pairs of different components.
+ACROSS = pa.schema({"a": pa.int64(), "b": pa.int64(), "similarity": pa.float64(), "a_component": pa.int64(), "b_component": pa.int64()})
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(2**64 - 1)
@@ -227,13 +230,15 @@ def blocks(members: DataFrame) -> DataFrame:
 
     members has (sketch, rep, component, chars).  In a group, the component with most members is
     apart from the rest; both are split by a hash into chunks of about CHUNK_CHARS.  Each pair
-    of chunks is a block, but for two of the greatest component: all its pairs are connected."""
+    of chunks is a block, but for two of the greatest component, and for two of the rest if that is
+    one component too: all their pairs are connected."""
     counts = members.groupBy("sketch", "component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     most = F.max(F.struct("n", "component"))
     groups = counts.groupBy("sketch").agg(most["component"].alias("main"), F.sum("chars").alias("all"), F.max(F.struct("n", "component", "chars"))["chars"].alias("inside"), F.count("*").alias("parts"))
     groups = groups.where("parts > 1").select(
         "sketch",
         "main",
+        "parts",
         F.ceil(F.col("inside") / CHUNK_CHARS).alias("k_main"),
         F.ceil((F.col("all") - F.col("inside")) / CHUNK_CHARS).alias("k_rest"),
     )
@@ -242,8 +247,9 @@ def blocks(members: DataFrame) -> DataFrame:
     # Chunks of the rest come first: 0 to k_rest - 1, then those of the main component.
     chunk = F.when(F.col("is_main"), F.col("k_rest") + F.pmod(salt, F.col("k_main"))).otherwise(F.pmod(salt, F.col("k_rest")))
     placed = placed.withColumn("chunk", chunk)
+    rest_begin = F.when(F.col("parts") > 2, F.lit(0).cast("long")).otherwise(F.col("k_rest"))
     partners = F.when(F.col("is_main"), F.sequence(F.lit(0).cast("long"), F.col("k_rest") - 1)).otherwise(
-        F.sequence(F.lit(0).cast("long"), F.col("k_rest") + F.col("k_main") - 1)
+        F.sequence(rest_begin, F.col("k_rest") + F.col("k_main") - 1)
     )
     dealt = placed.withColumn("partner", F.explode(partners))
     return dealt.select(
@@ -257,36 +263,49 @@ def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
 
     texts has (rep, text, sketches): a pair is compared in the smallest sketch that both have."""
 
-    def verify(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["rep", "component"], ignore_index=True)
-        parts = [labelled(shingles(t)) for t in block["text"]]
-        rep, chunk = block["rep"].to_numpy(), block["chunk"].to_numpy()
-        sizes = np.array([len(p) for p in parts])
-        names, place = np.unique(np.concatenate(parts), return_inverse=True)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        component = np.unique(block["component"].to_numpy(), return_inverse=True)[1]
-        named = block["component"].to_numpy()
-        held = np.zeros(len(names), dtype=np.int32)
+    def verify(key: tuple, block: pa.Table) -> pa.Table:
+        sketch, i, j = (k.as_py() for k in key)
+        block = block.take(np.lexsort((block["component"].to_numpy(), block["rep"].to_numpy())))
+        rep, chunk, named = (block[c].to_numpy() for c in ("rep", "chunk", "component"))
+        component = np.unique(named, return_inverse=True)[1]
         # Sketches below the block's: who shares one of them is compared there.
-        below = [s[s < key[0]] for s in block["sketches"]]
-        owner = np.repeat(np.arange(len(rep)), list(map(len, below)))
-        lower_names, lower = np.unique(np.concatenate(below), return_inverse=True)
+        lists = block["sketches"].combine_chunks()
+        below = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy())[below < sketch]
+        lower_names, lower = np.unique(below[below < sketch], return_inverse=True)
         lower_begin = np.searchsorted(owner, np.arange(len(rep) + 1))
         marked = np.zeros(len(lower_names), dtype=bool)
-        two, rows = key[1] != key[2], []
-        for x in np.flatnonzero(chunk == key[1]):
-            other = component != component[x]
-            other &= (chunk == key[2]) if two else (np.arange(len(rep)) > x)
-            need = np.ceil((sizes + sizes[x]) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
-            other &= np.minimum(sizes, sizes[x]) >= need
-            if not other.any():
-                continue
+        first, rows = np.flatnonzero(chunk == i), []
+
+        def others(x: int, fits: np.ndarray | bool = True) -> np.ndarray:
+            other = (component != component[x]) & fits
+            other &= (chunk == j) if i != j else (np.arange(len(rep)) > x)
             mine = lower[lower_begin[x] : lower_begin[x + 1]]
-            if len(mine):
+            if len(mine) and other.any():
                 marked[mine] = True
                 other[owner[marked[lower]]] = False
                 marked[mine] = False
-            left = np.flatnonzero(other)
+            return np.flatnonzero(other)
+
+        # Most pairs are compared in another block: only texts that meet one here are shingled.
+        met = np.zeros(len(rep), dtype=bool)
+        for x in first:
+            left = others(x)
+            if len(left):
+                met[x] = met[left] = True
+                if met.all():
+                    break
+        if not met.any():
+            return pa.Table.from_pylist([], schema=ACROSS)
+        parts = [labelled(shingles(t.as_py() if m else None)) for t, m in zip(block["text"], met, strict=True)]
+        sizes = np.array([len(p) for p in parts])
+        names, place = np.unique(np.concatenate(parts), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        held = np.zeros(len(names), dtype=np.int32)
+        for x in first[met[first]]:
+            # A text without words is near none.
+            need = np.maximum(np.ceil((sizes + sizes[x]) * SIMILARITY / (1 + SIMILARITY) - 1e-9), 1).astype(int)
+            left = others(x, np.minimum(sizes, sizes[x]) >= need)
             if not len(left):
                 continue
             own = place[begin[x] : begin[x] + sizes[x]]
@@ -295,20 +314,20 @@ def _across(dealt: DataFrame, texts: DataFrame) -> DataFrame:
             held[own] = 0
             for y in left[shared >= need[left]]:
                 if component[x] != component[y] and rep[x] != rep[y]:
-                    total = int(sizes[x] + sizes[y])
-                    length = common_subsequence(parts[x], parts[y], total - 2 * int(need[y]))
-                    if length is not None and length >= need[y]:
+                    total, least = int(sizes[x] + sizes[y]), int(need[y])
+                    length = common_subsequence(parts[x], parts[y], total - 2 * least)
+                    if length is not None and length >= least:
                         pair = sorted((rep[x], rep[y]))
                         rows.append((*pair, length / (total - length), named[x], named[y]))
                         component[component == component[y]] = component[x]
-        columns = ["a", "b", "similarity", "a_component", "b_component"]
-        return pd.DataFrame(rows, columns=columns).astype(dict.fromkeys(columns, "int64") | {"similarity": "float64"})
+        return pa.Table.from_pylist([dict(zip(ACROSS.names, r, strict=True)) for r in rows], schema=ACROSS)
 
     # Work per byte is high: as many tasks as the session deals out, not merged by their bytes.
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = dealt.join(texts, "rep").select("sketch", "i", "j", "chunk", "rep", "component", "text", "sketches").repartition(n, "sketch", "i", "j")
     schema = "a long, b long, similarity double, a_component long, b_component long"
-    return both.groupBy("sketch", "i", "j").applyInPandas(verify, schema)
+    # Most blocks are a few rows, for which a pandas frame costs more than the comparison.
+    return both.groupBy("sketch", "i", "j").applyInArrow(verify, schema)
 
 
 def near_pairs(entries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

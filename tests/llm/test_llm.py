@@ -391,3 +391,28 @@ def test_template_texts_are_counted_on_all_pages(spark):
     pages = spark.createDataFrame([(r["page_id"], "http://a.b/", r["html"]) for r in rows], "page_id long, url string, html string")
     got = {(r["page_id"], r["text"]) for r in wrapper_induction.main_texts(pages).collect()}
     assert got == {(r["page_id"], f"Story {r['page_id']} and what came of it") for r in rows}
+
+
+def test_blocks_hold_only_what_is_to_be_compared(spark):
+    rows = [(7, 1, 1, 10), (7, 2, 1, 10), (7, 3, 3, 10), (8, 4, 4, 10), (8, 5, 5, 10), (8, 6, 6, 10), (9, 7, 7, 10), (9, 8, 7, 10)]
+    dealt = order_minhash.blocks(spark.createDataFrame(rows, "sketch long, rep long, component long, chars long")).collect()
+    found = {}
+    for r in dealt:
+        found.setdefault((r["sketch"], r["i"], r["j"]), set()).add((r["chunk"], r["rep"]))
+    pairs = set()
+    for (sketch, i, j), own in found.items():
+        here = {(sketch, *sorted((a, b))) for c, a in own for d, b in own if a != b and sorted((c, d)) == [i, j]}
+        assert here, "a block without a pair"
+        assert not here & pairs
+        pairs |= here
+    component = {r[1]: r[2] for r in rows}
+    apart = {(s, a, b) for s, a, _, _ in rows for t, b, _, _ in rows if s == t and a < b and component[a] != component[b]}
+    assert apart <= pairs and not any(component[a] == component[b] for _, a, b in pairs)
+
+
+def test_ids_that_also_have_a_text_without_words(spark):
+    words = [f"w{k}" for k in range(400)]
+    other = [w if k % 25 else f"x{k}" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (1, ""), (2, " ".join(other)), (2, " ")]
+    got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == [(1, 1, 0)] * 2 + [(2, 2, 0)] * 2
