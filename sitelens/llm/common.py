@@ -48,11 +48,17 @@ def fold(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def worker_cache() -> dict:
+def worker_cache(user: str) -> dict:
     """A dictionary that lives as long as the Python worker: code shipped by value has new
-    module variables in every task."""
+    module variables in every task.
+
+    Workers outlive the stages of a pipeline: what another user kept is dropped."""
     name = "sitelens_llm_worker_cache"
     if name not in sys.modules:
         sys.modules[name] = ModuleType(name)
-        sys.modules[name].held = {}
-    return sys.modules[name].held
+        sys.modules[name].user, sys.modules[name].held = user, {}
+    own = sys.modules[name]
+    if own.user != user:
+        own.held.clear()
+        own.user = user
+    return own.held

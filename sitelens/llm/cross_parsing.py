@@ -180,7 +180,7 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Dat
 
     @F.pandas_udf("lang_pred string, score double, bits_per_letter double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = worker_cache()
+        cache = worker_cache("cross_parsing")
         if cache.get("parser", (None,))[0] != known:
             cache["parser"] = known, Parser(dict(known))
         decide = cache["parser"][1].decide

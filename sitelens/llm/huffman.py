@@ -165,7 +165,7 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    cache = worker_cache()
+    cache = worker_cache("huffman")
     if cache.get("encoder", (None,))[0] != path:
         cache["encoder"] = path, Encoder(path)
     return cache["encoder"][1]

@@ -54,7 +54,7 @@ _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _STEP and of its inverse, ``size`` at least; a worker keeps them."""
-    cache = worker_cache()
+    cache = worker_cache("order_minhash")
     if len(cache.get("powers", ((),))[0]) < size:
         factors = np.full((2, 2 * size), [[_STEP], [_BACK]], dtype=np.uint64)
         factors[:, 0] = 1

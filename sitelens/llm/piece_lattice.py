@@ -99,7 +99,7 @@ class Pieces:
 
 
 def pieces(path: str) -> Pieces:
-    cache = worker_cache()
+    cache = worker_cache("piece_lattice")
     if cache.get("pieces", (None,))[0] != path:
         cache["pieces"] = path, Pieces(path)
     return cache["pieces"][1]

@@ -350,7 +350,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     run_id = uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = worker_cache()
+        cache = worker_cache("recurrent_lm")
         if cache.get("lm", (None,))[0] != run_id:
             own_head, own_flat = shipped.value
             cache["lm"] = (

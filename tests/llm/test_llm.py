@@ -23,6 +23,7 @@ from sitelens.llm import (
     vectors,
     wrapper_induction,
 )
+from sitelens.llm.common import worker_cache
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, part int"
@@ -416,3 +417,11 @@ def test_ids_that_also_have_a_text_without_words(spark):
     rows = [(1, " ".join(words)), (1, ""), (2, " ".join(other)), (2, " ")]
     got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == [(1, 1, 0)] * 2 + [(2, 2, 0)] * 2
+
+
+def test_a_worker_keeps_what_one_operator_needs():
+    worker_cache("one")["big"] = [0]
+    assert worker_cache("one") == {"big": [0]}
+    assert worker_cache("two") == {}
+    worker_cache("two")["own"] = 1
+    assert worker_cache("two") == {"own": 1} and worker_cache("one") == {}
