@@ -425,3 +425,30 @@ def test_a_worker_keeps_what_one_operator_needs():
     assert worker_cache("two") == {}
     worker_cache("two")["own"] = 1
     assert worker_cache("two") == {"own": 1} and worker_cache("one") == {}
+
+
+def test_ids_of_chunks_cut_and_coded_together():
+    """Words go to the tokenizer's model, documents are coded side by side; both as one by one."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    signs = " ".join(f"{chr(a)}{b}" for a in range(33, 400) for b in "a.'\u0301\u00e9")
+    texts = [signs, None, "", " ", "STRASSE straße ÀÖØßöøÿ.,;:!?|)###", "İ Σς X's don't'", "<|endoftext|>a 漢字\r\x0b…", "word###\nword### Word"]
+    library = Tokenizer.from_file(huffman.tokenizer_path())
+    own = huffman.Encoder(huffman.tokenizer_path())
+    assert own.plain
+    kind = own.kind
+    column = own.ids(pa.array(["left out", *texts]).slice(1))
+    want = [[*library.encode(x or "", add_special_tokens=False).ids, huffman.END] for x in texts]
+    assert [np.frombuffer(x, kind).tolist() for x in column.to_pylist()] == want
+    flat, n = huffman.flat_ids(column, kind)
+    assert flat.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    seen, many = np.unique(flat, return_counts=True)
+    code = huffman.Code(huffman.code_lengths(dict(zip(seen.tolist(), many.tolist(), strict=True))))
+    bits, starts, begins = code.encode(flat, n)
+    first = np.cumsum(n) - n
+    assert not begins[first].any()
+    assert np.array_equal(code.decode(bits, 32 * starts[:-1], n), flat)
+    for k, ids in enumerate(want):
+        alone, _, _ = code.encode(np.array(ids, dtype=kind), np.array([len(ids)]))
+        assert alone.tobytes() == bits[starts[k] : starts[k + 1]].tobytes()
