@@ -39,36 +39,45 @@ HEAD = 3
 
 
 class SuffixAutomaton:
-    """Smallest automaton of all substrings of a text: a dictionary of transitions per state,
-    and the states of all its substrings of HEAD characters."""
+    """Smallest automaton of all substrings of texts: a dictionary of transitions per state,
+    and the states of all their substrings of HEAD characters."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, *texts: str) -> None:
         step: list[dict[str, int]] = [{}]
         link, length = [-1], [0]
-        last = 0
-        for c in text:
-            new = len(link)
-            link.append(0)
-            length.append(length[last] + 1)
-            step.append({})
-            at = last
-            while at >= 0 and c not in step[at]:
-                step[at][c] = new
+
+        def state(step_of: dict[str, int], link_of: int, length_of: int) -> int:
+            step.append(step_of)
+            link.append(link_of)
+            length.append(length_of)
+            return len(step) - 1
+
+        def twin(at: int, c: str, to: int) -> int:
+            """A copy of ``to`` for the shorter substrings that come from ``at``."""
+            own = state(step[to].copy(), link[to], length[at] + 1)
+            while at >= 0 and step[at].get(c) == to:
+                step[at][c] = own
                 at = link[at]
-            if at >= 0:
-                to = step[at][c]
-                if length[to] == length[at] + 1:
-                    link[new] = to
-                else:
-                    twin = len(link)
-                    link.append(link[to])
-                    length.append(length[at] + 1)
-                    step.append(step[to].copy())
-                    while at >= 0 and step[at].get(c) == to:
-                        step[at][c] = twin
-                        at = link[at]
-                    link[to] = link[new] = twin
-            last = new
+            link[to] = own
+            return own
+
+        for text in texts:
+            last = 0
+            for c in text:
+                to = step[last].get(c)
+                if to is not None:
+                    # Another text began so.
+                    last = to if length[to] == length[last] + 1 else twin(last, c, to)
+                    continue
+                new = state({}, 0, length[last] + 1)
+                at = last
+                while at >= 0 and c not in step[at]:
+                    step[at][c] = new
+                    at = link[at]
+                if at >= 0:
+                    to = step[at][c]
+                    link[new] = to if length[to] == length[at] + 1 else twin(at, c, to)
+                last = new
         self.step = step
         self.heads = {"": 0}
         for _ in range(HEAD):
@@ -97,9 +106,11 @@ class Parser(dict):
     def __init__(self, samples: dict[str, str]) -> None:
         super().__init__()
         self.languages = sorted(samples)
-        self.automata = [SuffixAutomaton(samples[x]) for x in self.languages]
+        # What is parsed has a blank at its end alone, so each word of a sample, with its blank, is a
+        # text of its own: no state is spent on what crosses words.
+        self.automata = [SuffixAutomaton(" ", *(w + " " for w in dict.fromkeys(samples[x].split()))) for x in self.languages]
         self.bits = np.array([math.log2(len(samples[x]) + 2) for x in self.languages])
-        self.used, self.counts = 0, np.zeros((4096, len(self.languages) + 1), dtype=np.int64)
+        self.used, self.counts = 0, np.zeros((4096, len(self.languages) + 1), dtype=np.int32)
 
     def __missing__(self, chunk: str) -> int:
         words = _LETTERS.findall(chunk.lower())
@@ -118,12 +129,12 @@ class Parser(dict):
         if len(self) > KEPT_WORDS:
             self.clear()
             self.used = 0
-            self.counts = np.zeros((4096, len(self.languages) + 1), dtype=np.int64)
+            self.counts = np.zeros((4096, len(self.languages) + 1), dtype=np.int32)
         chunks = text.split()
         total = np.zeros(len(self.languages) + 1, dtype=np.int64)
         for start in range(0, len(chunks), KEPT_WORDS):
             rows = np.fromiter(map(self.__getitem__, chunks[start : start + KEPT_WORDS]), dtype=np.int64)
-            total += self.counts[rows].sum(axis=0)
+            total += self.counts[rows].sum(axis=0, dtype=np.int64)
         return total
 
     def decide(self, text: str | None) -> tuple[str, float, float | None]:

@@ -452,3 +452,15 @@ def test_ids_of_chunks_cut_and_coded_together():
     for k, ids in enumerate(want):
         alone, _, _ = code.encode(np.array(ids, dtype=kind), np.array([len(ids)]))
         assert alone.tobytes() == bits[starts[k] : starts[k + 1]].tobytes()
+
+
+def test_words_of_a_sample_have_no_states_across_them():
+    """An automaton of the words alone parses as one of the whole sample, in far fewer states."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdé"), rng.integers(1, 9))) for _ in range(3000)]
+    sample = " " + " ".join(words) + " "
+    whole, own = cross_parsing.SuffixAutomaton(sample), cross_parsing.Parser({"x": sample}).automata[0]
+    assert 2 * len(own.step) < len(whole.step)
+    for _ in range(500):
+        word = "".join(rng.choice(list("abcdéz"), rng.integers(0, 14))) + " "
+        assert own.phrases(word) == whole.phrases(word)
