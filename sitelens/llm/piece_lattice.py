@@ -9,6 +9,9 @@ summed score for it, but applies merges in order of score.  So the fold takes th
 that order and keeps the inner boundaries of a unit as the bits of a long (an array beyond 62
 characters): an edge is taken if it covers exactly two of the pieces so far.
 
+Workers handle Arrow tables in slices of ROWS and load no pandas: several of them live beside
+an executor's heap.
+
 Units that occur often travel to the tasks as a table of bounded size; the others' ids are
 joined to the documents that hold them.  Between jobs, ids are 16-bit integers."""
 
@@ -19,13 +22,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from sitelens.llm.common import stored, table, worker_cache
-from sitelens.llm.recurrent_lm import frequent
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -41,7 +44,6 @@ STORED, HOLE = "<u2", (1 << 16) - 1
 SHORT = 62
 #: Bits of a character's place in a unit, in an edge written as one long.
 PLACE = 24
-OPEN = pa.schema({"doc_id": pa.int64(), "ids": pa.binary(), "open_units": pa.list_(pa.string()), "n_open": pa.int64()})
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
@@ -63,6 +65,8 @@ class Pieces:
         self.bytes_of = {k: b for b, k in self.byte.items()}
         self.is_byte = np.array([k in self.bytes_of for k in every])
         self.shown = ["" if k in special else self.text[k] for k in every]
+        self.column = pa.array(self.shown, pa.string())
+        self.width = pc.binary_length(self.column).to_numpy()
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -97,6 +101,20 @@ class Pieces:
                 out += map(self.shown.__getitem__, run.tolist())
         return "".join(out).replace(BLANK, " ")[1:]
 
+    def decoded(self, lists: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids, null for null: pieces are put in row for all lists at once, but for those with bytes."""
+        valid, n = lists.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy()
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(n)
+        shown = self.column.take(pa.array(flat))
+        # The pieces of a list lie next to each other.
+        at = np.concatenate([[0], np.cumsum(self.width[flat])])[np.concatenate([[0], ends])]
+        joined = pa.StringArray.from_buffers(len(n), pa.py_buffer(at.astype(np.int32)), shown.buffers()[2] or pa.py_buffer(b""))
+        texts = pc.utf8_slice_codeunits(pc.replace_substring(joined, BLANK, " "), 1).to_pylist()
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(self.is_byte[flat]), side="right")).tolist():
+            texts[k] = self.decode(flat[ends[k] - n[k] : ends[k]])
+        return pa.array([x if v else None for x, v in zip(texts, valid.tolist(), strict=True)], pa.string())
+
 
 def pieces(path: str) -> Pieces:
     cache = worker_cache("piece_lattice")
@@ -119,16 +137,16 @@ def unit_counts(docs: DataFrame, path: str) -> DataFrame:
     words = F.regexp_extract_all(text, F.lit(_WORD.pattern), F.lit(0))
     counted = docs.where("text <> ''").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for batch in batches:
             units: Counter[str] = Counter()
-            for word, n in zip(batch["word"], batch["n"].tolist(), strict=True):
+            for word, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True):
                 for u in own.units(word):
                     units[u] += n
-            yield pd.DataFrame({"unit": list(units), "n": list(units.values())}).astype({"unit": "object", "n": "int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(units.keys(), pa.string()), pa.array(units.values(), pa.int64())], ["unit", "n"])
 
-    return counted.mapInPandas(cut, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(cut, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def _ends(edge: Column) -> dict[str, Column]:
@@ -202,13 +220,14 @@ def unit_cuts(units: DataFrame, path: str) -> DataFrame:
 def unit_ids(cut: DataFrame, path: str) -> DataFrame:
     """unit, n and ids (binary, STORED) of (unit, n, cuts)."""
 
-    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for batch in batches:
-            made = [np.array(own.ids(u, list(c)), dtype=STORED).tobytes() for u, c in zip(batch["unit"], batch["cuts"], strict=True)]
-            yield pd.DataFrame({"unit": batch["unit"], "n": batch["n"], "ids": pd.Series(made, dtype="object")})
+            pairs = zip(batch["unit"].to_pylist(), batch["cuts"].to_pylist(), strict=True)
+            made = pa.array([np.array(own.ids(u, c), dtype=STORED).tobytes() for u, c in pairs], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["unit"], batch["n"], made], ["unit", "n", "ids"])
 
-    return cut.select("unit", "n", "cuts").mapInPandas(ids, "unit string, n long, ids binary")
+    return cut.select("unit", "n", "cuts").mapInArrow(ids, "unit string, n long, ids binary")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -216,6 +235,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     A null or empty text has no ids.  Repeated rows are encoded alike, each for itself; a
     null doc_id stays null; other columns are left out; an empty table stays empty."""
+    from sitelens.llm.recurrent_lm import frequent  # loads pandas, which the workers do without
+
     path = path or model_path()
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -246,15 +267,15 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                     closed_words[w] = ids
                 yield ids
 
-        def row(doc_id: pa.Scalar, text: pa.Scalar) -> dict:
-            open_units: list[str] = []
-            ids = b"".join(written(own.words(text.as_py() or ""), open_units))
-            return {"doc_id": doc_id.as_py(), "ids": ids, "open_units": open_units, "n_open": len(open_units)}
-
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                yield pa.RecordBatch.from_pylist(list(map(row, part["doc_id"], part["text"])), schema=OPEN)
+                ids, opened = [], []
+                for text in part["text"]:
+                    opened.append([])
+                    ids.append(b"".join(written(own.words(text.as_py() or ""), opened[-1])))
+                columns = [part["doc_id"], pa.array(ids, pa.binary()), pa.array(opened, pa.list_(pa.string())), pa.array(map(len, opened), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "open_units", "n_open"])
 
     begun = docs.mapInArrow(run, "doc_id long, ids binary, open_units array<string>, n_open long")
     begun = stored(begun.withColumn("row", F.monotonically_increasing_id()), "begun", compression="zstd")
@@ -263,37 +284,43 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     found = opened.join(cut.select("unit", F.col("ids").alias("own")), "unit")
     closed = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("closed"))
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def filled(ids: bytes, closed_units: list[dict]) -> bytes:
+        have = np.frombuffer(ids, dtype=STORED)
+        full, at = [], 0
+        for hole, c in zip(np.flatnonzero(have == HOLE).tolist(), closed_units, strict=True):
+            full += [have[at:hole].tobytes(), c["own"]]
+            at = hole + 1
+        return b"".join([*full, have[at:].tobytes()])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids, closed_units in zip(batch["ids"], batch["closed"], strict=True):
-                have = np.frombuffer(ids, dtype=STORED)
-                holes = np.flatnonzero(have == HOLE)
-                full, at = [], 0
-                for hole, c in zip(holes.tolist(), closed_units if len(holes) else [], strict=True):
-                    full += [have[at:hole], np.frombuffer(c["own"], dtype=STORED)]
-                    at = hole + 1
-                out.append(np.concatenate([*full, have[at:]]).astype("int32"))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": out, "n_pieces": list(map(len, out))})
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                own = [filled(x, c) if c is not None else x for x, c in zip(part["ids"].to_pylist(), part["closed"].to_pylist(), strict=True)]
+                n = np.array(list(map(len, own)), dtype=np.int64) // 2
+                flat = np.frombuffer(b"".join(own), dtype=STORED).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], ids, pa.array(n)], ["doc_id", "ids", "n_pieces"])
 
     # Only documents with open units are moved; the others go from their file to the output.
     none = F.lit(None).cast(closed.schema["closed"].dataType)
     whole = begun.where("n_open = 0").select("doc_id", "ids", none.alias("closed"))
     joined = rare.select("row", "doc_id", "ids").join(closed, "row").select("doc_id", "ids", "closed")
-    return whole.unionByName(joined).mapInPandas(fill, "doc_id long, ids array<int>, n_pieces long")
+    return whole.unionByName(joined).mapInArrow(fill, "doc_id long, ids array<int>, n_pieces long")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` (with ids) and decoded, the text that the ids stand for; null for null ids."""
     path = path or model_path()
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for batch in batches:
-            yield batch.map(lambda ids: None if ids is None else own.decode(np.asarray(ids, dtype=np.int64)))
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, own.decoded(part["ids"])], [*part.schema.names, "decoded"])
 
-    return encoded.withColumn("decoded", text("ids"))
+    return encoded.mapInArrow(text, StructType([*encoded.schema.fields]).add("decoded", StringType()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

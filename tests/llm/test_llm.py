@@ -464,3 +464,24 @@ def test_words_of_a_sample_have_no_states_across_them():
     for _ in range(500):
         word = "".join(rng.choice(list("abcdéz"), rng.integers(0, 14))) + " "
         assert own.phrases(word) == whole.phrases(word)
+
+
+def test_texts_of_ids_at_once_and_workers_without_pandas(spark):
+    """Lists of ids are decoded together as one by one; what the workers import loads no pandas."""
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+
+    own = piece_lattice.Pieces(piece_lattice.model_path())
+    rng = np.random.default_rng(3)
+    plain = np.flatnonzero(~own.is_byte)
+    some = sorted(own.bytes_of)
+    lists = [None, [], *(rng.choice(plain, n).tolist() for n in (1, 9, 40)), [*some[60:70], 500, *some[200:204]], [0, 1, 2, 700], None, [some[65]]]
+    column = pa.array([[3, 4], *lists], pa.list_(pa.int32())).slice(1)
+    want = [None if x is None else own.decode(np.array(x, dtype=np.int64)) for x in lists]
+    assert own.decoded(column).to_pylist() == want
+    rows = spark.createDataFrame([(k, x, "kept") for k, x in enumerate(lists)], "k long, ids array<int>, other string")
+    assert [r["decoded"] for r in sorted(piece_lattice.decode(rows).collect(), key=lambda r: r["k"])] == want
+    loads = "import sys, sitelens.llm.piece_lattice; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", loads], env={"PYTHONPATH": ":".join(sys.path)}).returncode == 0
