@@ -109,11 +109,13 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     while True:
         # Equal keys have equal hashes; different keys of one hash are told apart below.
         entries = entries.withColumn("key", F.xxhash64("fixed", "wild", F.col("fp").bitwiseAND(F.col("fixed"))))
-        sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        # Merged by hint, not broadcast: Spark takes exploded entries to be as small as the rows
+        # they come from, and stored ones as small as their files.
+        sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("merge")
         shared = stored(entries.join(sizes, "key"), "variants")
         few = shared.where(F.col("n") <= most)
         a = few.select("key", "fixed", "wild", F.col("fp").alias("a"))
-        b = few.select("key", "fixed", "wild", F.col("fp").alias("b"))
+        b = few.select("key", "fixed", "wild", F.col("fp").alias("b")).hint("merge")
         differing = F.col("a").bitwiseXOR(F.col("b"))
         verified = (
             (F.col("a") < F.col("b"))
@@ -143,7 +145,8 @@ def classes(docs: DataFrame) -> DataFrame:
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     owner = known.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), BITS // 4, "0"))
-    return read.join(owner, "fingerprint").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    # Many equal rows are a small file.
+    return read.hint("merge").join(owner, "fingerprint").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,43 @@ def test_links_lose_no_pair_in_large_groups(spark, most):
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Broadcasting a table of 3 MB or more in memory fails, however small Spark takes it to be."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": "3m"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_links_broadcast_no_exploded_entries(spark, small_broadcasts):
+    values = list(map(int, np.random.default_rng(5).integers(-(2**62), 2**62, 2000)))
+    values += [v ^ 5 for v in values[:100]]
+    got = deletion_signatures.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()
+    mask = (1 << 64) - 1
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in values for b in values if a < b and ((a ^ b) & mask).bit_count() <= 2}
+
+
+def test_links_broadcast_no_crowded_entries(spark, small_broadcasts):
+    # 10 half fingerprints with 100 others each: 33 entries of each fingerprint are shared, in few distinct values.
+    rng = np.random.default_rng(6)
+    values = [(int(c) << 32) + int(k) ^ x for c in rng.integers(0, 2**30, 10) for k in set(rng.integers(0, 2**30, 50)) for x in (0, 5 << 30)]
+    got = deletion_signatures.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2}
+
+
+def test_simhash_broadcasts_no_equal_rows(spark, small_broadcasts):
+    docs = spark.range(150_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text for all").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(7, "one text for all"), (8, "another one")], "doc_id long, text string"))
+    want = {(None, f"{brute_fingerprint('one text for all'):016x}", 7): 150_000, (7, f"{brute_fingerprint('one text for all'):016x}", 7): 1}
+    want[8, f"{brute_fingerprint('another one'):016x}", 8] = 1
+    got = deletion_signatures.classes(docs).groupBy("doc_id", "fingerprint", "component_id").count().collect()
+    assert {tuple(r)[:3]: r["count"] for r in got} == want
+
+
 def brute_manifest(rows: list[dict]) -> list[tuple]:
     def h(*parts: str) -> str:
         return hashlib.sha256("".join(parts).encode()).hexdigest()
